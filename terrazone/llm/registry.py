@@ -1,13 +1,29 @@
-"""Queries op1 to op10, each over its whole table."""
+"""Queries op1 to op10, each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrazone.llm import fingerprint, language_id, token_counts, url_filter
+from terrazone.llm import chat, fingerprint, language_id, minhash, mixing, multi_index, pii, sentencepiece_codec, token_counts, url_filter
 from terrazone.session import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,9 +38,22 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_language_id, op7_url_filters, op9_fingerprints)}
-ORACLES = {"op7_url_filters": url_filter.ORACLE_SQL}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_chat_formatting, op3_embedding_links, op4_mixing, op5_token_counts, op6_language_id, op7_url_filters, op8_sentencepiece, op9_fingerprints, op10_pii)
+}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_url_filters": url_filter.ORACLE_SQL}
