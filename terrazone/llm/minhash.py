@@ -8,10 +8,11 @@ probability Jaccard similarity. Registers are grouped into bands; texts that sha
 candidates are screened by their registers (one byte of each) and verified on whole texts: a link is a probability
 Jaccard or a plain Jaccard similarity of the shingles of at least the threshold.
 
-No bucket is expanded into all pairs at first: exact copies are one node, and every node of a bucket is compared
-with the bucket's leader (the least key, which is a hash) alone. Nodes of a bucket that are then still in
-different components are compared with one another, but for pairs that the triangle inequality of the Jaccard
-distance, through the leader, shows to be apart. So no pair of a bucket is left open, whatever its size.
+A bucket isn't expanded into all pairs: exact copies are one node, and every node is first compared with its bucket's
+leader (the least key, which is a hash) alone. Of nodes that are then in different components, buckets of up to WHOLE
+nodes compare all; in larger ones each is compared with a few pivots, and then once more within the finer buckets of
+those that share two bands, which a pair at the threshold does 8 times on average. So work grows with the
+nodes, however large a bucket is.
 
 Defined cases: texts that are null or have no word link with nothing and are kept; equal texts are one class;
 repeated rows give a row each; rows with a null id belong to classes but don't name them (a class of only such
@@ -33,6 +34,8 @@ from terrazone.session import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
+#: Keys of a bucket up to which all that are apart are compared, and the pivots of a larger one.
+WHOLE, PIVOTS = 32, 4
 #: Share of equal registers under which a candidate isn't verified: six standard deviations below the threshold.
 SCREEN = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 
@@ -177,36 +180,52 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return told.select("a", "b", "ta", "tb").mapInArrow(exact, "a string, b string, s double")
 
 
+def _candidates(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of keys of one bucket that are in different components: all of them in buckets of up to WHOLE, in larger ones each key and its bucket's pivots."""
+    known = members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    pivot = [F.min_by(F.struct("key", "label"), F.md5(F.concat(F.lit(str(k)), "key"))) for k in range(PIVOTS)]
+    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*pivot).alias("pivots")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    open_ = cut(known.join(mixed, "bucket"), "open")
+    small = open_.where(F.col("n") <= WHOLE)
+    x, y = (small.select("bucket", F.col("key").alias(t), F.col("label").alias(f"l{t}")) for t in ("a", "b"))
+    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
+    large = open_.where(F.col("n") > WHOLE).select("key", "label", F.explode("pivots").alias("p")).where(F.col("label") != F.col("p.label"))
+    return pairs.unionByName(large.select(F.greatest("key", "p.key").alias("b"), F.least("key", "p.key").alias("a"))).distinct()
+
+
+def _finer(members: DataFrame) -> DataFrame:
+    """Of the buckets of more than WHOLE, buckets of keys that share two bands at a distance of 1 to 3."""
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("bucket")
+    own = members.join(large, "bucket", "left_semi").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("at"))  # at most a row a band
+    two = lambda b: [F.when(F.array_contains(F.map_keys("at"), F.lit(b)) & F.array_contains(F.map_keys("at"), F.lit((b + d) % BANDS)), F.xxhash64(F.lit(d), F.col("at")[F.lit(b)], F.col("at")[F.lit((b + d) % BANDS)])) for d in (1, 2, 3)]
+    found = own.select("key", F.explode(F.array_compact(F.array(*[c for b in range(BANDS) for c in two(b)]))).alias("bucket"))
+    several = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    return found.join(several, "bucket", "left_semi")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, class_id (the least id of its class), kept (id = class_id), n_class (rows in the class), key (MD5 of the text)."""
     sketches = cut(_sketches(df, id_col, text_col), "sketches")
     nodes = cut(sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
-    members = nodes.select("key", F.posexplode("bands").alias("band", "cell"))
-    leaders = members.groupBy("band", "cell").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    members = cut(members.join(leaders, ["band", "cell"]), "members")
+    members = nodes.select("key", F.posexplode("bands").alias("band", "cell")).select("key", "band", F.xxhash64("band", "cell").alias("bucket"))
+    leaders = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    members = cut(members.join(leaders, "bucket"), "members")
     # whole texts, once for each key that has a candidate
     wanted = members.select("key").distinct()
     rows = df.select(df[text_col].alias("text"), F.md5(df[text_col]).alias("key"))
     texts = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    first = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    told = cut(_verify(first, nodes, texts), "verified")
-    links = told.where(F.col("s") >= threshold)
-    label = cut(components(links, "a", "b"), "labels")
-    # nodes of one bucket in different components, unless the leader shows them apart
-    open_ = members.join(label.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = open_.join(told.select(F.col("a").alias("key"), F.col("b").alias("leader"), "s"), ["key", "leader"], "left")
-    # s is unknown where the registers showed the node apart from its leader
-    far = F.when(F.col("key") == F.col("leader"), F.lit(0.0)).otherwise(1 - F.col("s"))
-    open_ = open_.select("band", "cell", "key", "leader", "label", far.alias("far"))
-    mixed = open_.groupBy("band", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("band", "cell")
-    open_ = cut(open_.join(mixed, ["band", "cell"], "left_semi"), "open")
-    x, y = (open_.select("band", "cell", *[F.col(c).alias(f"{c}{t}") for c in ("key", "leader", "label", "far")]) for t in "xy")
-    apart = F.coalesce(F.abs(F.col("farx") - F.col("fary")) > 1 - threshold + 1e-9, F.lit(False))
-    rest = x.join(y, ["band", "cell"]).where((F.col("keyx") < F.col("keyy")) & (F.col("labelx") != F.col("labely")) & (F.col("keyx") != F.col("leadery")) & (F.col("keyy") != F.col("leaderx")) & ~apart)
-    second = rest.select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
-    more = cut(_verify(second, nodes, texts), "verified").where(F.col("s") >= threshold)
-    if not more.isEmpty():
-        label = components(links.select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+    links = labels = None
+    # each key with its bucket's leader; then what is still apart; then the same in finer buckets of the large ones
+    for step in range(3):
+        if step == 0:
+            pairs = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+        else:
+            pairs = _candidates(members if step == 1 else cut(_finer(members), "finer"), labels)
+        fresh = cut(_verify(pairs, nodes, texts), "verified").where(F.col("s") >= threshold).select("a", "b")
+        links = fresh if links is None else links.unionByName(fresh)
+        if labels is None or not fresh.isEmpty():
+            labels = cut(components(links, "a", "b"), "labels")
+    label = labels
     groups = sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     whole = groups.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
