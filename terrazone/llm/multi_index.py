@@ -51,6 +51,15 @@ def unit_vectors(values: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndar
     return np.array(at, np.int64), np.array(rows).reshape(len(rows), -1)
 
 
+def _unpack(packed: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision from components as they came, 4 or 8 bytes each."""
+    if not packed:
+        return np.zeros((0, dim))
+    x = np.frombuffer(b"".join(packed), np.float32 if len(packed[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x**2).sum(axis=1))[:, None]
+
+
 def lloyd(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     rng = np.random.default_rng(11)
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -119,7 +128,8 @@ def fit_index(df: DataFrame, column: str, threshold: float = THRESHOLD, recall:
 
 
 def _place(index: MultiIndex, df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """id, key (hash of the unit vector), unit vector, home cell; the last three null where the vector isn't usable."""
+    """id, key (hash of the unit vector), its components as they came, home cell; the last three null where the vector isn't usable."""
+    real = np.float32 if dict(df.dtypes)[column] == "array<float>" else np.float64
 
     def run(batches):
         for batch in batches:
@@ -128,19 +138,16 @@ def _place(index: MultiIndex, df: DataFrame, id_col: str, column: str) -> DataFr
             key, packed, cell = [None] * n, [None] * n, [None] * n
             if len(at):
                 home, _ = index.bounds(x)
-                for i, row, c in zip(at, x, home):
-                    packed[i] = row.tobytes()
-                    key[i], cell[i] = hashlib.md5(packed[i]).hexdigest(), int(c)
+                given = batch.column("v").take(pa.array(at)).to_pylist()
+                for i, row, c, v in zip(at, x, home, given):
+                    packed[i] = np.array(v, real).tobytes()
+                    key[i], cell[i] = hashlib.md5(row.tobytes()).hexdigest(), int(c)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "key": pa.array(key, pa.string()), "unit": pa.array(packed, pa.binary()), "cell": pa.array(cell, pa.int32())})
 
     kind = dict(df.dtypes)[id_col]
     return df.select(df[id_col].alias("id"), df[column].alias("v")).mapInArrow(run, f"id {kind}, key string, unit binary, cell int")
 
 
-def _unpack(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
-
-
 def _forest(stored: np.ndarray, asked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[str], list[str]]:
     """Links that connect what the links (stored[a], asked[b]) connect: one for each node but one of a component."""
     label_a, label_b = np.arange(len(stored)), np.full(len(asked), len(stored))
@@ -187,7 +194,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     edges = [0.0, core, angle, 2 * angle, 4 * angle, 4.0]
 
     def store(batches):
-        """Rows of each node: stored once, in its home cell; as a query in each cell and ring it visits; sure in cells whose core it is in."""
+        """Rows of each node: stored once, in its home cell; as a query in each cell and ring it visits; sure if in its home cell's core."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -206,31 +213,32 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
             for c in size:
                 theta = np.arccos(np.clip(x @ center[c], -1, 1))
-                mine, visits = home == c, (home == c) | (squares[:, c] <= index.bound)
+                # of two cells the vectors of the lower one visit the other, and a meeting counts for both sides
+                mine, visits = home == c, (home == c) | ((home < c) & (squares[:, c] <= index.bound))
                 ring = np.searchsorted(edges, theta, "right") - 1
                 blocks = max(1, -(-size[c] // BLOCK))
                 for r in range(len(edges) - 1):
                     add("stored", c, r, np.flatnonzero(mine & (ring == r)), blocks)
                     reach = visits & (theta <= edges[r + 1] + angle) & (theta >= edges[r] - angle)
-                    sure = reach & (ring == 0) if r == 0 else np.zeros(len(x), bool)
+                    sure = reach & mine & (ring == 0) if r == 0 else np.zeros(len(x), bool)
                     add("sure", c, r, np.flatnonzero(sure), 1)
                     add("query", c, r, np.flatnonzero(reach & ~sure), 4 * blocks)
             at = np.concatenate(row)
             yield pa.RecordBatch.from_pydict(
-                {"what": what, "cell": pa.array(where, pa.int32()), "ring": pa.array(ring_of, pa.int32()), "block": pa.array(np.concatenate(block)), "key": pa.array(key[at]), "n": pa.array(weight[at]), "unit": batch.column("unit").take(pa.array(at))}
+                {"what": what, "cell": pa.array(where, pa.int32()), "ring": pa.array(ring_of, pa.int32()), "block": pa.array(np.concatenate(block)), "key": pa.array(key[at]), "n": pa.array(weight[at]), "guest": pa.array(home[at] != np.array(where)), "unit": batch.column("unit").take(pa.array(at))}
             )
 
-    placed = cut(nodes.select("key", "n", "unit", "cell").mapInArrow(store, "what string, cell int, ring int, block long, key string, n long, unit binary"), "placed")
+    placed = cut(nodes.select("key", "n", "unit", "cell").mapInArrow(store, "what string, cell int, ring int, block long, key string, n long, guest boolean, unit binary"), "placed")
 
     def pack(kind: str, prefix: str) -> DataFrame:
         # about BLOCK rows to a group: the block number spreads a cell's rows over as many groups as its size asks for
-        packed = placed.where(F.col("what") == kind).groupBy("cell", "ring", "block").agg(*[F.collect_list(F.struct("key", "n", "unit")).alias("rows")])
-        return packed.select("cell", "ring", F.col("block").alias(f"{prefix}block"), *[F.col(f"rows.{c}").alias(f"{prefix}{c}") for c in ("key", "n", "unit")])
+        packed = placed.where(F.col("what") == kind).groupBy("cell", "ring", "block").agg(*[F.collect_list(F.struct("key", "n", "guest", "unit")).alias("rows")])
+        return packed.select("cell", "ring", F.col("block").alias(f"{prefix}block"), *[F.col(f"rows.{c}").alias(f"{prefix}{c}") for c in ("key", "n", "guest", "unit")])
 
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                skey, sn, sunit, qkey, qunit = (batch.column(c)[i].as_py() for c in ("skey", "sn", "sunit", "qkey", "qunit"))
+                skey, sn, sunit, qkey, qn, qguest, qunit = (batch.column(c)[i].as_py() for c in ("skey", "sn", "sunit", "qkey", "qn", "qguest", "qunit"))
                 skey, qkey = np.array(skey), np.array(qkey)
                 near = _unpack(sunit, dim) @ _unpack(qunit, dim).T >= threshold
                 near &= skey[:, None] != qkey
@@ -238,18 +246,20 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 if not len(a):
                     continue
                 count = np.bincount(b, np.array(sn)[a], len(qkey)).astype(np.int64)
-                hit = np.flatnonzero(count)
+                # within a cell each of a pair asks for the other; a guest's meeting also counts for the stored one
+                back = np.bincount(a, np.array(qn)[b] * np.array(qguest)[b], len(skey)).astype(np.int64)
+                hit, met_ = np.flatnonzero(count), np.flatnonzero(back)
                 one, two = _forest(skey, qkey, a, b)
                 none = [None] * len(one)
-                yield pa.RecordBatch.from_pydict({"key": pa.array([*qkey[hit], *one], pa.string()), "count": pa.array([*count[hit].tolist(), *none], pa.int64()), "other": pa.array([None] * len(hit) + two, pa.string())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([*qkey[hit], *skey[met_], *one], pa.string()), "count": pa.array([*count[hit].tolist(), *back[met_].tolist(), *none], pa.int64()), "other": pa.array([None] * (len(hit) + len(met_)) + two, pa.string())})
 
-    met = pack("stored", "s").join(pack("query", "q"), ["cell", "ring"]).select("skey", "sn", "sunit", "qkey", "qunit")
-    found = cut(met.repartition("skey", "qkey").mapInArrow(compare, "key string, count long, other string"), "found")
+    met = pack("stored", "s").join(pack("query", "q"), ["cell", "ring"]).select("skey", "sn", "sunit", "qkey", "qn", "qguest", "qunit")
+    found = cut(met.mapInArrow(compare, "key string, count long, other string"), "found")
     # cores: linked throughout, so counts and one link to the least key are enough
     cores = placed.where((F.col("what") == "stored") & (F.col("ring") == 0)).groupBy("cell").agg(F.sum("n").alias("all"), F.min("key").alias("other"))
-    homes = nodes.select("key", F.col("n").alias("own"), F.col("cell").alias("home"))
+    homes = nodes.select("key", F.col("n").alias("own"))
     sure = placed.where(F.col("what") == "sure").select("cell", "key").join(F.broadcast(cores), "cell").join(homes, "key")  # a row for each cell of the grid
-    sure = sure.select("key", (F.col("all") - F.when(F.col("home") == F.col("cell"), F.col("own")).otherwise(F.lit(0))).alias("count"), "other")
+    sure = sure.select("key", (F.col("all") - F.col("own")).alias("count"), "other")
     both = found.unionByName(sure)
     label = components(both.where(F.col("other").isNotNull()).select("key", "other"), "key", "other")
     counts = both.where(F.col("count").isNotNull()).groupBy("key").agg(F.sum("count").alias("count"))
