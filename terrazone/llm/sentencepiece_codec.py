@@ -37,6 +37,7 @@ class PieceCodec:
     """Pieces of a BPE model file with byte fallback and without normalisation rules."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,12 +52,21 @@ class PieceCodec:
             self.data[i] = piece.encode()
         for b, i in enumerate(self.byte_ids):
             self.data[i] = bytes([b])
-        self.prefixes = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}
+        # every piece and every character of a piece, by a number; characters outside the vocabulary have numbers from vocab_size on
+        self.texts: dict[int, str] = {i: p for p, i in self.ids.items()}
+        for c in sorted({c for p in self.ids for c in p} - self.ids.keys()):
+            self.texts[sp.vocab_size() + len(self.texts)] = c
+        self.automaton = ahocorasick.Automaton()
+        for i, p in self.texts.items():
+            self.automaton.add_word(p, (i, len(p)))
+        self.automaton.make_automaton()
+        self.longest = max(map(len, self.texts.values()))
+        self.alone = self.span = max(self.texts) + 1  # number of the start and of characters in no piece, and the numbers in all, less one
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.stretches = re.compile(r"(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-ranked neighbours merge, the leftmost of equals first."""
@@ -73,57 +83,65 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, a: str, b: str) -> bool:
-        """Whether b may follow a; a is empty at the start of a stretch."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= 4 * KEPT:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+    def stands(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a, or the start or a character in no piece."""
+        left, right = self.texts.get(a, ""), self.texts[b]
+        if len(self.pairs) >= 4 * KEPT:
+            self.pairs.clear()
+        found = self.pairs[a * self.span + b] = self.merge(left + right) == ([left, right] if left else [right])
         return found
 
     def search(self, text: str) -> list[str]:
-        """Streaming Viterbi over one stretch: its pieces."""
+        """Streaming Viterbi over one stretch: its pieces.
+
+        The automaton names the pieces that end at each position, longest first; the first that may follow the path to where it
+        starts is the last piece of the path to its end. Characters in no piece end a piece of their own.
+        """
         done: list[str] = []
-        base = 0  # committed up to here
-        start, last = {0: 0}, {0: ""}  # by position: where its last piece starts, and that piece
-        ids, prefixes, pairs, n = self.ids, self.prefixes, self.pairs, len(text)
-        for at in range(n):
-            before = last[at]
-            for end in range(at + 1, n + 1):
-                piece = text[at:end]
-                if end > at + 1:
-                    if piece not in prefixes:
-                        break
-                    if piece not in ids:
-                        continue
-                stands = pairs.get((before, piece))
-                if stands is None:
-                    stands = self.stands(before, piece)
-                if stands:
-                    start[end], last[end] = at, piece
-            if at % LOOK == LOOK - 1:
-                # a boundary on the path of every position from which a later piece may start
-                common: set[int] | None = None
-                for head in [p for p in last if p > at]:
-                    path = {head}
-                    while head > base:
-                        head = start[head]
-                        path.add(head)
-                    common = path if common is None else common & path
-                meet = max(common or {base})
+        base = 0  # committed up to here; start and last hold the positions from here on
+        start, last = [0], [self.alone]  # by position: where its last piece starts, and that piece's number
+        pairs, span, alone, settled = self.pairs, self.span, self.alone, 0
+        for end, (piece, size) in self.automaton.iter(text):
+            if end < settled:
+                continue
+            while settled < end:
+                start.append(settled)
+                last.append(alone)
+                settled += 1
+            at = end + 1 - size
+            before = last[at - base]
+            stands = pairs.get(before * span + piece)
+            if stands is None:
+                stands = self.stands(before, piece)
+            if not stands:
+                continue
+            start.append(at)
+            last.append(piece)
+            settled += 1
+            if settled - base >= LOOK and settled % LOOK == 0:
+                # the last boundary on the paths of all positions from which a later piece may start
+                heads = set(range(max(base, settled + 1 - self.longest), settled + 1))
+                while len(heads) > 1:
+                    head = max(heads)
+                    heads.remove(head)
+                    heads.add(start[head - base])
+                meet = heads.pop()
                 if meet > base:
-                    done += self._back(start, last, base, meet)
+                    done += self._back(text, start, base, meet)
+                    del start[: meet - base], last[: meet - base]
                     base = meet
-                    start, last = ({p: v for p, v in kept.items() if p >= base} for kept in (start, last))
-        return done + self._back(start, last, base, n)
+        for at in range(settled, len(text)):
+            start.append(at)
+        return done + self._back(text, start, base, len(text))
 
     @staticmethod
-    def _back(start: dict[int, int], last: dict[int, str], base: int, at: int) -> list[str]:
+    def _back(text: str, start: list[int], base: int, at: int) -> list[str]:
+        """The pieces of the path from base to at."""
         pieces = []
         while at > base:
-            pieces.append(last[at])
-            at = start[at]
+            before = start[at - base]
+            pieces.append(text[before:at])
+            at = before
         return pieces[::-1]
 
     def encode(self, text: str) -> list[int]:
