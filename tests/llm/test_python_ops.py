@@ -46,7 +46,7 @@ def test_sentencepiece(spark, docs):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     codec = sentencepiece_codec.PieceCodec(P.path("piece_bpe_32k.model"))
-    for t in [*texts(1500, 7), "abc" * 500 + "tion" * 300, "▁ ▁a"]:
+    for t in [*texts(1500, 7), "abc" * 500 + "tion" * 300, "▁ ▁a", "=-" * 400, "x" * 63 + "日" * 130 + "y", "\U000e0041" * 200 + "ab", "a\U000e0041b" * 90]:
         assert codec.encode(t) == sp.encode(t)
     out = sentencepiece_codec.encode_documents(docs, P.path("piece_bpe_32k.model"))
     assert out.where("not round_trip").count() == 0 and out.count() == docs.count()
