@@ -10,9 +10,10 @@ Jaccard or a plain Jaccard similarity of the shingles of at least the threshold.
 
 A bucket isn't expanded into all pairs: exact copies are one node, and every node is first compared with its bucket's
 leader (the least key, which is a hash) alone. Of nodes that are then in different components, buckets of up to WHOLE
-nodes compare all; in larger ones each is compared with a few pivots, and then once more within the finer buckets of
-those that share two bands, which a pair at the threshold does 8 times on average. So work grows with the
-nodes, however large a bucket is.
+nodes compare all. Larger buckets that share nodes form a family, which is compared without loss in blocks: what is
+outside the family's largest component against the whole family. A pair of blocks counts common shingles of all its
+texts at once and gives spanning links only, so no pairs are written; its rows are shingles, bounded by BLOCK and
+BLOCK_SHINGLES.
 
 Defined cases: texts that are null or have no word link with nothing and are kept; equal texts are one class;
 repeated rows give a row each; rows with a null id belong to classes but don't name them (a class of only such
@@ -34,8 +35,10 @@ from terrazone.session import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Keys of a bucket up to which all that are apart are compared, and the pivots of a larger one.
-WHOLE, PIVOTS = 32, 4
+#: Keys of a bucket up to which all pairs that are apart are verified one by one.
+WHOLE = 32
+#: Texts and distinct shingles that a block of a larger family has on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Share of equal registers under which a candidate isn't verified: six standard deviations below the threshold.
 SCREEN = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 
@@ -180,27 +183,143 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return told.select("a", "b", "ta", "tb").mapInArrow(exact, "a string, b string, s double")
 
 
-def _candidates(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of keys of one bucket that are in different components: all of them in buckets of up to WHOLE, in larger ones each key and its bucket's pivots."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common values of each of left with each of right (sorted distinct values)."""
+    nl, nr = len(left), len(right)
+    found = np.zeros((nl, nr))
+    lv, rv = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(lv, rv)
+    if not len(shared):
+        return found
+
+    def coded(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        code = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        row, code = row[shared[code] == values], code[shared[code] == values]
+        order = np.argsort(code, kind="stable")
+        return row[order], code[order]
+
+    (li, lc), (ri, rc) = coded(lv, left), coded(rv, right)
+    ln, rn = np.bincount(lc, minlength=len(shared)), np.bincount(rc, minlength=len(shared))
+    # values of many rows: products of matrices, some columns at a time
+    common = np.flatnonzero(ln * rn > max(64, nl * nr // 64))
+    place = np.full(len(shared), -1)
+    place[common] = np.arange(len(common))
+    for at in range(0, len(common), 1024):
+        x, y = np.zeros((nl, 1024), np.float32), np.zeros((nr, 1024), np.float32)
+        for cells, row, code in ((x, li, lc), (y, ri, rc)):
+            here = (place[code] >= at) & (place[code] < at + 1024)
+            cells[row[here], place[code[here]] - at] = 1
+        found += x @ y.T
+    # the others: each row of the left with the rows of the right that have the value
+    keep = place[lc] < 0
+    li, lc = li[keep], lc[keep]
+    first, part = np.cumsum(rn) - rn, np.cumsum(rn[lc]) >> 22
+    for p in np.unique(part):
+        row, code = li[part == p], lc[part == p]
+        times = rn[code]
+        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        other = ri[np.repeat(first[code], times) + offset]
+        found += np.bincount(np.repeat(row, times) * nr + other, minlength=nl * nr).reshape(nl, nr)
+    return found
+
+
+def spanning_links(left: list[tuple], right: list[tuple], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links (place in left, place in right) that join all components that a link between left and right joins.
+
+    Both sides hold (sorted shingles, counts, component). Plain Jaccard similarity comes from the counts of common
+    shingles. Probability Jaccard equals it without repeated shingles; with e repeats on either side it is at most
+    N / (N + shingles of one side only), N = common + e, and at most the share of common shingles in either multiset.
+    Where that bound reaches the threshold, it is computed.
+    """
+    common = _common([x[0] for x in left], [x[0] for x in right])
+    size, whole = (([np.array([f(x) for x in side], float) for side in (left, right)]) for f in (lambda x: len(x[0]), lambda x: x[1].sum()))
+    names, label = np.unique([x[2] for x in (*left, *right)], return_inverse=True)
+    ll, lr = label[: len(left)], label[len(left) :]
+    apart = ll[:, None] != lr[None, :]
+    union = size[0][:, None] + size[1][None, :] - common
+    plain = apart & (common / union >= threshold)
+    more = [w - n for w, n in zip(whole, size)]
+    most = common + more[0][:, None] + more[1][None, :]
+    bound = np.minimum(most / (most + union - common), np.minimum((common + more[0][:, None]) / whole[0][:, None], (common + more[1][None, :]) / whole[1][None, :]))
+    # the bound is a little lowered by rounding at worst
+    unsure = apart & ~plain & (bound >= threshold - 1e-9) & (common > 0) & ((more[0][:, None] > 0) | (more[1][None, :] > 0))
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for cells, sure in ((plain, True), (unsure, False)):
+        a, b = np.nonzero(cells)
+        if sure:  # one pair of texts for each pair of components
+            _, at = np.unique(ll[a] * len(names) + lr[b], return_index=True)
+            a, b = a[at], b[at]
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = find(ll[i]), find(lr[j])
+            if x != y and (sure or max(similarity(left[i][:2], right[j][:2])) >= threshold):
+                parent[y] = x
+                out.append((i, j))
+    return out
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component and the size n of the bucket."""
     known = members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    pivot = [F.min_by(F.struct("key", "label"), F.md5(F.concat(F.lit(str(k)), "key"))) for k in range(PIVOTS)]
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*pivot).alias("pivots")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    open_ = cut(known.join(mixed, "bucket"), "open")
+    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    return known.join(mixed, "bucket")
+
+
+def _small_pairs(open_: DataFrame) -> DataFrame:
+    """All pairs of keys that are apart in buckets of up to WHOLE."""
     small = open_.where(F.col("n") <= WHOLE)
     x, y = (small.select("bucket", F.col("key").alias(t), F.col("label").alias(f"l{t}")) for t in ("a", "b"))
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-    large = open_.where(F.col("n") > WHOLE).select("key", "label", F.explode("pivots").alias("p")).where(F.col("label") != F.col("p.label"))
-    return pairs.unionByName(large.select(F.greatest("key", "p.key").alias("b"), F.least("key", "p.key").alias("a"))).distinct()
+    return x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+
 
+def _family_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all that is linked and apart within families of buckets of more than WHOLE."""
+    large = open_.where(F.col("n") > WHOLE)
+    family = components(large.select("key", "leader"), "key", "leader").select(F.col("node").alias("key"), F.col("label").alias("family"))
+    own = large.select("key", "label").distinct().join(family, "key")
+
+    def make():
+        def step(part: pa.RecordBatch) -> dict:
+            names, sets = [], []
+            for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
+                _, value, count = shingles([text])
+                names.append(key)
+                sets.append((value.tobytes(), count.tobytes(), len(value)))
+            value, count, size = zip(*sets) if sets else ((), (), ())
+            return {"key": names, "value": list(value), "count": list(count), "size": list(size)}
+
+        return step
 
-def _finer(members: DataFrame) -> DataFrame:
-    """Of the buckets of more than WHOLE, buckets of keys that share two bands at a distance of 1 to 3."""
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("bucket")
-    own = members.join(large, "bucket", "left_semi").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("at"))  # at most a row a band
-    two = lambda b: [F.when(F.array_contains(F.map_keys("at"), F.lit(b)) & F.array_contains(F.map_keys("at"), F.lit((b + d) % BANDS)), F.xxhash64(F.lit(d), F.col("at")[F.lit(b)], F.col("at")[F.lit((b + d) % BANDS)])) for d in (1, 2, 3)]
-    found = own.select("key", F.explode(F.array_compact(F.array(*[c for b in range(BANDS) for c in two(b)]))).alias("bucket"))
-    several = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    return found.join(several, "bucket", "left_semi")
+    sets = map_texts(texts.join(own.select("key"), "key", "left_semi").select("key", "text"), make, "key string, value binary, count binary, size long")
+    own = cut(own.join(sets, "key"), "families")
+    parts = own.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    outside = F.col("label") != F.col("main")
+    blocks = lambda at: F.ceil(F.greatest(F.sum(F.when(at, F.col("n"))) / BLOCK, F.sum(F.when(at, F.col("size"))) / BLOCK_SHINGLES))
+    plan = parts.join(main, "family").groupBy("family").agg(F.first("main").alias("main"), blocks(outside).alias("p"), blocks(~outside).alias("q")).where("p > 0")
+    dealt = own.join(plan, "family")
+    place = F.xxhash64("key")
+    dealt = dealt.withColumn("block", F.when(outside, F.pmod(place, "p")).otherwise(F.col("p") + F.pmod(place, "q")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label", "value", "count")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block, key, label = (group.column(c).to_pylist() for c in ("block", "key", "label"))
+        sets = [(np.frombuffer(v, np.uint64), np.frombuffer(n, np.int64), c) for v, n, c in zip(group.column("value").to_pylist(), group.column("count").to_pylist(), label)]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = ([k for k, x in enumerate(block) if x == side] for side in (i, j))
+        found = spanning_links([sets[k] for k in left], [sets[k] for k in right], threshold) if left and right else []
+        return pa.table({"a": pa.array([key[left[x]] for x, _ in found], pa.string()), "b": pa.array([key[right[y]] for _, y in found], pa.string())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a string, b string")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -214,20 +333,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("key").distinct()
     rows = df.select(df[text_col].alias("text"), F.md5(df[text_col]).alias("key"))
     texts = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    links = labels = None
-    # each key with its bucket's leader; then what is still apart; then the same in finer buckets of the large ones
-    for step in range(3):
-        if step == 0:
-            pairs = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-        else:
-            pairs = _candidates(members if step == 1 else cut(_finer(members), "finer"), labels)
-        fresh = cut(_verify(pairs, nodes, texts), "verified").where(F.col("s") >= threshold).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        if labels is None or not fresh.isEmpty():
-            labels = cut(components(links, "a", "b"), "labels")
-    label = labels
+    # each key with its bucket's leader; then what is still apart, pair by pair in small buckets, in blocks in large ones
+    leading = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    links = cut(_verify(leading, nodes, texts), "verified").where(F.col("s") >= threshold).select("a", "b")
+    labels = cut(components(links, "a", "b"), "labels")
+    open_ = cut(_open(members, labels), "open")
+    small = cut(_verify(_small_pairs(open_), nodes, texts), "verified").where(F.col("s") >= threshold).select("a", "b")
+    fresh = small.unionByName(cut(_family_links(open_, texts, threshold), "spanning"))
+    if not fresh.isEmpty():
+        labels = cut(components(links.unionByName(fresh), "a", "b"), "labels")
     groups = sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    groups = groups.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    groups = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     whole = groups.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
     classes = groups.join(whole, "label").select("key", "class_id", "n_class")
     alone = sketches.where(F.col("bands").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "key")

@@ -81,6 +81,64 @@ def test_exact_similarity():
         assert max(minhash.similarity(side(a), side(b))) == pytest.approx(brute_similarity(a, b))
 
 
+def test_spanning_links_join_what_brute_force_joins():
+    rng = random.Random(21)
+    base = [str(i) for i in range(60)]
+    texts = []
+    for k in range(90):
+        t = [x if rng.random() > 0.02 else f"n{rng.random()}" for x in base] + (base[:6] * rng.randint(0, 4) if k % 3 else [])
+        texts.append(" ".join(t * (1 + (k % 7 == 0))))
+    sets = [minhash.shingles([t])[1:] for t in texts]
+    parts = [(*s, f"c{k // 2 if k < 20 else k}") for k, s in enumerate(sets)]
+    counts = [shingles(t) for t in texts]
+    for left, right in (((0, 90), (0, 90)), ((0, 50), (50, 90)), ((3, 4), (4, 5))):
+        parent = {p[2]: p[2] for p in parts}
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        def join(pairs):
+            for a, b in pairs:
+                parent[find(parts[b][2])] = find(parts[a][2])
+            return {frozenset(c for c in parent if find(c) == r) for r in map(find, list(parent))}
+
+        want = join([(a, b) for a in range(*left) for b in range(*right) if a != b and brute_similarity(counts[a], counts[b]) >= 0.8])
+        parent = {p[2]: p[2] for p in parts}
+        found = minhash.spanning_links(parts[slice(*left)], parts[slice(*right)])
+        assert join([(left[0] + a, right[0] + b) for a, b in found]) == want
+        assert len(found) == len(parent) - len(want)
+
+
+def test_common_counts_equal_set_intersections():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([rng.integers(0, 300, rng.integers(0, 200)), rng.integers(0, 10**6, 50)])).astype(np.uint64) for _ in range(140)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[60:]] for a in sets[:60]]
+    assert (minhash._common(sets[:60], sets[60:]) == want).all()
+
+
+def test_minhash_family_of_large_buckets(spark, monkeypatch):
+    """Variants of one text around the threshold, in buckets far over WHOLE, in several blocks: classes equal brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(33)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(x if rng.random() > 0.035 else f"n{rng.random()}" for x in base) for _ in range(260)]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a].keys() & sets[b].keys()) * 9 >= 4 * (len(sets[a]) + len(sets[b])) - 1e-9:  # no shingle is repeated
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    assert len(set(map(find, range(len(texts))))) > 5
+    assert out == {i: find(i) for i in range(len(texts))}
+
+
 def test_registers_estimate_probability_jaccard():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(60, 360))
     doc, value, count = minhash.shingles([a, b])
