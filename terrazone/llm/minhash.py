@@ -39,6 +39,8 @@ BANDS, ROWS = 26, 5
 WHOLE = 32
 #: Texts and distinct shingles that a block of a larger family has on average at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Parts in which the keys of a family meet the numbers of its blocks.
+SALTS = 64
 #: Share of equal registers under which a candidate isn't verified: six standard deviations below the threshold.
 SCREEN = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 
@@ -301,15 +303,20 @@ def _family_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataF
     sets = map_texts(texts.join(own.select("key"), "key", "left_semi").select("key", "text"), make, "key string, value binary, count binary, size long")
     own = cut(own.join(sets, "key"), "families")
     parts = own.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    main = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES))
+    p, q = blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")), blocks(F.col("main.n"), F.col("main.size"))
+    plan = whole.select("family", F.col("main.label").alias("main"), p.alias("p"), q.alias("q")).where("p > 0")
+    # a family may hold most keys, so it meets its plan in SALTS parts
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS))).join(plan, ["family", "salt"])
     outside = F.col("label") != F.col("main")
-    blocks = lambda at: F.ceil(F.greatest(F.sum(F.when(at, F.col("n"))) / BLOCK, F.sum(F.when(at, F.col("size"))) / BLOCK_SHINGLES))
-    plan = parts.join(main, "family").groupBy("family").agg(F.first("main").alias("main"), blocks(outside).alias("p"), blocks(~outside).alias("q")).where("p > 0")
-    dealt = own.join(plan, "family")
     place = F.xxhash64("key")
     dealt = dealt.withColumn("block", F.when(outside, F.pmod(place, "p")).otherwise(F.col("p") + F.pmod(place, "q")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label", "value", "count")
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    # one column, so that rows dealt by family are dealt anew: a task for each pair of blocks, not for a family
+    dealt = dealt.select(F.concat_ws(":", "family", i, j).alias("pair"), i.alias("i"), j.alias("j"), "block", "key", "label", "value", "count")
 
     def compare(group: pa.Table) -> pa.Table:
         block, key, label = (group.column(c).to_pylist() for c in ("block", "key", "label"))
@@ -319,7 +326,7 @@ def _family_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataF
         found = spanning_links([sets[k] for k in left], [sets[k] for k in right], threshold) if left and right else []
         return pa.table({"a": pa.array([key[left[x]] for x, _ in found], pa.string()), "b": pa.array([key[right[y]] for _, y in found], pa.string())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a string, b string")
+    return dealt.groupBy("pair").applyInArrow(compare, "a string, b string")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
