@@ -125,12 +125,17 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
             x = share @ rows
             g = softmax(x @ out + bias)
             g[label[i]] -= 1
-            g *= lr * weight[label[i]]
+            # a subword's share of a long text is tiny: scaled up by the text's distinct subwords
+            scale = np.minimum(share * len(unique), 4)
+            # no longer a step than the curvature allows: the logits move by at most this times g, else training diverges
+            curve = float(share @ scale) * float((out * out).sum()) + float(x @ x) + 0.1
+            g *= min(lr * weight[label[i]], 1 / curve)
             back = out @ g
             out -= np.outer(x, g)
             bias -= 0.1 * g
-            # a subword's share of a long text is tiny: scaled up by the text's distinct subwords
-            emb[unique] = rows - np.outer(np.minimum(share * len(unique), 4), back)
+            emb[unique] = rows - np.outer(scale, back)
+    if not (np.isfinite(emb).all() and np.isfinite(out).all()):
+        raise FloatingPointError("training diverged")
     model = LanguageModel(names, emb @ out, bias.astype(np.float64), 1.0, 0.0)
     if not len(held):
         return model

@@ -115,3 +115,20 @@ def test_fingerprints(spark, docs):
     assert (fingerprint.difference(d[:1], d[1:2]) == 0).all() and (fingerprint.likeness(d[:2], d[2:]) < 1).all()
     assert fingerprint.fingerprint_documents(docs.limit(0)).count() == 0
     assert np.isfinite(d.astype(float)).all()
+
+
+def test_language_training_stays_finite():
+    """Texts of very different lengths and labels at odds with them must not make training diverge, at any rate."""
+    rng = np.random.default_rng(3)
+    texts, langs = [], []
+    for k in range(300):
+        lang = ("aa", "bb", "cc")[min(2, k % 10)]
+        alphabet = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}[lang]
+        n = int(rng.choice([1, 5, 50, 5000], p=[0.3, 0.3, 0.3, 0.1]))
+        texts.append(" ".join("".join(rng.choice(list(alphabet), 4)) for _ in range(n)))
+        langs.append(lang if rng.random() > 0.1 else "cc")
+    for rate in (0.5, 50.0):
+        model = language_id.train(texts, langs, buckets=1 << 10, rate=rate)
+        assert np.isfinite(model.table).all() and np.abs(model.table).max() < 1e4
+        found, scores = model.predict(["abcd ecba", "fghi jihg", "klmn onml", None])
+        assert found == ["aa", "bb", "cc", "und"] and np.isfinite(scores).all()
