@@ -26,13 +26,13 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in slices. make() runs once a task and returns the function from a slice to its output columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            for part in text_slices(batch, column):
+            for part in text_slices(batch, column, limit):
                 step = step or make()
                 yield pa.RecordBatch.from_pydict(step(part), schema=arrow)
 

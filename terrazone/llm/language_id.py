@@ -27,6 +27,8 @@ from terrazone.llm.common import map_texts
 LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (2, 3, 4)
 UND = "und"
+#: Bytes of text predicted at once; a byte takes some 130 bytes of subwords and their rows of the table.
+SLICE = 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -196,7 +198,7 @@ def identify_languages(df: DataFrame, model: LanguageModel | None = None, id_col
         return step
 
     picked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), held_out(df[id_col]).alias("held_out"))
-    return map_texts(picked, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return map_texts(picked, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double, accepted boolean", limit=SLICE)
 
 
 def keep_identified(df: DataFrame, **fit) -> DataFrame:
@@ -212,7 +214,7 @@ def keep_identified(df: DataFrame, **fit) -> DataFrame:
         from terrazone.llm.common import text_slices
 
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE):
                 langs, scores = shared.value.predict(part.column(text_col).to_pylist())
                 mask = (scores >= shared.value.threshold) & np.array([x != UND for x in langs], bool)
                 yield part.filter(pa.array(mask))
