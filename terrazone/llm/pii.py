@@ -3,8 +3,9 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by regular expressions. Their values
 are the protected entities. The method then asks of the words around them how much they reveal: over the corpus, a word t
 discloses an entity c when PMI(c; t) >= alpha * IC(c), where IC(c) = -ln p(c), p by documents. With document counts
-n_c, n_t, n_ct of N this is n_ct / n_t >= (n_c / N) ** (1 - alpha). The word must also stand by the entity in at least `support` different
-contexts and in half of its documents. Such words are spans of kind `term` in documents that hold the entity, unless they
+n_c, n_t, n_ct of N this is n_ct / n_t >= (n_c / N) ** (1 - alpha); all of them count whole texts. The word must also stand in half of the entity's documents
+and, outside base spans, in documents that hold the entity in at least `support` different contexts (what is within REACH
+characters of it; so copies of one text don't count twice). Such words are spans of kind `term` in documents that hold the entity, unless they
 overlap a base span; redaction removes them and generalises base spans to their kind.
 
 All of it is DataFrame functions: a text is split at the matches of a pattern, and the lengths of pieces and matches give the
@@ -89,29 +90,50 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}+"), F.lit(0)))
 
 
+def _replaced(spans: str, mark) -> Column:
+    """_text with its spans replaced by mark(span); of overlapping spans the first one's."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        between = F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"])
+        out = F.when(s["start"] >= a["at"], F.concat(a["out"], between, mark(s))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(value, term): the terms that disclose an entity. texts: the column text of all documents."""
-    at = found.where(F.size("_base") > 0).select("_row", "_text", F.explode("_base").alias("s")).select(
+    held = found.where(F.size("_base") > 0)
+    at = held.select("_row", "_text", F.explode("_base").alias("s")).select(
         "_row", F.lower("s.value").alias("value"),
         # whole words within reach on either side
         F.regexp_replace(F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("s.start") + 1 - REACH), F.least(F.lit(REACH), F.col("s.start"))), r"^\p{L}+", "").alias("before"),
         F.regexp_replace(F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(REACH)), r"\p{L}+$", "").alias("after"),
     )
-    around = cut(at.select("_row", "value", F.md5(F.concat_ws("|", "before", "after")).alias("context"), F.array_union(_words(F.col("before")), _words(F.col("after"))).alias("terms")), "contexts")
+    around = cut(at.select("_row", "value", F.md5(F.concat_ws("|", "before", "after")).alias("context")).distinct(), "contexts")
     entity = around.select("value", "_row").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_c"))
     often = around.select("value", "context").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support).select("value")
-    pairs = around.join(often, "value").select("value", "_row", "context", F.explode("terms").alias("term"))
-    joint = pairs.select("value", "term", "_row").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    spread = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support).select("value", "term")
-    asked = cut(joint.join(spread, ["value", "term"]).join(entity, "value").where(F.col("n_ct") >= share * F.col("n_c")), "asked")
+    # `support` contexts of an entity in one document tell as much as all of them
+    judged = around.join(often, "value").groupBy("_row", "value").agg(F.slice(F.array_sort(F.collect_set("context")), 1, support).alias("contexts"))
+    # all words of these documents, as n_t counts them; apart: those that stand outside base spans
+    own = held.join(judged.select("_row").distinct(), "_row", "left_semi").select("_row", _words(F.col("_text")).alias("words"), _words(_replaced("_base", lambda s: F.lit(" "))).alias("apart"))
+    own = own.select("_row", F.concat(F.transform("apart", lambda w: F.struct(w.alias("term"), F.lit(True).alias("apart"))), F.transform(F.array_except("words", "apart"), lambda w: F.struct(w.alias("term"), F.lit(False).alias("apart")))).alias("terms"))
+    pairs = cut(judged.join(own, "_row"), "judged").select("value", "contexts", F.explode("terms").alias("t")).select("value", "contexts", "t.term", "t.apart")
+    joint = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_ct")).join(entity, "value").where(F.col("n_ct") >= share * F.col("n_c"))
+    joint = cut(joint, "joint")
+    spread = pairs.where("apart").join(joint.select("value", "term"), ["value", "term"], "left_semi").select("value", "term", F.explode("contexts").alias("context"))
+    spread = spread.distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support).select("value", "term")
+    asked = cut(joint.join(spread, ["value", "term"]), "asked")
     terms = asked.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return asked.select("value", "term")
-    words = texts.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
-    held = words.join(F.broadcast(terms) if n_terms <= SMALL else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    words = texts.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # an inner join, as a semi join would be pushed below the count and meet every word of every text
+    counted = words.join(F.broadcast(terms) if n_terms <= SMALL else terms, "term")
     total = texts.count()
-    known = asked.join(held, "term")
+    known = asked.join(counted, "term")
     return known.where(F.col("n_ct") / F.col("n_t") >= F.pow(F.col("n_c") / F.lit(float(total)), F.lit(1 - alpha))).select("value", "term")
 
 
@@ -141,13 +163,5 @@ def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def redact(df: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """df with the spans of its texts replaced by their kinds in brackets, terms removed; overlapping spans by the first one's."""
     found = with_spans(df, text_col, **limits)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == TERM, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        between = F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"])
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], between, mark)).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(F.col(text_col))).select(*df.columns)
+    mark = lambda s: F.when(s["kind"] == TERM, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    return found.withColumn(text_col, F.when(F.size("_spans") > 0, _replaced("_spans", mark)).otherwise(F.col(text_col))).select(*df.columns)

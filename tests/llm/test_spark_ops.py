@@ -231,6 +231,50 @@ def test_pii(spark):
     assert clean[first + 10] == secret[10] and pii.pii_report(df.limit(0)).count() == 0
 
 
+def brute_terms(rows):
+    """(value, term) that disclose, by document counts over whole texts; for texts that are within reach of their entities."""
+    words = lambda t: set(re.findall(r"[^\W\d_]{3,}", t.lower()))
+    held = [({t[s:e].lower() for s, _, e, _ in brute_spans(t)}, words(t), words("".join(" " if any(s <= i < e for s, _, e, _ in brute_spans(t)) else c for i, c in enumerate(t))), t) for t in rows]
+    out = set()
+    for value in set().union(*[h[0] for h in held]):
+        docs = [h for h in held if value in h[0]]
+        for term in set().union(*[d[2] for d in docs]):
+            n_ct, n_t = sum(term in d[1] for d in docs), sum(term in h[1] for h in held)
+            if len({d[3] for d in docs if term in d[2]}) >= 3 and 2 * n_ct >= len(docs) and n_ct / n_t >= (len(docs) / len(rows)) ** 0.1:
+                out.add((value, term))
+    return out
+
+
+def test_pii_counts_words_of_whole_texts(spark):
+    """Words far from the entity, and near it in some documents and far in others, disclose as words beside it do."""
+    far = " ".join(f"x{i} is" for i in range(60))
+    rows = [f"Codename {i} {far} {i} boss@corp.com {i} {far} Streetname {i}" for i in range(4)]
+    rows += [f"{i} nearfar boss@corp.com" if i % 2 else f"{i} boss@corp.com {i} {far} nearfar" for i in range(4, 12)]
+    rows += [f"plain words {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert not any("nearfar" in clean[i] for i in range(12)) and all("[EMAIL]" in clean[i] for i in range(12))
+    assert all(clean[i] == rows[i] for i in range(12, len(rows)))
+    df = spark.createDataFrame(list(enumerate(rows[:4] + rows[12:])), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert not any("Codename" in clean[i] or "Streetname" in clean[i] for i in range(4))
+
+
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        who = rng.choice(["ann@corp.org", "bob@corp.org", "10.0.0.1", None, None, None])
+        told = rng.sample({"ann@corp.org": ["amber", "corp", "shared"], "bob@corp.org": ["bronze", "shared"], "10.0.0.1": ["cobalt", "server"]}.get(who, ["server", "shared", "other"]), 1 + (rng.random() < 0.7))
+        bits = [*told, *([who] if who else []), *rng.sample(["plain", "words", "here", "éclair"], 2), str(i)]
+        rng.shuffle(bits)
+        rows.append("7 " + " ".join(bits) + " 7")
+    rows += [rows[0]] * 3
+    found = pii.find_entities(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    out = {tuple(r) for r in pii.disclosing_terms(found, found.select("text")).collect()}
+    assert out == brute_terms(rows) and len(out) > 2
+
+
 def test_chat(spark):
     call = lambda *c: json.dumps({"tool_calls": list(c)})
     rows = [
