@@ -107,9 +107,9 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, alpha: float = ALPHA, s
     held = found.where(F.size("_base") > 0)
     at = held.select("_row", "_text", F.explode("_base").alias("s")).select(
         "_row", F.lower("s.value").alias("value"),
-        # whole words within reach on either side
-        F.regexp_replace(F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("s.start") + 1 - REACH), F.least(F.lit(REACH), F.col("s.start"))), r"^\p{L}+", "").alias("before"),
-        F.regexp_replace(F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(REACH)), r"\p{L}+$", "").alias("after"),
+        # what is within reach on either side, without a word that reaches over the window's edge: the character beyond it tells
+        F.when(F.col("s.start") > REACH, F.regexp_replace(F.substring(F.col("_text"), F.col("s.start") - REACH, F.lit(REACH + 1)), r"(?s)^(?:\p{L}+|.)", "")).otherwise(F.substring(F.col("_text"), F.lit(1), F.col("s.start"))).alias("before"),
+        F.when(F.length("_text") - F.col("s.end") > REACH, F.regexp_replace(F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(REACH + 1)), r"(?s)(?:\p{L}+|.)\z", "")).otherwise(F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(REACH))).alias("after"),
     )
     around = cut(at.select("_row", "value", F.md5(F.concat_ws("|", "before", "after")).alias("context")).distinct(), "contexts")
     entity = around.select("value", "_row").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_c"))

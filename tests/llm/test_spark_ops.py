@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrazone.llm import chat, minhash, mixing, multi_index, pii
 
@@ -260,6 +261,20 @@ def test_pii_counts_words_of_whole_texts(spark):
     assert not any("Codename" in clean[i] or "Streetname" in clean[i] for i in range(4))
 
 
+def test_pii_words_at_the_ends_of_a_text(spark):
+    """The first and the last word of a text are whole: they are terms, and contexts that differ in them alone are different ones."""
+    rows = [f"{name} boss@corp.com zebraword" for name in ("Anna", "Berta", "Clara")] + [f"zebraword 5 boss@corp.com {name}" for name in ("Dora", "Emma", "Frida")]
+    rows += [f"Okapiword owner {i} of desk@corp.com lives here" for i in range(4)] + [f"note {i} till@corp.com belongs to Yakword" for i in range(4)]
+    # a word that ends at the window's edge is whole, one that goes on beyond it isn't read
+    edge = "7" * 114
+    rows += [f"7 {name} {edge} safe@corp.com {edge} quaggaword" for name in ("Anna", "Bert", "Cara")] + ["x" * i + f"long {edge} rest@corp.com" for i in range(1, 4)]
+    df = spark.createDataFrame(list(enumerate(rows + [f"plain words {i}" for i in range(600)])), "doc_id long, text string")
+    found = pii.find_entities(df)
+    out = {tuple(r) for r in pii.disclosing_terms(found, found.join(df.select("doc_id", F.col("text").alias("t")), "doc_id").select(F.col("t").alias("text"))).collect()}
+    assert {("boss@corp.com", "zebraword"), ("desk@corp.com", "okapiword"), ("till@corp.com", "yakword"), ("safe@corp.com", "quaggaword")} <= out
+    assert not any(value == "rest@corp.com" for value, _ in out)
+
+
 def test_pii_terms_equal_brute_force(spark):
     rng = random.Random(12)
     rows = []
