@@ -4,9 +4,11 @@ A text is the multiset of its five-word shingles (lower case, split at white spa
 shingle). Every shingle is a Poisson process whose rate is its count: its arrivals fall on registers at random, a
 register keeps the earliest arrival of all shingles. Arrivals later than the latest register can change
 nothing, so a shingle's process ends there. Two texts agree in a register with the probability of their
-probability Jaccard similarity. Registers are grouped into bands; texts that share a band are candidates,
-candidates are screened by their registers (one byte of each) and verified on whole texts: a link is a probability
-Jaccard or a plain Jaccard similarity of the shingles of at least the threshold.
+probability Jaccard similarity. Texts with repeated shingles have a second set of registers, with all counts 1, that agree
+with the probability of their plain Jaccard similarity; without repeats both sets are the same. Registers are grouped
+into bands; texts that share a band of either set are candidates, candidates are screened by both sets (one byte of
+each register) and verified on whole texts: a link is a probability Jaccard or a plain Jaccard similarity of the
+shingles of at least the threshold.
 
 A bucket isn't expanded into all pairs: exact copies are one node, and every node is first compared with its bucket's
 leader (the least key, which is a hash) alone. Of nodes that are then in different components, buckets of up to WHOLE
@@ -41,7 +43,7 @@ WHOLE = 32
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Parts in which the keys of a family meet the numbers of its blocks.
 SALTS = 64
-#: Share of equal registers under which a candidate isn't verified: six standard deviations below the threshold.
+#: Share of equal registers, of either set, under which a candidate isn't verified: six standard deviations below the threshold.
 SCREEN = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 
 
@@ -127,7 +129,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (hash of the text), bands and one byte of each register; both null for a text without words."""
+    """id, key (hash of the text), bands and one byte of each register (of both sets where they differ); both null for a text without words."""
     kind = dict(df.dtypes)[id_col]
 
     def make():
@@ -138,7 +140,16 @@ def _sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             some = np.bincount(doc, minlength=len(texts)) > 0
             keys = bands(found)
             low = (found & np.uint64(255)).astype(np.uint8)
-            return {"id": part.column("id"), "key": part.column("key"), "bands": [k.tolist() if s else None for k, s in zip(keys, some)], "low": [r.tobytes() if s else None for r, s in zip(low, some)]}
+            cells, bytes_ = [k.tolist() if s else None for k, s in zip(keys, some)], [r.tobytes() if s else None for r, s in zip(low, some)]
+            # texts with repeats: registers of plain Jaccard similarity as well
+            repeats = np.bincount(doc[count > 1], minlength=len(texts)) > 0
+            place = np.flatnonzero(repeats)
+            held = repeats[doc]
+            flat = registers((np.cumsum(repeats) - 1)[doc[held]], value[held], np.ones(held.sum(), np.int64), len(place), BANDS * ROWS)
+            for i, k, r in zip(place.tolist(), bands(flat), (flat & np.uint64(255)).astype(np.uint8)):
+                cells[i] += k[k != keys[i]].tolist()
+                bytes_[i] += r.tobytes()
+            return {"id": part.column("id"), "key": part.column("key"), "bands": cells, "low": bytes_}
 
         return step
 
@@ -149,14 +160,20 @@ def _sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, s) for the pairs (a, b) of keys whose registers don't show them apart: s the larger exact similarity."""
     low = nodes.select("key", "low")
+    size = BANDS * ROWS
+
+    def both(column: pa.Array) -> np.ndarray:
+        held = column.to_pylist()
+        return np.frombuffer(b"".join(x if len(x) > size else x + x for x in held), np.uint8).reshape(len(held), 2, size)
+
     near = pairs.join(low.select(F.col("key").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("key").alias("b"), F.col("low").alias("lb")), "b")
 
     def screen(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            la, lb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("la", "lb"))
-            yield batch.filter(pa.array((la == lb).mean(axis=1) >= SCREEN)).select(["a", "b"])
+            la, lb = both(batch.column("la")), both(batch.column("lb"))
+            yield batch.filter(pa.array((la == lb).mean(axis=2).max(axis=1) >= SCREEN)).select(["a", "b"])
 
     def exact(batches):
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -333,7 +350,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, class_id (the least id of its class), kept (id = class_id), n_class (rows in the class), key (MD5 of the text)."""
     sketches = cut(_sketches(df, id_col, text_col), "sketches")
     nodes = cut(sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
-    members = nodes.select("key", F.posexplode("bands").alias("band", "cell")).select("key", "band", F.xxhash64("band", "cell").alias("bucket"))
+    members = nodes.select("key", F.explode("bands").alias("bucket"))  # a band's number is part of its key
     leaders = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     members = cut(members.join(leaders, "bucket"), "members")
     # whole texts, once for each key that has a candidate

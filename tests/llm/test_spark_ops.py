@@ -140,6 +140,25 @@ def test_minhash_family_of_large_buckets(spark, monkeypatch):
     assert out == {i: find(i) for i in range(len(texts))}
 
 
+def test_minhash_links_by_plain_jaccard_of_repeated_lines(spark):
+    """A line repeated 20 or 40 times: plain Jaccard 0.98 and probability Jaccard far under the threshold link in any bucket."""
+    texts, group = [], []
+    line = lambda n: " ".join(f"line{n}x{i}" for i in range(12))
+    for n in range(12):  # small buckets
+        base = " ".join(f"s{n}w{i}" for i in range(200))
+        texts += [f"{base} {line(n)}", base + f" {line(n)}" * (20 + 20 * (n % 2))]
+        group += [2 * n] * 2
+    first, base = len(texts), " ".join(f"fw{i}" for i in range(200))
+    for n in range(40):  # a family
+        texts.append(f"{base} {line('f')} end{n}")
+    texts += [base + f" {line('f')}" * 40, base + f" {line('f')}" * 20]
+    group += [first] * 42
+    sets = [shingles(t) for t in texts]
+    assert all(brute_similarity(sets[a], sets[b]) >= 0.8 for a, b in [(2 * n, 2 * n + 1) for n in range(12)] + [(first, first + 40), (first, first + 41)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(group))
+
+
 def test_registers_estimate_probability_jaccard():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(60, 360))
     doc, value, count = minhash.shingles([a, b])
