@@ -348,6 +348,11 @@ def _family_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataF
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, class_id (the least id of its class), kept (id = class_id), n_class (rows in the class), key (MD5 of the text)."""
+    return _classes(df, id_col, text_col, threshold).drop("label")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """near_duplicates with label, which tells classes apart that have one class_id; null for a text without words."""
     sketches = cut(_sketches(df, id_col, text_col), "sketches")
     nodes = cut(sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
     members = nodes.select("key", F.explode("bands").alias("bucket"))  # a band's number is part of its key
@@ -369,16 +374,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     groups = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     whole = groups.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
-    classes = groups.join(whole, "label").select("key", "class_id", "n_class")
-    alone = sketches.where(F.col("bands").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "key")
-    joined = sketches.where(F.col("bands").isNotNull()).select("id", "key").join(classes, "key").select("id", "class_id", "n_class", "key")
+    classes = groups.join(whole, "label").select("key", "class_id", "n_class", "label")
+    alone = sketches.where(F.col("bands").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "key", F.lit(None).cast("string").alias("label"))
+    joined = sketches.where(F.col("bands").isNotNull()).select("id", "key").join(classes, "key").select("id", "class_id", "n_class", "key", "label")
     out = joined.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_class", "key")
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_class", "key", "label")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, one for each class of near-duplicates."""
-    found = near_duplicates(df, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.coalesce("key", F.lit("")).alias("_key"), F.col("n_class").alias("_n")).distinct()
+    found = cut(_classes(df, id_col, text_col).where("kept").select("label", F.col(id_col).alias("_id"), F.coalesce("key", F.lit("")).alias("_key"), F.col("n_class").alias("_n")).distinct(), "kept")
+    # an id may stand for several texts of its class: the least id and key stays
+    least = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("_id", "_key", "_n")).alias("m")).select("m.*")
+    found = least.unionByName(found.where(F.col("label").isNull()).drop("label"))
     rows = df.withColumn("_key", F.coalesce(F.md5(df[text_col]), F.lit("")))
     kept = rows.join(found.withColumnRenamed("_key", "_key2"), rows[id_col].eqNullSafe(F.col("_id")) & (rows["_key"] == F.col("_key2")))
     # repeated rows of one id and text: one stays, unless the text has no words

@@ -159,6 +159,14 @@ def test_minhash_links_by_plain_jaccard_of_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(group))
 
 
+def test_keep_one_of_a_class_whose_id_repeats(spark):
+    base = " ".join(f"k{i}" for i in range(200))
+    other = " ".join(f"o{i}" for i in range(200))
+    rows = [(0, base), (0, base + " end"), (1, base + " more"), (5, "one text of five"), (5, "not a copy at all"), (None, other), (None, other + " end")]
+    out = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((i is None, i or 0, t.split()[0]) for i, t in out) == [(False, 0, "k0"), (False, 5, "not"), (False, 5, "one"), (True, 0, "o0")]
+
+
 def test_registers_estimate_probability_jaccard():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(60, 360))
     doc, value, count = minhash.shingles([a, b])
