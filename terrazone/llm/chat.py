@@ -60,13 +60,15 @@ def _levels(calls: DataFrame) -> DataFrame:
     needs = calls.select("conv", "id", F.explode(F.array_distinct(F.array_compact("after"))).alias("need"))
     known = calls.select("conv", "id")
     needs = cut(needs, "needs")
-    level = known.join(needs.select("conv", "id").distinct(), ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
+    asked = needs.select("conv", "id").distinct()
+    level = known.join(asked, _same(known, asked, ["conv", "id"]), "left_anti").withColumn("level", F.lit(0))
     if needs.isEmpty():
         return level
     level = cut(level, "level")
     size = level.count()
     while True:
-        met = needs.join(level.select("conv", F.col("id").alias("need"), "level"), ["conv", "need"], "left")
+        told = level.select("conv", F.col("id").alias("need"), "level")
+        met = needs.join(told, _same(needs, told, ["conv", "need"]), "left").select(needs["conv"], needs["id"], "level")
         # calls all of whose needs have a level
         ready = met.groupBy("conv", "id").agg(F.max("level").alias("most"), F.count_if(F.col("level").isNull()).alias("open")).where(F.col("open") == 0)
         fresh = ready.select("conv", "id", (F.col("most") + 1).alias("level"))

@@ -341,6 +341,13 @@ def test_chat(spark):
     assert len([r for r in out if r.part == 0]) == 7 and len(out) == 7 + 6 + 3
 
 
+def test_chat_orders_calls_of_a_null_conversation(spark):
+    call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x"}, "after": a} for i, a in c]})
+    rows = [(None, 0, "assistant", call(("b", ["a"]), ("a", []), ("c", ["b"]), ("d", ["e"]), ("e", ["d"])))]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("part = 1").collect()
+    assert {r.call_id: (r.level, r.status) for r in out} == {"a": (0, "open"), "b": (1, "open"), "c": (2, "open"), "d": (None, "unordered"), "e": (None, "unordered")}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
