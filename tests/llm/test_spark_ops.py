@@ -357,3 +357,67 @@ def test_pipeline_stages(spark):
         assert tuple(docs.columns) == corpus_pipeline.COLUMNS, name
         docs = spark.createDataFrame(docs.toPandas().astype({"n_chars": "int64", "doc_id": "int64"}), "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").where("round_trip").count() == docs.count() > 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() on planted texts: rejected ones, one of each copy group, redactions, drawn copies and the library's ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+    from terrazone.llm import language_id
+
+    rng = random.Random(21)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(300)] for lang, letters in (("en", "abcdefgh"), ("de", "stuvwxyz"))}
+    rows = []
+    for i in range(160):
+        lang = "en" if i % 2 else "de"
+        rows.append((" ".join(rng.choice(vocabulary[lang]) for _ in range(40)), lang))
+    rows += [(rows[i][0], rows[i][1]) for i in range(5)] + [(rows[i][0] + " " + rows[i][0].split()[7], rows[i][1]) for i in range(5, 10)]
+    rows += [(f"codename {rows[i][0]} call +49 30 123456{i} or boss@corp.com, card 4111 1111 1111 1111 {i}", rows[i][1]) for i in range(20, 24)]
+    rows += [(f"{i} 4711 !? {i * i}", "en") for i in range(8)]
+    docs = [(i, t, lang, "hot" if i % 3 else f"s{i % 2}", len(t)) for i, (t, lang) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    model = language_id.fit_language_model(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    langs, scores = model.predict([d[1] for d in docs])
+    kept = [d for d, lang, score in zip(docs, langs, scores) if lang != "und" and score >= model.threshold]
+    assert not any(d[0] >= len(docs) - 8 for d in kept) and len(kept) >= 0.95 * (len(docs) - 8)
+
+    sets, label = [shingles(d[1]) for d in kept], list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if brute_similarity(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = [x if k == y else k for k in label]
+    single = [kept[k] for k in sorted(set(label))]
+    assert len(single) < len(kept)
+
+    told, clean = brute_terms([d[1] for d in single]), []
+    for d in single:
+        base = brute_spans(d[1])
+        values = {d[1][s:e].lower() for s, _, e, _ in base}
+        terms = {t for v, t in told if v in values}
+        spans = base + [(m.start(), 9, m.end(), "term") for m in re.finditer(r"[^\W\d_]+", d[1]) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+        at, out = 0, ""
+        for s, _, e, kind in sorted(spans):
+            if s >= at:
+                out += d[1][at:s] + ("" if kind == "term" else f"[{kind.upper()}]")
+            at = max(at, e)
+        clean.append((d[0], out + d[1][at:], d[3]))
+    assert sum("[EMAIL]" in t for _, t, _ in clean) >= 3 and not any("codename" in t for _, t, _ in clean)
+
+    sizes = collections.Counter(source for *_, source in clean)
+    mass, want = sum(n**0.7 for n in sizes.values()), []
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for i, text, source in clean:
+        rate = len(clean) * sizes[source] ** 0.7 / mass / sizes[source]
+        u, k, p = int(hashlib.md5(f"mix-1:{i}:1".encode()).hexdigest()[:13], 16) / 2**52, 0, np.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        want += [(i, tuple(sp.encode(text)))] * k
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.round_trip for r in out) and sorted((r.doc_id, tuple(r.ids)) for r in out) == sorted(want) and len(want) > 100
