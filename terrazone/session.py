@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset and all executors are in this process (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrazone-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -31,4 +33,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for tables that no later plan reads, such as the rounds of a loop."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
