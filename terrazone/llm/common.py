@@ -47,3 +47,42 @@ def unit_hash(*parts: Column | str) -> Column:
     """A number in [0, 1) from the MD5 of the parts joined by ':'; the same in any SQL engine that has md5."""
     joined = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 1000, parts: int = 512) -> DataFrame:
+    """rows joined (inner) to told by key, where many rows may have one key.
+
+    Keys of more than max(hot, rows / 100000) rows, of which there are at most 100000, are counted, and broadcast with a number of
+    parts; their rows meet copies of told in that many parts. told may have several rows for a key. rows must be stable. counts: rows_of_key by
+    key, where they are known.
+    """
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
+        total = rows.agg(F.count(F.lit(1))).first()[0]
+    else:
+        total = counts.agg(F.sum("rows_of_key")).first()[0] or 0
+    limit = max(hot, total // 100_000)
+    heavy = [(r[0], min(parts, -(-r[1] // limit) + 1)) for r in counts.where(F.col("rows_of_key") > limit).collect()]
+    if not heavy:
+        return rows.join(told, key)
+    kind = dict(rows.dtypes)[key]
+    spread = F.broadcast(rows.sparkSession.createDataFrame(heavy, f"`{key}` {kind}, parts_of_key int"))
+    one = F.coalesce("parts_of_key", F.lit(1))
+    dealt = rows.join(spread, key, "left").withColumn("part_of_key", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), one).cast("int")).drop("parts_of_key")
+    copies = told.join(spread, key, "left").withColumn("part_of_key", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts_of_key")
+    return dealt.join(copies, [key, "part_of_key"]).drop("part_of_key")
+
+
+def packed(df: DataFrame, columns: list[str] | None = None, name: str = "row") -> Column:
+    """Columns of df (all unless named) as one struct, so that no name of theirs meets one of an operator; null without any."""
+    names = df.columns if columns is None else columns
+    return (F.struct(*[df[quoted(c)].alias(c) for c in names]) if names else F.lit(None).cast("int")).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "row", **replaced: Column) -> list[Column]:
+    """The columns that packed() packed, in order; those in replaced from there."""
+    return [replaced.get(c, F.col(name).getField(c)).alias(c) for c in columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.session import cut
+from terrazone.llm.common import salted_join
+from terrazone.session import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star contraction, both steps as grouped minimum and join."""
+    """One step of the alternating star contraction, both steps as grouped minimum and join; the links of a hub meet its minimum in parts."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    told = both.join(least, "u")
+    told = salted_join(both, least, "u")
     if large:
         found = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,14 +32,16 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) for every node in a link, label the least node of its component.
 
     Links may repeat, come in any direction and link a node to itself; such nodes without another link have no row.
-    Each round is written to the shared folder, so a lost executor costs no more than a round.
+    Each step is written to the shared folder, so a lost executor costs no more than a step; what is superseded is deleted.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     edges = cut(edges, "links")
     state = _state(edges)
     while state[0]:
-        after = cut(_star(_star(edges, True), False), "stars")
+        half = cut(_star(edges, True), "stars")
+        after = cut(_star(half, False), "stars")
         found = _state(after)
+        drop(edges, half)
         edges, before, state = after, state, found
         if found == before:
             break

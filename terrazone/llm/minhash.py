@@ -17,26 +17,33 @@ outside the family's largest component against the whole family. A pair of block
 texts at once and gives spanning links only, so no pairs are written; its rows are shingles, bounded by BLOCK and
 BLOCK_SHINGLES.
 
+Rows of one bucket, leader, text or class meet what is told of it in parts where they are many (salted_join). Long texts are
+shingled some 256 KB at a time, and their shingles go to the registers a million at a time.
+
 Defined cases: texts that are null or have no word link with nothing and are kept; equal texts are one class;
 repeated rows give a row each; rows with a null id belong to classes but don't name them (a class of only such
-rows has a null class_id); other columns are ignored; an empty table gives an empty result.
+rows has a null class_id); other columns, whatever their names, are ignored, and carried by keep_one; texts may be of any length
+that a row can have; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from terrazone.llm.common import map_texts
+from terrazone.llm.common import map_texts, packed, salted_join, text_slices, unpacked
 from terrazone.llm.graph import components
 from terrazone.session import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
+#: Characters of a text that are split into words at once, and shingles that go to the registers at once.
+SPAN, PART = 1 << 18, 1 << 20
 #: Keys of a bucket up to which all pairs that are apart are verified one by one.
 WHOLE = 32
 #: Texts and distinct shingles that a block of a larger family has on average at most.
@@ -47,6 +54,11 @@ SALTS = 64
 SCREEN = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 
 
+_GAP = re.compile(r"\s")
+#: A character that isn't white space, as Python splits.
+WORDLIKE = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,15 +66,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's words, split SPAN characters at a time at white space."""
+    found, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + SPAN)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].lower().split()
+        flat = np.empty(len(words), object)
+        flat[:] = words
+        found.append(pd.util.hash_array(flat, categorize=False) if words else np.zeros(0, np.uint64))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: text number, 64-bit hash, count, ordered by text and hash."""
-    split = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.empty(int(sizes.sum()), object)
+    long = [len(t) > SPAN for t in texts]
+    split = [() if far else t.lower().split() for t, far in zip(texts, long)]
+    flat = np.empty(sum(map(len, split)), object)
     flat[:] = [w for ws in split for w in ws]
+    word = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    if any(long):
+        parts = np.split(word, np.cumsum(sizes)[:-1])
+        parts = [word_hashes(t) if far else p for t, far, p in zip(texts, long, parts)]
+        word, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = word
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = pd.util.hash_array(flat, categorize=False)
     doc = np.repeat(np.arange(len(split)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the text's end
     first = np.repeat(np.cumsum(sizes) - sizes, sizes) == np.arange(len(flat))
@@ -84,6 +116,13 @@ def registers(doc: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int,
     """ProbMinHash registers: for each text and register the hash of the arrival that came first; 0 without any shingle."""
     best = np.full(texts * size, np.inf)
     winner = np.zeros(texts * size, np.uint64)
+    for at in range(0, len(doc), PART):
+        _arrivals(doc[at : at + PART], value[at : at + PART], count[at : at + PART], best, winner, texts, size)
+    return winner.reshape(texts, size)
+
+
+def _arrivals(doc: np.ndarray, value: np.ndarray, count: np.ndarray, best: np.ndarray, winner: np.ndarray, texts: int, size: int) -> None:
+    """Let the arrivals of some shingles, in order of text and value, win registers."""
     seed = _mix(value)
     time = np.zeros(len(doc))
     with np.errstate(divide="ignore"):
@@ -101,7 +140,6 @@ def registers(doc: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int,
         latest = best.reshape(texts, size).max(axis=1)
         live = time < latest[doc]
         doc, value, seed, time, rate = doc[live], value[live], seed[live], time[live], rate[live]
-    return winner.reshape(texts, size)
 
 
 def bands(found: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -166,7 +204,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         held = column.to_pylist()
         return np.frombuffer(b"".join(x if len(x) > size else x + x for x in held), np.uint8).reshape(len(held), 2, size)
 
-    near = pairs.join(low.select(F.col("key").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("key").alias("b"), F.col("low").alias("lb")), "b")
+    pairs = cut(pairs, "pairs")  # b may be the leader of a bucket that holds a third of all texts
+    near = salted_join(pairs, low.select(F.col("key").alias("b"), F.col("low").alias("lb")), "b").join(low.select(F.col("key").alias("a"), F.col("low").alias("la")), "a")
 
     def screen(batches):
         for batch in batches:
@@ -186,8 +225,6 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 held[key] = value, count
             return held[key]
 
-        from terrazone.llm.common import text_slices
-
         for batch in batches:
             for part in text_slices(batch, "ta"):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
@@ -198,7 +235,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b, "s": pa.array(s, pa.float64())})
 
     near = cut(near.select("a", "b", "la", "lb").mapInArrow(screen, "a string, b string"), "near")
-    told = near.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    told = salted_join(near, texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return told.select("a", "b", "ta", "tb").mapInArrow(exact, "a string, b string, s double")
 
 
@@ -287,9 +324,9 @@ def spanning_links(left: list[tuple], right: list[tuple], threshold: float = THR
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component and the size n of the bucket."""
-    known = members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    return known.join(mixed, "bucket")
+    known = cut(members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "known")
+    mixed = cut(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).drop("lo", "hi"), "mixed")
+    return salted_join(known, mixed, "bucket", mixed.select("bucket", F.col("n").alias("rows_of_key")))
 
 
 def _small_pairs(open_: DataFrame) -> DataFrame:
@@ -356,12 +393,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRES
     sketches = cut(_sketches(df, id_col, text_col), "sketches")
     nodes = cut(sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
     members = nodes.select("key", F.explode("bands").alias("bucket"))  # a band's number is part of its key
-    leaders = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    members = cut(members.join(leaders, "bucket"), "members")
+    leaders = cut(members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("rows_of_key")).where(F.col("rows_of_key") > 1), "leaders")
+    members = cut(salted_join(members, leaders.drop("rows_of_key"), "bucket", leaders), "members")
     # whole texts, once for each key that has a candidate
     wanted = members.select("key").distinct()
     rows = df.select(df[text_col].alias("text"), F.md5(df[text_col]).alias("key"))
-    texts = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    texts = cut(rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key", "left_semi"), "texts")
     # each key with its bucket's leader; then what is still apart, pair by pair in small buckets, in blocks in large ones
     leading = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     links = cut(_verify(leading, nodes, texts), "verified").where(F.col("s") >= threshold).select("a", "b")
@@ -372,24 +409,27 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float = THRES
     if not fresh.isEmpty():
         labels = cut(components(links.unionByName(fresh), "a", "b"), "labels")
     groups = sketches.where(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    groups = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    groups = cut(groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "groups")
     whole = groups.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
-    classes = groups.join(whole, "label").select("key", "class_id", "n_class", "label")
+    classes = salted_join(groups, whole, "label").select("key", "class_id", "n_class", "label")
     alone = sketches.where(F.col("bands").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "key", F.lit(None).cast("string").alias("label"))
-    joined = sketches.where(F.col("bands").isNotNull()).select("id", "key").join(classes, "key").select("id", "class_id", "n_class", "key", "label")
+    joined = salted_join(sketches.where(F.col("bands").isNotNull()).select("id", "key"), classes, "key", groups.select("key", F.col("n").alias("rows_of_key"))).select("id", "class_id", "n_class", "key", "label")
     out = joined.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_class", "key", "label")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, one for each class of near-duplicates."""
-    found = cut(_classes(df, id_col, text_col).where("kept").select("label", F.col(id_col).alias("_id"), F.coalesce("key", F.lit("")).alias("_key"), F.col("n_class").alias("_n")).distinct(), "kept")
-    # an id may stand for several texts of its class: the least id and key stays
-    least = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("_id", "_key", "_n")).alias("m")).select("m.*")
-    found = least.unionByName(found.where(F.col("label").isNull()).drop("label"))
-    rows = df.withColumn("_key", F.coalesce(F.md5(df[text_col]), F.lit("")))
-    kept = rows.join(found.withColumnRenamed("_key", "_key2"), rows[id_col].eqNullSafe(F.col("_id")) & (rows["_key"] == F.col("_key2")))
-    # repeated rows of one id and text: one stays, unless the text has no words
-    within = Window.partitionBy("_id", "_key2").orderBy("_n")
-    wordless = F.coalesce(~F.col(text_col).rlike(r"\S"), F.lit(True))
-    return kept.withColumn("_at", F.row_number().over(within)).where((F.col("_at") == 1) | wordless).select(*[kept[c] for c in df.columns])
+    """The rows of df, all columns, one for each class of near-duplicates; rows without words all stay.
+
+    The row that stays is that of the least id, and text by its MD5, of its class; of rows that share both, one. Where all ids of a class are null,
+    one row of the least text stays.
+    """
+    found = _classes(df, id_col, text_col).where(F.col("label").isNotNull()).select("label", F.col(id_col).alias("id"), "key")
+    # nulls last, so that a row with an id stays where there is one
+    least = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("m")).select("m.id", "m.key")
+    least = cut(least, "kept")
+    rows = df.select(packed(df), df[id_col].alias("id"), F.md5(df[text_col]).alias("key"), F.coalesce(df[text_col].rlike(WORDLIKE), F.lit(False)).alias("words"))
+    # repeated rows of one id and text are one before they are shuffled
+    single = rows.where("words").groupBy("id", "key").agg(F.first("row").alias("row"))
+    kept = single.join(least.select(F.col("id").alias("id2"), F.col("key").alias("key2")), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_semi").select("row")
+    return kept.unionByName(rows.where(~F.col("words")).select("row")).select(*unpacked(rows, df.columns))
