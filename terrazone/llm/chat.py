@@ -9,11 +9,15 @@ order, no white space, null for what is missing. Nothing is grouped by conversat
 third of all rows is spread like any other; the order is given by columns: turn, then part (0 the message, 1 calls, 2 result),
 then level, then call_index.
 
-Defined cases: text that isn't such an object is plain text; null text, role, turn or conversation stay null; of several calls with one
-identifier in a conversation the first by turn and index is linked, the others are `duplicate`; of several results the first by turn and
-text is linked, the others are `orphan`, as are results without a call; a call without a result is `open`; a call whose
-order runs in a circle, or needs an unknown call, has no level and is `unordered`; an unknown tool has no schema and is invalid; repeated rows
-are messages each; an empty table gives an empty result.
+Levels cost a round for every doubling of the longest chain of calls that need one other call each, and a round for every level among
+calls that need several.
+
+Defined cases: text that isn't such an object (after JSON's white space) is plain text; null text, role, turn or conversation stay null; of several calls
+with one identifier in a conversation the first by turn and index is linked, the others are `duplicate`; of several results the first by turn
+and text is linked, the others are `orphan`, as are results without a call; a call without a result is `open`; a call whose
+order runs in a circle, or needs an unknown call or one without a level, has no level and is `unordered`; an unknown tool has no schema and is
+invalid; repeated rows are messages each; other columns, whatever their names, are ignored; texts may be of any length that a row can have;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.session import cut
+from terrazone.session import cut, drop
 
-#: Tool name: argument: (JSON type, needed).
+#: Tool name: argument: (type, needed). A type is the name of a JSON type or `integer`, a dict of fields (an object of these), or a list of one type.
 TOOLS = {
-    "search": {"query": ("string", True), "limit": ("number", False)},
+    "search": {"query": ("string", True), "limit": ("integer", False)},
     "calculate": {"expression": ("string", True)},
     "fetch": {"url": ("string", True), "headers": ("object", False)},
+    "plan": {"steps": ([{"do": ("string", True), "times": ("integer", False)}], True), "by": ({"name": ("string", True), "sure": ("boolean", False)}, False)},
 }
 _CALLS = "array<struct<id string, name string, arguments variant, after array<string>>>"
 
@@ -39,45 +44,81 @@ def _kind(value: Column) -> Column:
     )
 
 
+def _fits(value: Column, kind) -> Column:
+    """Whether a variant is of a type."""
+    if isinstance(kind, dict):
+        return _has_fields(value, kind)
+    if isinstance(kind, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce((_kind(value) == "array") & F.forall(items, lambda x: _fits(x, kind[0])), F.lit(False))
+    if kind == "integer":
+        return F.coalesce(F.schema_of_variant(value) == "BIGINT", F.lit(False))
+    return F.coalesce(_kind(value) == kind, F.lit(False))
+
+
+def _has_fields(value: Column, schema: dict) -> Column:
+    """Whether a variant is an object that has each needed field, none that is unknown, and each of its type."""
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    whole = F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(a) for a in sorted(schema)]).cast("array<string>"))) == 0
+    for arg, (kind, needed) in sorted(schema.items()):
+        held = F.try_element_at(fields, F.lit(arg))
+        whole = whole & F.when(held.isNull(), F.lit(not needed)).otherwise(_fits(held, kind))
+    return F.coalesce(F.when(fields.isNotNull(), whole), F.lit(False))
+
+
 def valid_arguments(name: Column, arguments: Column, tools: dict) -> Column:
-    """Whether arguments is an object that has each needed argument, none that is unknown, and each of its type."""
-    fields = F.try_variant_get(arguments, "$", "map<string,variant>")
+    """Whether arguments fits the schema of the tool's name."""
     found = F.lit(False)
     for tool, schema in sorted(tools.items()):
-        checks = [F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(a) for a in sorted(schema)]).cast("array<string>"))) == 0]
-        for arg, (kind, needed) in sorted(schema.items()):
-            value = F.try_element_at(fields, F.lit(arg))
-            checks.append(F.when(value.isNull(), F.lit(not needed)).otherwise(_kind(value) == kind))
-        whole = checks[0]
-        for c in checks[1:]:
-            whole = whole & c
-        found = F.when(name == tool, whole).otherwise(found)
-    return F.coalesce(F.when(fields.isNotNull(), found), F.lit(False))
+        found = F.when(name == tool, _has_fields(arguments, schema)).otherwise(found)
+    return found
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv, id, level) of linked calls that can be ordered, one round a level."""
-    needs = calls.select("conv", "id", F.explode(F.array_distinct(F.array_compact("after"))).alias("need"))
+    """(conv, id, level) of linked calls that can be ordered. calls: conv, id, after, one row for each conv and id.
+
+    A call that needs just one other hangs on it; by doubling pointers each learns the first call up its chain that hangs on none, its root, and the
+    distance. Roots without needs have level 0; those that need several calls get theirs round by round.
+    """
+    calls = cut(calls.select("conv", "id", F.array_distinct(F.array_compact(F.coalesce("after", F.array().cast("array<string>")))).alias("after")), "calls-after")
+    single = calls.where(F.size("after") == 1).select("conv", "id", F.col("after")[0].alias("need"))
     known = calls.select("conv", "id")
-    needs = cut(needs, "needs")
-    asked = needs.select("conv", "id").distinct()
-    level = known.join(asked, _same(known, asked, ["conv", "id"]), "left_anti").withColumn("level", F.lit(0))
-    if needs.isEmpty():
-        return level
-    level = cut(level, "level")
-    size = level.count()
-    while True:
-        told = level.select("conv", F.col("id").alias("need"), "level")
-        met = needs.join(told, _same(needs, told, ["conv", "need"]), "left").select(needs["conv"], needs["id"], "level")
-        # calls all of whose needs have a level
-        ready = met.groupBy("conv", "id").agg(F.max("level").alias("most"), F.count_if(F.col("level").isNull()).alias("open")).where(F.col("open") == 0)
-        fresh = ready.select("conv", "id", (F.col("most") + 1).alias("level"))
-        after = cut(level.where(F.col("level") == 0).unionByName(fresh), "level")
-        now = after.count()
-        level = after
-        if now == size:
-            return level
-        size = now
+    up = known.select(F.col("conv").alias("conv_"), F.col("id").alias("up"))
+    hung = single.join(up, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("need") == F.col("up")), "left").select("conv", "id", F.col("up").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("dist"), F.col("up").isNotNull().alias("open"))
+    free = calls.where(F.size("after") != 1).select("conv", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(False).alias("open"))
+    state = cut(hung.unionByName(free), "chains")
+    left = state.where("open").count()
+    for _ in range(left.bit_length() + 1):  # what is open then runs in a circle
+        if not left:
+            break
+        told = state.select(F.col("conv").alias("conv_"), F.col("id").alias("root_"), F.col("root").alias("far"), F.col("dist").alias("more"), F.col("open").alias("still"))
+        moved = state.where("open").join(told, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("root") == F.col("root_"))).select("conv", "id", F.col("far").alias("root"), (F.col("dist") + F.col("more")).alias("dist"), F.col("still").alias("open"))
+        after = cut(state.where(~F.col("open")).unionByName(moved), "chains")
+        drop(state)
+        state, left = after, after.where("open").count()
+    settled = state.where(~F.col("open") & F.col("root").isNotNull()).select("conv", "id", "root", "dist")
+    level = calls.where(F.size("after") == 0).select("conv", "id", F.lit(0).cast("long").alias("level"))
+    many = calls.where(F.size("after") > 1)
+    if not many.isEmpty():
+        asked = many.select("conv", "id", F.explode("after").alias("need"))
+        ways = settled.select(F.col("conv").alias("conv_"), F.col("id").alias("need_"), "root", "dist")
+        # what each of several needs hangs on; null where it is unknown or never settles
+        asked = cut(asked.join(ways, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("need") == F.col("need_")), "left").select("conv", "id", "root", "dist"), "needs")
+        level, size = cut(level, "levels"), -1
+        while True:
+            now = level.count()
+            if now == size:
+                break
+            size = now
+            told = level.select(F.col("conv").alias("conv_"), F.col("id").alias("root_"), "level")
+            met = asked.join(told, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("root") == F.col("root_")), "left")
+            ready = met.groupBy("conv", "id").agg(F.max(F.col("level") + F.col("dist")).alias("most"), F.count_if(F.col("level").isNull()).alias("open")).where(F.col("open") == 0)
+            fresh = cut(level.where(F.col("level") == 0).unionByName(ready.select("conv", "id", (F.col("most") + 1).alias("level"))), "levels")
+            drop(level)
+            level = fresh
+    roots = level.select(F.col("conv").alias("conv_"), F.col("id").alias("root_"), "level")
+    found = settled.join(roots, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("root") == F.col("root_")))
+    return found.select("conv", "id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def _canonical(**fields: Column) -> Column:
@@ -88,7 +129,7 @@ def _canonical(**fields: Column) -> Column:
 def format_chats(df: DataFrame, tools: dict = TOOLS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message, call and result: conv, turn, part, level, call_index, role, call_id, status, valid, json."""
     rows = df.select(df[conv_col].alias("conv"), df[turn_col].alias("turn"), df[role_col].alias("role"), df[text_col].alias("text"))
-    object_ = F.when(F.trim(F.col("text")).startswith("{"), F.try_parse_json("text"))
+    object_ = F.when(F.col("text").rlike(r"^[ \t\n\r]*\{"), F.try_parse_json("text"))
     rows = rows.withColumn("v", object_)
     rows = rows.withColumn("calls", F.when(~F.col("role").eqNullSafe("tool"), F.try_variant_get("v", "$.tool_calls", _CALLS))).withColumn("result_of", F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string")))
     has = rows.where(F.col("calls").isNotNull())
@@ -135,3 +176,46 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     for k in keys[1:]:
         found = found & (a[k] == b[k])
     return found
+
+
+def with_calls(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Conversations in which every assistant's message makes a call, for conversations that come without any.
+
+    The call of turn t is c{t} and comes after that of turn t - 2. Its tool and arguments follow from the length n of the text, so some aren't valid:
+    n mod 4 names the tool, and every other calculation lacks its expression. A message of role `tool` gives its result; where 5 divides n it is
+    missing, and where 7 does it names another call.
+    """
+    n, turn = F.length(text_col), F.col(turn_col).cast("string")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("search", "calculate", "fetch", "lookup")]), n % 4 + 1)
+    arguments = F.struct(
+        F.when((n % 8 == 1), F.concat(n.cast("string"), F.lit("+1"))).alias("expression"), F.when((n % 4 == 0) | (n % 8 == 5), n).alias("limit"),
+        F.when(n % 4 == 0, F.md5(text_col)).alias("query"), F.when(n % 4 >= 2, F.concat(F.lit("https://example.org/"), F.md5(text_col))).alias("url"),
+    )
+    after = F.when(F.col(turn_col) >= 3, F.array(F.concat(F.lit("c"), (F.col(turn_col) - 2).cast("string"))))
+    call = F.struct(F.concat(F.lit("c"), turn).alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    asked = F.to_json(F.struct(F.col(text_col).alias("content"), F.array(call).alias("tool_calls")))
+    told = F.to_json(F.struct(F.concat(F.when(n % 7 == 0, "x").otherwise("c"), turn).alias("tool_call_id"), F.struct(n.alias("chars")).alias("content")))
+    mine = F.col(role_col).eqNullSafe("assistant") & F.col(text_col).isNotNull() & F.col(turn_col).isNotNull()
+    message = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+    plain, calling = message(F.col(role_col), F.col(text_col)), message(F.col(role_col), asked)
+    made = F.when(~mine, F.array(plain)).when(n % 5 == 0, F.array(calling)).otherwise(F.array(calling, message(F.lit("tool"), told)))
+    return df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.inline(made))
+
+
+ORACLE_SQL = """
+with m as (select conv_id, turn, role, text, length(text) as n, role = 'assistant' and text is not null and turn is not null as mine from conversations),
+a as (select *, 'c' || turn as call_id, ['search', 'calculate', 'fetch', 'lookup'][n % 4 + 1] as name,
+  case when n % 8 = 1 then '{"expression":"' || n || '+1"}' when n % 8 = 5 then '{"limit":' || n || '}'
+    when n % 4 = 0 then '{"limit":' || n || ',"query":"' || md5(text) || '"}' else '{"url":"https://example.org/' || md5(text) || '"}' end as arguments,
+  count(*) over (partition by conv_id, turn % 2 order by turn) as place from m where mine),
+c as (select *, case when place = (turn + 1) // 2 then ((turn - 1) // 2)::int end as level, n % 5 <> 0 and n % 7 <> 0 as answered from a)
+select conv_id, turn, 0 as part, null::int as level, 0 as call_index, role, null::varchar as call_id, 'message' as status, null::boolean as valid,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || ',"turn":' || coalesce(turn::varchar, 'null') || '}' as json from m
+union all
+select conv_id, turn, 1, level, 0, role, call_id, case when level is null then 'unordered' when answered then 'linked' else 'open' end, n % 4 = 0 or n % 8 = 1 or n % 4 = 2,
+  '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result_turn":' || case when answered then turn::varchar else 'null' end || '}' from c
+union all
+select conv_id, turn, 2, case when n % 7 <> 0 then level end, 0, 'tool', case when n % 7 = 0 then 'x' || turn else call_id end, case when n % 7 = 0 then 'orphan' else 'linked' end, null,
+  '{"call_turn":' || case when n % 7 = 0 then 'null' else turn::varchar end || ',"content":{"chars":' || n || '},"tool_call_id":"' || case when n % 7 = 0 then 'x' || turn else call_id end || '"}'
+from c where n % 5 <> 0
+"""

@@ -13,7 +13,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.format_chats(chat.with_calls(table(spark, sf_dir, "conversations")))
 
 
 def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_minhash, op2_chat_formatting, op3_embedding_links, op4_mixing, op5_token_counts, op6_language_id, op7_url_filters, op8_sentencepiece, op9_fingerprints, op10_pii)
 }
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_url_filters": url_filter.ORACLE_SQL}
+ORACLES = {"op2_chat_formatting": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op7_url_filters": url_filter.ORACLE_SQL}
