@@ -4,11 +4,13 @@ A quartile bucket digest: every window of five bytes gives six byte triplets, ea
 buckets; a bucket's count is written as the quartile it falls in among all buckets (two bits), after a byte for
 the text's length on a logarithmic scale, a checksum byte, and two half bytes for the ratios of the quartiles.
 Two digests differ by a bounded score: per bucket the distance of the quartiles (opposite ends count 6), plus
-the length and ratio differences, each cut off. Likeness is 1 - score / bound, 0 to 1.
+the length and ratio differences, each cut off. Likeness is 1 - score / bound, 0 to 1. Windows are counted some
+megabyte at a time, so a long text takes a few times its length.
 
 Defined cases: a null text is the empty one; texts of under five bytes are padded with zero bytes, so they
 have a digest too; equal texts have equal digests; repeated rows and equal ids follow one another in the order
-(id descending, nulls last, then text); an empty table gives an empty result.
+(id descending, nulls last, then MD5 of the text); a table of one row is followed by itself; other columns, whatever their names,
+are ignored; texts may be of any length that a row can have; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ TRIPLETS = ((4, 3, 2), (4, 3, 1), (4, 2, 1), (4, 2, 0), (4, 3, 0), (4, 1, 0))
 #: Bound of the difference: buckets that differ beyond a third of the way count no more.
 LENGTH_BOUND, RATIO_BOUND = 24, 16
 BODY_BOUND = 2 * BUCKETS
+#: Bytes whose windows are counted at once.
+SPAN = 1 << 20
 BOUND = BODY_BOUND + LENGTH_BOUND + 2 * RATIO_BOUND
 
 
@@ -36,18 +40,23 @@ def digests(texts: list[bytes]) -> np.ndarray:
     """Digest bytes of each text, 4 + BUCKETS / 4 to a row."""
     padded = [t if len(t) >= 5 else t + b"\0" * (5 - len(t)) for t in texts]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
-    doc = np.repeat(np.arange(len(padded), dtype=np.int64), sizes)
-    n = len(raw) - 4
-    inside = np.flatnonzero(doc[:n] == doc[4:])
-    at = doc[inside] * BUCKETS
-    counts = np.zeros(len(texts) * BUCKETS, np.int64)
-    for salt, (a, b, c) in enumerate(TRIPLETS, 1):
-        mixed = raw[inside + a] * np.uint32(0x01000193) ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)
-        mixed = (mixed ^ raw[inside + b]) * np.uint32(0x85EBCA6B)
-        mixed = (mixed ^ mixed >> np.uint32(13) ^ raw[inside + c]) * np.uint32(0xC2B2AE35)
-        counts += np.bincount(at + (mixed >> np.uint32(24)), minlength=len(counts))
-    counts = counts.reshape(len(texts), BUCKETS)
+    data = np.frombuffer(b"".join(padded), np.uint8)
+    ends = np.cumsum(sizes)
+    counts = np.zeros((len(texts), BUCKETS), np.int64)
+    for start in range(0, len(data) - 4, SPAN):
+        raw = data[start : start + SPAN + 4].astype(np.uint32)
+        begins = np.arange(start, start + len(raw) - 4)
+        doc = np.searchsorted(ends, begins, "right")
+        inside = np.flatnonzero(begins + 4 < ends[doc])
+        if not len(inside):
+            continue
+        lo, hi = int(doc[inside[0]]), int(doc[inside[-1]]) + 1
+        at = (doc[inside] - lo) * BUCKETS
+        for salt, (a, b, c) in enumerate(TRIPLETS, 1):
+            mixed = raw[inside + a] * np.uint32(0x01000193) ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)
+            mixed = (mixed ^ raw[inside + b]) * np.uint32(0x85EBCA6B)
+            mixed = (mixed ^ mixed >> np.uint32(13) ^ raw[inside + c]) * np.uint32(0xC2B2AE35)
+            counts[lo:hi] += np.bincount(at + (mixed >> np.uint32(24)), minlength=(hi - lo) * BUCKETS).reshape(hi - lo, BUCKETS)
     ranked = np.sort(counts, axis=1)
     q1, q2, q3 = (ranked[:, BUCKETS * k // 4 - 1] for k in (1, 2, 3))
     code = (counts > q1[:, None]).astype(np.uint8) + (counts > q2[:, None]) + (counts > q3[:, None])
@@ -99,31 +108,48 @@ def _follow(batches: Iterator[pa.RecordBatch], step) -> Iterator[pa.RecordBatch]
         yield from step(held, None)
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ranges: int = 4096) -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tasks: int = 1 << 14) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all)
     of the next document, that of next lower id (after the lowest: the highest). Texts are shuffled once, into ranges
-    of ids; a range also gets the first document of the range below it (the lowest range: of the highest), so each
-    task sees all it needs, sorted, and streams it. max_ranges bounds what the driver holds of the ranges.
+    of (id, hash of the text), four for each task, whose bounds come from a sample of some 16 rows a range; there are two tasks for each
+    partition of the input, at most max_tasks, which bounds what the driver holds of ranges and sample. A range also gets the first document of the range below it (the lowest range: of the highest), so each
+    task sees all it needs, sorted, and streams it.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    tasks = max(1, min(max_ranges // 4, 2 * rows.rdd.getNumPartitions()))
+    place = F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("long")
+    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).withColumn("place", place)
+    spot = F.struct("id", "place")
+    tasks = max(1, min(max_tasks, 2 * df.rdd.getNumPartitions()))
+    total = df.count()
     ranges = 4 * tasks
-    cuts = sorted(set(rows.stat.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id").cast("double"))) if cuts else F.lit(0)
-    placed = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(below).cast("int"))
-    tops = {r.bucket: r.top for r in placed.groupBy("bucket").agg(F.max("id").alias("top")).collect()}  # one row a range
+    wanted = 16 * ranges
+    share = F.pmod(F.xxhash64("id", "place"), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / max(1, total)) * (1 << 30)) + 1)
+    # nulls are last, as in a struct's order they are the least
+    sample = [(r.id, r.place) for r in rows.where(share).select("id", "place").limit(4 * wanted).collect()]
+    sample.sort(key=lambda x: ((0,) if x[0] is None else (1, x[0])) + (x[1],))
+    cuts = sample[:: max(1, len(sample) // ranges)][1:]
+    cuts = [c for c, after in zip(cuts, [*cuts[1:], None]) if c != after]
+    # cut points in groups of about the root of their number: the group first, then the place in it
+    width = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    table = spark.createDataFrame([([g[0] for g in groups], groups)], f"firsts array<struct<id:{kind},place:long>>, groups array<array<struct<id:{kind},place:long>>>")
+    below = lambda held: F.size(F.filter(held, lambda c: c <= spot))
+    group = below(F.col("firsts"))
+    bucket = F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + below(F.element_at("groups", F.greatest(group, F.lit(1)))))
+    placed = rows.crossJoin(F.broadcast(table)).select("id", "text", "place", bucket.alias("bucket"))  # one row
+    tops = {r.bucket: r.top for r in placed.groupBy("bucket").agg(F.max(spot).alias("top")).collect()}  # one row a range
     order = sorted(tops, reverse=True)
     # the first document of each range goes to the range above it too, that of the highest to the lowest
-    firsts = spark.createDataFrame([(tops[lower], upper) for upper, lower in zip([order[-1], *order], order)] if order else [], f"top {kind}, also int")
-    copies = placed.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("top")), "left").select(
-        "id", "text", F.inline(F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("also").alias("bucket"), F.lit(True).alias("ghost"))))
+    firsts = spark.createDataFrame([(tops[lower], upper) for upper, lower in zip([order[-1], *order], order)] if order else [], f"top struct<id:{kind},place:long>, also int")
+    told = firsts.select(F.col("top.id").alias("top_id"), F.col("top.place").alias("top_place"), "also")
+    copies = placed.join(F.broadcast(told), F.col("id").eqNullSafe(F.col("top_id")) & (F.col("place") == F.col("top_place")), "left").select(
+        "id", "text", "place", F.inline(F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("also").alias("bucket"), F.lit(True).alias("ghost"))))
     )
     copies = copies.where(F.col("bucket").isNotNull()).repartition(tasks, "bucket")
-    copies = copies.sortWithinPartitions(F.desc("bucket"), F.asc("ghost"), F.desc_nulls_last("id"), F.asc("text"))
+    copies = copies.sortWithinPartitions(F.desc("bucket"), F.asc("ghost"), F.desc_nulls_last("id"), F.desc("place"))
     schema = f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def step(part: list[dict], after: dict | None) -> Iterator[pa.RecordBatch]:
