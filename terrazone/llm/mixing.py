@@ -11,8 +11,9 @@ source; it is broadcast only while it has at most 4096 rows. Nothing is grouped
 with a third of all rows is no burden.
 
 Defined cases: null sources are one source of their own; null or repeated ids hash the text instead of, or with, the id, so
-equal rows have equal numbers of copies; sources that given weights don't name get weight 0; an empty table gives an
-empty result; other columns are carried.
+equal rows have equal numbers of copies; null texts are carried; sources that given weights don't name get weight 0 and no
+rows; copies of equal keys lie in any order; an empty table gives an empty result; other columns, whatever their names, are carried,
+but for those named copy and copies, whose place the result's own take; nothing depends on a text's length but the shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import unit_hash
+from terrazone.llm.common import packed, unit_hash, unpacked
+from terrazone.session import cut
 
 SEED, ALPHA = "mix-1", 0.7
 #: Largest rate that is inverted at once, and the terms of its distribution; beyond them is less than 1e-25.
@@ -37,7 +39,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 def rates(df: DataFrame, source_col: str, weights: dict[str, float] | None, alpha: float, total: float | None) -> DataFrame:
     """One row per source: name, parts, cdf of one part."""
-    sizes = df.groupBy(F.col(source_col).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(df.groupBy(df[source_col].alias("name")).agg(F.count(F.lit(1)).alias("n")), "sources")  # a row a source
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
@@ -56,18 +58,18 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, alpha: f
 
     total is the expected number of rows (default: as many as df has).
     """
-    told = rates(df, source_col, weights, alpha, total)
+    told = cut(rates(df, source_col, weights, alpha, total).withColumnRenamed("name", "rated"), "rates")
     if told.count() <= SMALL:
         told = F.broadcast(told)
-    names = [c for c in df.columns if c not in ("copy", "copies")]
-    rows = df.select(*names).withColumn("_doc", F.concat_ws("/", df[id_col].cast("string"), F.when(df[id_col].isNull(), F.md5(df[text_col]))))
-    joined = rows.join(told.select(F.col("name").alias("_name"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")), rows[source_col].eqNullSafe(F.col("_name")))
-    draw = lambda part: F.size(F.filter(F.col("_cdf"), lambda c: c <= unit_hash(seed, F.col("_doc"), part)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, part: a + draw(part))
-    copies = joined.withColumn("copies", count).where(F.col("copies") > 0)
-    copies = copies.select(*names, "_doc", F.col("copies").cast("long").alias("copies"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_doc"), F.col("copy").cast("string")))
-    return copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").select(*names, "copy", "copies")
+    names = [c for c in df.columns if c.lower() not in ("copy", "copies")]
+    rows = df.select(packed(df, names), df[source_col].alias("name"), F.concat_ws("/", df[id_col].cast("string"), F.when(df[id_col].isNull(), F.md5(df[text_col]))).alias("doc"))
+    joined = rows.join(told, F.col("name").eqNullSafe(F.col("rated")))
+    draw = lambda part: F.size(F.filter(F.col("cdf"), lambda c: c <= unit_hash(seed, F.col("doc"), part)))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, part: a + draw(part))
+    copies = joined.select("row", "doc", count.cast("long").alias("copies")).where(F.col("copies") > 0)
+    copies = copies.select("row", "doc", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("doc"), F.col("copy").cast("string")))
+    return copies.select("row", "copy", "copies", key.alias("key")).repartition("key").sortWithinPartitions("key").select(*unpacked(copies, names), "copy", "copies")
 
 
 ORACLE_SQL = f"""
