@@ -9,11 +9,18 @@ committed and dropped. No piece holds a space mark after another character, so a
 that follows another character; the stretch between two such boundaries is looked up among those a worker has met
 already (a bounded table) before it is searched.
 
+A unigram model (pieces with log probabilities) has ids of greatest total score. UnigramCodec finds them by the Viterbi search as it
+is known: every position keeps the best score of a path that ends there and its backpointer, over the window of the longest
+piece, and what all paths from the window have in common is committed and dropped. (In a text that repeats one run for ever, paths of equal
+score may never meet; it is then kept whole.)
+
 Decoding joins pieces, puts bytes together, turns space marks to spaces and drops the leading one.
 
 Defined cases: null text is empty and has no pieces; characters outside the vocabulary are their UTF-8 bytes; a space mark
-in a text (U+2581) is a space, as in the library, so such a text doesn't come back as it was; repeated rows are encoded
-each; an empty table gives an empty result.
+in a text (U+2581) is a space, as in the library, so such a text doesn't come back as it was; of unigram paths of equal score the one whose
+last piece is longest is taken; repeated rows are encoded each; other columns, whatever their names, are ignored; texts may be of
+any length that a row can have, one is held by a worker at a time with its ids, and the search's window doesn't grow with it;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,6 +173,82 @@ class PieceCodec:
         return text[1:] if text.startswith(" ") else text
 
 
+class UnigramCodec:
+    """Ids of greatest total score under a unigram model; the pieces' places are their ids. Characters in no piece are `unknown`, at a penalty under the least score."""
+
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, penalty: float = 10.0, look: int = LOOK):
+        import ahocorasick
+
+        self.texts, self.unknown, self.look = [p for p, _ in pieces], unknown, look
+        self.missing = min((score for _, score in pieces), default=0.0) - penalty
+        self.automaton = ahocorasick.Automaton()
+        for i, (p, score) in enumerate(pieces):
+            if p and i != unknown:
+                self.automaton.add_word(p, (i, len(p), score))
+        self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
+
+    def ends(self, text: str):
+        """For each position the pieces that end there, longest first."""
+        at, held = 0, []
+        found = self.automaton.iter(text) if len(self.automaton) else ()
+        for end, piece in found:
+            while at < end:
+                yield at, held
+                at, held = at + 1, []
+            held.append(piece)
+        while at < len(text):
+            yield at, held
+            at, held = at + 1, []
+
+    def encode(self, text: str, widest: list[int] | None = None) -> list[int]:
+        """Ids of the text; the largest window is appended to widest."""
+        done: list[int] = []
+        base = 0  # committed up to here; the lists hold the positions from here on
+        best, start, last = [0.0], [0], [self.unknown]
+        for at, pieces in self.ends(text):
+            score, begin, number = best[at - base] + self.missing, at, self.unknown
+            found = None
+            for i, size, worth in pieces:
+                if at + 1 - size < base:
+                    continue
+                total = best[at + 1 - size - base] + worth
+                if found is None or total > found[0]:
+                    found = total, at + 1 - size, i
+            if found is not None and found[0] >= score:
+                score, begin, number = found
+            best.append(score)
+            start.append(begin)
+            last.append(number)
+            if (at + 1) % self.look == 0:
+                # the last boundary on the paths of all positions from which a later piece may start
+                heads = set(range(max(base, at + 2 - self.longest), at + 2))
+                while len(heads) > 1:
+                    head = max(heads)
+                    heads.remove(head)
+                    heads.add(start[head - base])
+                meet = heads.pop()
+                if widest is not None:
+                    widest.append(len(best))
+                if meet > base:
+                    done += self._back(start, last, base, meet)
+                    del best[: meet - base], start[: meet - base], last[: meet - base]
+                    base = meet
+        return done + self._back(start, last, base, len(text))
+
+    @staticmethod
+    def _back(start: list[int], last: list[int], base: int, at: int) -> list[int]:
+        ids = []
+        while at > base:
+            ids.append(last[at - base])
+            at = start[at - base]
+        return ids[::-1]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids; what was unknown is lost."""
+        return "".join(self.texts[i] for i in ids if i != self.unknown)
+
+
 @lru_cache(2)
 def codec(path: str) -> PieceCodec:
     return PieceCodec(path)

@@ -2,14 +2,15 @@
 
 A text's token count is the sum, over its distinct pre-tokens, of their frequency times their number of
 pieces. The pieces of a pre-token are counted once: each slice of documents is reduced to its distinct
-pre-tokens, these are joined to the counts already known to the worker (a bounded table), only new ones are
-run through the BPE model, and the counts are joined back to the per-document frequencies and summed. No id
+pre-tokens, these are joined to the counts already known to the worker (a bounded table of two generations, of which the
+older is dropped when the younger is full, so that what is in use stays), only new ones are run through the BPE model, and the counts are joined back to the per-document frequencies and summed. No id
 sequence of a document is ever built, and no row is shuffled, so a pre-token that is in every document
 (' the') costs no more than any other.
 
 Defined cases: null or empty text has 0 bytes and 0 tokens; strings of the vocabulary's added tokens inside a
-text count as one token, as the library does by default; repeated rows are counted each; other columns of the
-input are ignored; an empty table gives an empty result.
+text count as one token, as the library does by default; a text of exactly the limit isn't over it; repeated rows are counted each;
+other columns, whatever their names, are ignored; texts may be of any length that a row can have, one of them is held by a worker at
+a time with its pre-tokens; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from terrazone.llm.common import map_texts
 # Fixed value: the pre-token pattern of byte-level BPE.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens whose counts a worker keeps, and the length over which none is kept.
+#: Pre-tokens of a generation whose counts a worker keeps, and the length over which none is kept.
 KEPT, KEPT_CHARS = 400_000, 48
 
 
@@ -50,6 +51,7 @@ class PieceCounts:
         self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.split = regex.compile(BYTE_LEVEL).findall
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text, and how many added tokens stand between them."""
@@ -59,15 +61,20 @@ class PieceCounts:
         return [p for part in parts for p in self.split(part)], len(parts) - 1
 
     def pieces(self, distinct: list[str]) -> np.ndarray:
-        known = self.known
+        known, older = self.known, self.older
         counts = np.fromiter((known.get(p, -1) for p in distinct), np.int64, len(distinct))
         new = np.flatnonzero(counts < 0)
-        if len(new):
-            fresh = [distinct[i] for i in new]
-            counts[new] = [len(e.ids) for e in self.model.encode_batch(fresh, add_special_tokens=False)]
-            if len(known) + len(fresh) > KEPT:
-                known.clear()
-            known.update((p, int(n)) for p, n in zip(fresh[:KEPT], counts[new]) if len(p) <= KEPT_CHARS)
+        if not len(new):
+            return counts
+        counts[new] = [older.get(distinct[i], -1) for i in new]
+        unmet = np.flatnonzero(counts < 0)
+        if len(unmet):
+            counts[unmet] = [len(e.ids) for e in self.model.encode_batch([distinct[i] for i in unmet], add_special_tokens=False)]
+        for i in new:
+            if len(distinct[i]) <= KEPT_CHARS:
+                if len(self.known) >= KEPT:
+                    self.older, self.known = self.known, {}
+                self.known[distinct[i]] = int(counts[i])
         return counts
 
     def totals(self, texts: list[str]) -> np.ndarray:
