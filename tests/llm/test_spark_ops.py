@@ -10,7 +10,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from terrazone.llm import chat, minhash, mixing, multi_index, pii
 
@@ -159,6 +158,63 @@ def test_minhash_links_by_plain_jaccard_of_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(group))
 
 
+#: Names that operators use within, in any case; none may clash.
+CLASHING = ["row", "text", "base", "spans", "number", "_text", "_base", "_row", "_spans", "_doc", "name", "parts", "cdf", "doc", "key", "_key", "id", "id2", "key2", "_id", "_n", "_at", "words", "label", "LABEL2", "copies_", "a b.c`d"]
+
+
+def clashing(spark, texts, sources=("s",)):
+    names = [c for c in CLASHING if c != "text"]
+    rows = [(i, t, sources[i % len(sources)], *[f"{c}-{i}" for c in names]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+
+
+def test_clashing_names_come_back_as_they_were(spark):
+    base = " ".join(f"k{i}" for i in range(60))
+    texts = [base, base + " end", "other words here", None, "", "call boss@corp.com now", "x " * 30 + "1.2.3.4"]
+    df = clashing(spark, texts, ("s", "t"))
+    given = {r.doc_id: r for r in df.collect()}
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {0, 2, 3, 4, 5, 6} and all(r == given[r.doc_id] for r in kept.collect())
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and clean.count() == len(texts)
+    for r in clean.collect():
+        assert tuple(r[c] for c in df.columns if c != "text") == tuple(given[r.doc_id][c] for c in df.columns if c != "text")
+        assert r.text == {5: "call [EMAIL] now", 6: "x " * 30 + "[IP]"}.get(r.doc_id, given[r.doc_id].text)
+    mixed = mixing.mix_sources(df, total=70.0)
+    assert mixed.columns == [*df.columns, "copy", "copies"] and mixed.count() > 30
+    assert all(tuple(r)[:-2] == tuple(given[r.doc_id]) and 1 <= r.copy <= r.copies for r in mixed.collect())
+    for report in (pii.pii_report(df), minhash.near_duplicates(df)):
+        assert report.count() == len(texts)
+    again = mixing.mix_sources(mixed)
+    assert again.columns == mixed.columns
+
+
+def test_very_long_texts(spark):
+    words_ = [f"w{i % 5000}x{i % 77}" for i in range(200_000)]
+    long = " ".join(words_)
+    mails = "".join(f"a{i}@corp.org, " for i in range(3000))
+    rows = [(0, long, "s"), (1, long + " end", "s"), (2, mails, "t"), (3, "short one", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    out = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    assert out[2].n_email == 3000 and out[0].n_email == 0
+    listed = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_spans(mails))
+    assert out[2].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[2] == "[EMAIL], " * 3000 and clean[0] == long
+    assert {r.text for r in mixing.mix_sources(df, total=40.0).collect()} == {t for _, t, _ in rows}
+    _, value, count = minhash.shingles([long])
+    want = collections.Counter(tuple(words_[i : i + 5]) for i in range(len(words_) - 4))
+    assert len(value) == len(want) and sorted(count.tolist()) == sorted(want.values())
+
+
+def test_registers_in_parts_equal_those_at_once(monkeypatch):
+    doc, value, count = minhash.shingles([" ".join(f"w{i}" for i in range(500)), "a b c d e f g " * 40, "one"])
+    whole = minhash.registers(doc, value, count, 3, 130)
+    monkeypatch.setattr(minhash, "PART", 37)
+    assert (minhash.registers(doc, value, count, 3, 130) == whole).all()
+
+
 def test_keep_one_of_a_class_whose_id_repeats(spark):
     base = " ".join(f"k{i}" for i in range(200))
     other = " ".join(f"o{i}" for i in range(200))
@@ -174,13 +230,28 @@ def test_registers_estimate_probability_jaccard():
     assert abs((found[0] == found[1]).mean() - brute_similarity(shingles(a), shingles(b))) < 0.04
 
 
-def test_embedding_links(spark):
+def test_traversal_is_in_multi_sequence_order():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = np.sort(rng.integers(0, 9, 7)).astype(float), np.sort(rng.random(5) * 9)
+        a[0] = b[0] = 0
+        bound = float(rng.random() * 14)
+        found = multi_index.traverse(a.tolist(), b.tolist(), list(range(7)), list(range(5)), bound, 5)
+        sums = [a[c // 5] + b[c % 5] for c in found]
+        assert sums == sorted(sums) and sorted(found) == [c for c in range(35) if a[c // 5] + b[c % 5] <= bound]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"LARGE": 60, "SHARD": 50, "QUERIES": 90, "BATCH": 16}])
+def test_embedding_links(spark, monkeypatch, sizes):
+    """As it is, and with cells that have cores, shards of a few nodes and several tasks for a shard."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(multi_index, name, value)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
-    x = np.concatenate([base, base[:20] + 0.15 * rng.standard_normal((20, 16)), base[:1] + 0.05 * rng.standard_normal((300, 16)), base[:3]])
+    x = np.concatenate([base, base[:20] + 0.15 * rng.standard_normal((20, 16)), base[:1] + 0.05 * rng.standard_normal((300, 16)), base[1:2] + 0.3 * rng.standard_normal((150, 16)), base[:3]])
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
-    odd = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, [], 0), (1005, [1.0, 2.0], 0)]
-    df = spark.createDataFrame([*rows, *odd, rows[5]], "vec_id long, embedding array<float>, label int")
+    odd = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, [], 0), (1005, [1.0, 2.0], 0), (1006, [1.0] * 15 + [None], 0), (1007, [float("inf")] + [1.0] * 15, 0)]
+    df = spark.createDataFrame([*rows, *odd, rows[5]], "vec_id long, embedding array<float>, key int")
     u = np.array([r[1] for r in rows], np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
@@ -195,10 +266,30 @@ def test_embedding_links(spark):
     out = {r.vec_id: r for r in multi_index.link_vectors(df).collect()}
     assert len(out) == len(x) + len(odd)
     assert all(out[i].n_links == 0 and out[i].kept for i, *_ in odd)
+    assert all(out[i].n_links <= near[i].sum() - 1 for i in range(len(x)))
     recall = sum(out[i].n_links for i in range(len(x))) / (near.sum() - len(x))
     assert 0.995 <= recall <= 1
     assert sum(out[i].component_id == find(i) for i in range(len(x))) >= 0.99 * len(x)
     assert multi_index.link_vectors(df.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in multi_index.link_vectors(df.where("vec_id >= 1000")).collect()) == [(i, 0, i, True) for i in range(1000, 1008)]
+
+
+def test_salted_join(spark):
+    from terrazone.llm.common import salted_join
+
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i % 40}", i) for i in range(900)] + [(None, -1)], "k string, v long")
+    told = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4), (None, 5)], "k string, w long")
+    want = sorted(tuple(r) for r in rows.join(told, "k").collect())
+    assert sorted(tuple(r) for r in salted_join(rows, told, "k", hot=50).collect()) == want
+    assert sorted(tuple(r) for r in salted_join(rows, told, "k").collect()) == want
+
+
+def test_components_of_a_hub(spark):
+    from terrazone.llm import graph
+
+    links = [("a", f"n{i:04}") for i in range(3000)] + [("x", "y"), ("y", "z"), ("z", "z"), ("n0000", "a")]
+    out = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "p string, q string"), "p", "q").collect()}
+    assert out == {**{f"n{i:04}": "a" for i in range(3000)}, "a": "a", "x": "x", "y": "x", "z": "x"}
 
 
 def test_mixing(spark):
@@ -296,8 +387,7 @@ def test_pii_words_at_the_ends_of_a_text(spark):
     edge = "7" * 114
     rows += [f"7 {name} {edge} safe@corp.com {edge} quaggaword" for name in ("Anna", "Bert", "Cara")] + ["x" * i + f"long {edge} rest@corp.com" for i in range(1, 4)]
     df = spark.createDataFrame(list(enumerate(rows + [f"plain words {i}" for i in range(600)])), "doc_id long, text string")
-    found = pii.find_entities(df)
-    out = {tuple(r) for r in pii.disclosing_terms(found, found.join(df.select("doc_id", F.col("text").alias("t")), "doc_id").select(F.col("t").alias("text"))).collect()}
+    out = {tuple(r) for r in pii.disclosing_terms(pii.find_entities(df), df.select("text")).collect()}
     assert {("boss@corp.com", "zebraword"), ("desk@corp.com", "okapiword"), ("till@corp.com", "yakword"), ("safe@corp.com", "quaggaword")} <= out
     assert not any(value == "rest@corp.com" for value, _ in out)
 
@@ -313,7 +403,7 @@ def test_pii_terms_equal_brute_force(spark):
         rows.append("7 " + " ".join(bits) + " 7")
     rows += [rows[0]] * 3
     found = pii.find_entities(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
-    out = {tuple(r) for r in pii.disclosing_terms(found, found.select("text")).collect()}
+    out = {tuple(r) for r in pii.disclosing_terms(found, found.select("text")).collect()}  # texts are carried
     assert out == brute_terms(rows) and len(out) > 2
 
 
@@ -348,6 +438,51 @@ def test_chat_orders_calls_of_a_null_conversation(spark):
     assert {r.call_id: (r.level, r.status) for r in out} == {"a": (0, "open"), "b": (1, "open"), "c": (2, "open"), "d": (None, "unordered"), "e": (None, "unordered")}
 
 
+def brute_levels(calls):
+    level, wants = {}, {k: set(v) for k, v in calls.items()}
+    while True:
+        ready = {k: 1 + max((level[n] for n in v), default=-1) for k, v in wants.items() if k not in level and v <= level.keys()}
+        if not ready:
+            return level
+        level |= ready
+
+
+def test_chat_levels_of_long_chains_and_random_orders(spark, monkeypatch):
+    """A chain of 300 calls takes rounds by its doublings; levels of random orders, with circles and unknown calls, equal brute force."""
+    rng = random.Random(14)
+    calls = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}
+    for part in range(12):
+        names = [f"p{part}n{i}" for i in range(14)]
+        for i, n in enumerate(names):
+            calls[n] = sorted({rng.choice(names[:i] or [n]) if rng.random() > 0.04 else rng.choice([*names, "unknown"]) for _ in range(rng.randint(0, 3))}) if i else []
+    rounds = []
+    real = chat.cut
+    monkeypatch.setattr(chat, "cut", lambda df, name: rounds.append(name) or real(df, name))
+    df = spark.createDataFrame([(1, k, v) for k, v in calls.items()], "conv long, id string, after array<string>")
+    assert {r.id: r.level for r in chat._levels(df).collect()} == brute_levels(calls)
+    assert rounds.count("chains") <= 12
+
+
+def test_chat_json_after_white_space_and_nested_arguments(spark):
+    call = lambda i, a: {"id": f"c{i}", "name": "plan", "arguments": a}
+    good = [{"steps": []}, {"steps": [{"do": "x"}, {"do": "y", "times": 2}], "by": {"name": "n", "sure": True}}]
+    bad = [{}, {"steps": {}}, {"steps": [{"do": 1}]}, {"steps": [{"do": "x", "times": 1.5}]}, {"steps": [{"do": "x", "more": 1}]}, {"steps": ["x"]}, {"steps": [], "by": {"sure": True}}, {"steps": [], "by": None}]
+    rows = [(1, 0, "assistant", "\n\t {" + json.dumps({"tool_calls": [call(i, a) for i, a in enumerate(good + bad)]})[1:] + "\n", "x"), (1, 1, "assistant", "\u00a0{}", "x"), (1, 2, "user", "{" * 50000 + "x" * 500000, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, status string")
+    out = chat.format_chats(df).collect()
+    assert [r.valid for r in sorted((r for r in out if r.part == 1), key=lambda r: r.call_index)] == [True] * len(good) + [False] * len(bad)
+    assert len([r for r in out if r.part == 0]) == 3 and json.loads([r for r in out if r.turn == 1][0].json)["content"] == "\u00a0{}"
+    assert chat.format_chats(df.limit(0)).collect() == [] and chat.with_calls(df.limit(0)).collect() == []
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -380,8 +515,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     model = language_id.fit_language_model(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    langs, scores = model.predict([d[1] for d in docs])
-    kept = [d for d, lang, score in zip(docs, langs, scores) if lang != "und" and score >= model.threshold]
+    kept = [d for d, accepted in zip(docs, model.predict([d[1] for d in docs])[2]) if accepted]
     assert not any(d[0] >= len(docs) - 8 for d in kept) and len(kept) >= 0.95 * (len(docs) - 8)
 
     sets, label = [shingles(d[1]) for d in kept], list(range(len(kept)))
