@@ -49,7 +49,7 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 1000, parts: int = 512) -> DataFrame:
+def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 256, parts: int = 512) -> DataFrame:
     """rows joined (inner) to told by key, where many rows may have one key.
 
     Keys of more than max(hot, rows / 100000) rows, of which there are at most 100000, are counted, and broadcast with a number of
@@ -62,7 +62,7 @@ def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame |
     else:
         total = counts.agg(F.sum("rows_of_key")).first()[0] or 0
     limit = max(hot, total // 100_000)
-    heavy = [(r[0], min(parts, -(-r[1] // limit) + 1)) for r in counts.where(F.col("rows_of_key") > limit).collect()]
+    heavy = [(r[0], min(parts, -(-r[1] // limit) + 1)) for r in counts.where(F.col("rows_of_key") > limit).select(key, "rows_of_key").collect()]
     if not heavy:
         return rows.join(told, key)
     kind = dict(rows.dtypes)[key]

@@ -282,6 +282,8 @@ def test_salted_join(spark):
     want = sorted(tuple(r) for r in rows.join(told, "k").collect())
     assert sorted(tuple(r) for r in salted_join(rows, told, "k", hot=50).collect()) == want
     assert sorted(tuple(r) for r in salted_join(rows, told, "k").collect()) == want
+    counts = spark.createDataFrame([("least", "hot", 600), ("least", "k3", 7)], "leader string, k string, rows_of_key long")
+    assert sorted(tuple(r) for r in salted_join(rows, told, "k", counts, hot=50).collect()) == want
 
 
 def test_components_of_a_hub(spark):
