@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,15 +27,34 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that the worker no longer uses back to the machine: Arrow's pool and malloc keep it else, beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what a batch left behind is given back before the next one is asked for."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in slices. make() runs once a task and returns the function from a slice to its output columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = None
-        for batch in batches:
+        step = batch = part = None
+        for batch in released(batches):
             for part in text_slices(batch, column, limit):
                 step = step or make()
                 yield pa.RecordBatch.from_pydict(step(part), schema=arrow)
+        del batch, part
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

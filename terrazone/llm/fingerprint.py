@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import text_slices
+from terrazone.llm.common import released, text_slices
 
 BUCKETS = 256
 #: Places, within a window, of the triplets' bytes: the newest byte and two others.
@@ -175,7 +175,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _follow(batches, step)
+        yield from _follow(released(batches), step)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

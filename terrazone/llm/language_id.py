@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import map_texts, text_slices
+from terrazone.llm.common import map_texts, released, text_slices
 
 ORDERS = (2, 3, 4)
 UND = "und"
@@ -264,7 +264,7 @@ def keep_identified(df: DataFrame, text_col: str = "text", **fit) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(fit_language_model(df, text_col=text_col, **fit))
 
     def keep(batches):
-        for batch in batches:
+        for batch in released(batches):
             for part in text_slices(batch, text_col, SLICE):
                 yield part.filter(pa.array(shared.value.predict(part.column(text_col).to_pylist())[2]))
 

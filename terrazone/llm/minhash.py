@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import map_texts, packed, salted_join, text_slices, unpacked
+from terrazone.llm.common import map_texts, packed, released, salted_join, text_slices, unpacked
 from terrazone.llm.graph import components
 from terrazone.session import cut
 
@@ -208,7 +208,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     near = salted_join(pairs, low.select(F.col("key").alias("b"), F.col("low").alias("lb")), "b").join(low.select(F.col("key").alias("a"), F.col("low").alias("la")), "a")
 
     def screen(batches):
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             la, lb = both(batch.column("la")), both(batch.column("lb"))
@@ -225,7 +225,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 held[key] = value, count
             return held[key]
 
-        for batch in batches:
+        for batch in released(batches):
             for part in text_slices(batch, "ta"):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 s = []

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import salted_join
+from terrazone.llm.common import released, salted_join
 from terrazone.llm.graph import components
 from terrazone.session import cut
 
@@ -412,7 +412,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def compare(batches):
         shard = None
-        for whole in batches:
+        for whole in released(batches):
             tasks, kinds = np.array(whole.column("task")), np.array(whole.column("kind"))
             edges = np.flatnonzero(np.append(True, (tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1]))).tolist() if whole.num_rows else []
             for lo, hi in zip(edges, [*edges[1:], whole.num_rows]):

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrazone.llm.common import map_texts
+from terrazone.llm.common import map_texts, released
 
 MARK = "▁"
 #: Stretches and pairs of pieces that a worker keeps, the longest stretch it keeps, and the positions between two looks for a commit.
@@ -281,7 +281,7 @@ def decode_documents(df: DataFrame, model: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         pieces = codec(model)
-        for batch in batches:
+        for batch in released(batches):
             yield pa.RecordBatch.from_pydict({id_col: batch.column("id"), "text": pa.array([pieces.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())})
 
     return df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInArrow(run, f"{id_col} {kind}, text string")
