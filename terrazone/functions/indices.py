@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default thresholds.
@@ -26,6 +26,7 @@ INDICES = {"ndvi": NDVI, "ndre": NDRE, "gli": GLI, "msavi2": MSAVI2}
 ALL_ZERO = "(red = 0e0 and green = 0e0 and blue = 0e0 and nir = 0e0 and red_edge = 0e0)"
 WATER = "(green > nir)"
 SHADOW = "(nir < 5e-2)"
+CROP_WITHOUT_MSAVI2 = f"(ndvi >= 2e-1 and not {SHADOW} and not {WATER})"
 CROP = f"(ndvi >= 2e-1 and msavi2 >= 15e-2 and not {SHADOW} and not {WATER})"
 
 
@@ -45,12 +46,26 @@ def clean(value: Column, nodata: float | None = None) -> Column:
     return value if nodata is None else F.when(value != nodata, value)
 
 
+def water(margin: float = 0.0) -> Column:
+    """Green over near infrared by more than a margin; null where either is missing."""
+    return F.col("green") > F.col("nir") + F.lit(float(margin))
+
+
 def scale(value: Column, factor: float) -> Column:
     if not (factor > 0 and factor < float("inf")):
         raise ValueError("a reflectance scale is finite and positive")
     return value * F.lit(float(factor))
 
 
+def scale_bands(df: DataFrame, factor: float | dict[str, float], roles: tuple[str, ...]) -> DataFrame:
+    """Bands times one factor, or each times its own; roles that a mapping doesn't name stay."""
+    by_role = factor if isinstance(factor, dict) else dict.fromkeys(roles, factor)
+    unknown = sorted(set(by_role) - set(roles))
+    if unknown:
+        raise ValueError(f"unknown roles {unknown}")
+    return df.withColumns({r: scale(F.col(r), f) for r, f in by_role.items() if r in df.columns})
+
+
 def clip01(value: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
@@ -82,9 +97,15 @@ def kml_colour(hex_rgb: Column, alpha: str = "ff") -> Column:
     return F.lower(F.concat(F.lit(alpha), F.substring(c, 5, 2), F.substring(c, 3, 2), F.substring(c, 1, 2)))
 
 
-def parse_boolean(value: Column) -> Column:
+# Words for true and false.
+TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off", "")
+
+
+def parse_boolean(value: Column, strict: bool = True) -> Column:
+    """True or false by words; null stays null, another word is an error, or null unless strict."""
     v = F.lower(F.trim(value.cast("string")))
-    return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off", ""), False)
+    other = F.when(value.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), value.cast("string"))).cast("boolean")) if strict else F.lit(None).cast("boolean")
+    return F.when(v.isin(*TRUE), True).when(v.isin(*FALSE), False).otherwise(other)
 
 
 def grouped_number(value: Column) -> Column:

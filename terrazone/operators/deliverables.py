@@ -15,7 +15,7 @@ ALIASES = {
     "nir": ("nir", "near infrared", "near-infrared", "nearinfrared"),
     "red_edge": ("red edge", "rededge", "red-edge", "re"),
 }
-# Limits of archives.
+# Layouts by number of bands below; limits of archives.
 MEMBERS, TOTAL_BYTES, MEMBER_BYTES, RATIO = 256, 512 << 20, 256 << 20, 1000.0
 MERCATOR_RESOLUTION = 156543.03392804097
 
@@ -131,7 +131,9 @@ def export_decision(gate: Column, fallback: Column, zones: Column, requested: Co
 def rate_grid(zones: DataFrame, cells: DataFrame) -> DataFrame:
     """Rate of each cell by the zone box that holds its centre; of several the last zone's. Boxes become cell ranges, so cells meet them by key."""
     box = zones.select("zone_id", "rate", F.explode(F.sequence(F.ceil(F.col("y0") - 0.5).cast("int"), (F.ceil(F.col("y1") - 0.5) - 1).cast("int"))).alias("row_idx"), "x0", "x1")
-    hit = cells.select("row_idx", "col_idx").join(box, "row_idx").where((F.col("col_idx") + 0.5 >= F.col("x0")) & (F.col("col_idx") + 0.5 < F.col("x1")))
+    stripe = lambda c: F.floor(c / 64).cast("int")
+    box = box.where(F.col("x0") < F.col("x1")).withColumn("stripe", F.explode(F.sequence(stripe(F.ceil(F.col("x0") - 0.5)), stripe(F.ceil(F.col("x1") - 0.5)))))
+    hit = cells.select("row_idx", "col_idx", stripe(F.col("col_idx")).alias("stripe")).join(box, ["row_idx", "stripe"]).where((F.col("col_idx") + 0.5 >= F.col("x0")) & (F.col("col_idx") + 0.5 < F.col("x1")))
     return hit.groupBy("row_idx", "col_idx").agg(F.max_by("rate", "zone_id").alias("rate"), F.count(F.lit(1)).alias("zones"))
 
 

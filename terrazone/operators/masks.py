@@ -2,59 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from terrazone.session import cut
 
 CELL = ["row_idx", "col_idx"]
 
 
-def _neighbours(df: DataFrame, value: str, missing: Column) -> tuple[DataFrame, list[Column]]:
-    """Values of the four neighbours; a cell whose neighbour has no row reads `missing`."""
-    along, across = Window.partitionBy("row_idx").orderBy("col_idx"), Window.partitionBy("col_idx").orderBy("row_idx")
-    df = df.withColumns(
-        {
-            "_l": F.when(F.lag("col_idx").over(along) == F.col("col_idx") - 1, F.lag(value).over(along)),
-            "_r": F.when(F.lead("col_idx").over(along) == F.col("col_idx") + 1, F.lead(value).over(along)),
-        }
-    )
-    df = df.withColumns(
-        {
-            "_u": F.when(F.lag("row_idx").over(across) == F.col("row_idx") - 1, F.lag(value).over(across)),
-            "_d": F.when(F.lead("row_idx").over(across) == F.col("row_idx") + 1, F.lead(value).over(across)),
-        }
-    )
-    return df, [F.coalesce(F.col(c), missing) for c in ("_l", "_r", "_u", "_d")]
+#: Cells along the side of a tile.
+SIDE = 256
+
+
+def on_tiles(df: DataFrame, value: str, halo: int, step: Callable[[np.ndarray, np.ndarray, int, int], np.ndarray], missing, kind: str) -> DataFrame:
+    """df with value replaced by step(values, present, first row, first column) of its tile and `halo` cells around it.
+
+    One shuffle by tiles, whatever number of neighbourhood steps: cells within the halo of other tiles go to these too. Cells without a row are `missing`.
+    """
+    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / SIDE).cast("int"), F.floor((F.col(c) + halo) / SIDE).cast("int"))
+    dealt = df.withColumn("tile_row", F.explode(span("row_idx"))).withColumn("tile_col", F.explode(span("col_idx")))
+    fields = ", ".join(f"`{f.name}` {kind if f.name == value else f.dataType.simpleString()}" for f in df.schema)
+    size = SIDE + 2 * halo
+
+    def run(tile: pa.Table) -> pa.Table:
+        row0, col0 = (tile.column(c)[0].as_py() * SIDE - halo for c in ("tile_row", "tile_col"))
+        r, c = tile.column("row_idx").to_numpy() - row0, tile.column("col_idx").to_numpy() - col0
+        given = tile.column(value).to_pandas().to_numpy()
+        held = np.full((size, size), missing)
+        held[r, c] = np.where(pd.isna(given), missing, given).astype(held.dtype)
+        present = np.zeros((size, size), bool)
+        present[r, c] = True
+        found = step(held, present, row0, col0)[r, c]
+        own = (r >= halo) & (r < halo + SIDE) & (c >= halo) & (c < halo + SIDE)
+        tile = tile.drop_columns(["tile_row", "tile_col"])
+        at = tile.column_names.index(value)
+        return tile.set_column(at, value, pa.array(found).cast(arrow)).filter(pa.array(own))
+
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+    return dealt.groupBy("tile_row", "tile_col").applyInArrow(run, fields)
+
+
+def _shifted(v: np.ndarray) -> list[np.ndarray]:
+    """The values of the four neighbours; false beyond."""
+    p = np.pad(v, 1)
+    return [p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]
+
+
+def _eroded(v: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([v, *_shifted(v)])
+
+
+def _dilated(v: np.ndarray, present: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([v, *_shifted(v)]) & present
+
+
+def _steps(df: DataFrame, value: str, plan: str) -> DataFrame:
+    def step(v: np.ndarray, present: np.ndarray, row0: int, col0: int) -> np.ndarray:
+        for way in plan:
+            v = _eroded(v) if way == "e" else _dilated(v, present)
+        return v
+
+    return on_tiles(df, value, len(plan), step, False, "boolean") if plan else df
 
 
 def erode(df: DataFrame, value: str = "v", times: int = 1) -> DataFrame:
-    """A cell stays while it and its four neighbours are true; beyond the grid is false."""
-    for _ in range(times):
-        df, near = _neighbours(df, value, F.lit(False))
-        df = df.withColumn(value, F.col(value) & near[0] & near[1] & near[2] & near[3]).drop("_l", "_r", "_u", "_d")
-    return df
+    """A cell stays while it and its four neighbours are true; beyond the grid, and where no row is, is false."""
+    return _steps(df, value, "e" * times)
 
 
 def dilate(df: DataFrame, value: str = "v", times: int = 1) -> DataFrame:
-    for _ in range(times):
-        df, near = _neighbours(df, value, F.lit(False))
-        df = df.withColumn(value, F.col(value) | near[0] | near[1] | near[2] | near[3]).drop("_l", "_r", "_u", "_d")
-    return df
+    return _steps(df, value, "d" * times)
 
 
 def open_close(df: DataFrame, value: str = "v", times: int = 1) -> DataFrame:
-    return erode(dilate(dilate(erode(df, value, times), value, times), value, times), value, times)
+    return _steps(df, value, "e" * times + "d" * 2 * times + "e" * times)
 
 
 def median3(df: DataFrame, label: str = "label") -> DataFrame:
-    """3x3 median of labels, missing as -1, edges repeated; kept where the result isn't -1."""
-    size = df.agg(F.max("row_idx").alias("r"), F.max("col_idx").alias("c"))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = df.select(*CELL, F.explode(shifts).alias("s")).join(F.broadcast(size))  # one row
-    asked = asked.select(*CELL, F.least(F.greatest(F.col("row_idx") + F.col("s.i"), F.lit(0)), F.col("r")).alias("_r"), F.least(F.greatest(F.col("col_idx") + F.col("s.j"), F.lit(0)), F.col("c")).alias("_c"))
-    told = asked.join(df.select(F.col("row_idx").alias("_r"), F.col("col_idx").alias("_c"), F.coalesce(label, F.lit(-1)).alias("_v")), ["_r", "_c"])
-    return told.groupBy(*CELL).agg(F.sort_array(F.collect_list("_v"))[4].alias("_m")).select(*CELL, F.when(F.col("_m") >= 0, F.col("_m")).alias(label))
+    """3x3 median of labels, missing ones and cells without a row as -1, edges of the grid repeated; null where the result is -1."""
+    last = df.agg(F.max("row_idx"), F.max("col_idx")).first()
+
+    def step(v: np.ndarray, present: np.ndarray, row0: int, col0: int) -> np.ndarray:
+        rows, cols = (np.clip(np.arange(first, first + len(v)), 0, top) - first for first, top in ((row0, last[0]), (col0, last[1])))
+        v = v[np.clip(rows, 0, len(v) - 1)][:, np.clip(cols, 0, len(v) - 1)]
+        p = np.pad(v, 1, mode="edge")
+        return np.median(np.stack([p[i : i + len(v), j : j + len(v)] for i in range(3) for j in range(3)]), axis=0).astype(np.int64)
+
+    told = on_tiles(df.withColumn(label, F.col(label).cast("int")), label, 1, step, -1, "int")
+    return told.withColumn(label, F.when(F.col(label) >= 0, F.col(label)))
 
 
 def runs(cells: DataFrame) -> DataFrame:

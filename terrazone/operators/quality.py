@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,63 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars.limit(1)))
 
 
+#: Bins of one pass of quantiles(), and values among which the last pass picks.
+BINS, PICK = 1024, 1 << 16
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], by: str | None = None) -> dict:
+    """Exact quantiles, linear between ranks, of value for each group of by (None without groups): a list, None where a group has no value.
+
+    Every pass counts the values of each wanted rank's bracket in bins, and the rank's bin, from its least to its greatest value, is the next bracket, until
+    a bracket holds one value or so few that they are fetched by rank. So no task sorts all values, and the driver holds bins of a bounded number of groups.
+    """
+    rows = df.select((F.col(by) if by else F.lit(None).cast("int")).alias("g"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
+    found, open_ = {}, []
+    for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        for rank in sorted({f(p * (r.n - 1)) for p in shares for f in (math.floor, math.ceil)}):
+            open_.append((r.g, rank, r.lo, r.hi, 0, r.n))  # below: values under the bracket; held: values in it
+        found[r.g] = r.n
+    at: dict[tuple, float] = {}
+    while open_:
+        at |= {(g, rank): lo for g, rank, lo, hi, *_ in open_ if lo == hi}
+        open_ = [b for b in open_ if b[2] < b[3]]
+        brackets = sorted({(g, lo, hi, below, held) for g, _, lo, hi, below, held in open_}, key=str)
+        number = {b[:3]: i for i, b in enumerate(brackets)}
+        if not brackets:
+            break
+        inside = lambda b: F.col("g").eqNullSafe(F.lit(b[0])) & F.col("x").between(F.lit(b[1]), F.lit(b[2]))
+        small = {i for i, b in enumerate(brackets) if b[4] <= PICK}
+        # one value is a bin of its own in brackets of few values
+        bin_ = lambda i, b: F.lit(0) if i in small else F.least(F.floor((F.col("x") - F.lit(b[1])) / F.lit((b[2] - b[1]) / BINS)), F.lit(BINS - 1)).cast("int")
+        placed = rows.select("x", F.explode(F.filter(F.array(*[F.when(inside(b), F.struct(F.lit(i).alias("i"), bin_(i, b).alias("bin"), F.lit(i in small).alias("pick"))) for i, b in enumerate(brackets)]), lambda b: b.isNotNull())).alias("b"))
+        counted = placed.groupBy("b.i", "b.bin", F.when(F.col("b.pick"), F.col("x")).alias("own")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        bins: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: (r.i, r.lo)):
+            bins.setdefault(r.i, []).append(r)
+        after = []
+        for g, rank, lo, hi, below, _ in open_:
+            for r in bins[number[g, lo, hi]]:
+                if rank < below + r.n:
+                    after.append((g, rank, r.lo, r.hi, below, r.n))
+                    break
+                below += r.n
+        open_ = after
+    out = {}
+    for g, n in found.items():
+        told = []
+        for p in shares:
+            low, high = at[g, math.floor(p * (n - 1))], at[g, math.ceil(p * (n - 1))]
+            told.append(low + (high - low) * (p * (n - 1) - math.floor(p * (n - 1))))
+        out[g] = told
+    return out if by else out.get(None, [None] * len(shares))
+
+
+def one_row(df: DataFrame, **values) -> DataFrame:
+    """A row of doubles, longs and booleans."""
+    kind = lambda v: "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "double"
+    return df.sparkSession.range(1).select(*[F.lit(v).cast(kind(v)).alias(k) for k, v in values.items()])
+
+
 def share(condition: Column) -> Column:
     """Percent of rows with a value that fulfil a condition."""
     return 100 * F.avg(condition.cast("double"))
@@ -25,8 +84,8 @@ def band_qa(px: DataFrame, band: str) -> DataFrame:
 
 def is_constant(px: DataFrame, band: str) -> DataFrame:
     """Whether a band hardly varies: no zones can be drawn from it."""
-    spread = F.max(band) - F.min(band)
-    return px.agg((spread <= F.greatest(F.lit(1e-12), F.abs(F.median(band)) * 1e-8)).alias("constant"))
+    lo, mid, hi = quantiles(px, band, [0.0, 0.5, 1.0])
+    return one_row(px, constant=lo is not None and hi - lo <= max(1e-12, abs(mid) * 1e-8))
 
 
 def autoscale_factor(px: DataFrame, band: str, tolerance_pct: float = 5.0) -> DataFrame:
@@ -43,15 +102,17 @@ def autoscale(px: DataFrame, band: str, tolerance_pct: float = 5.0) -> DataFrame
 
 def reflectance_gate(px: DataFrame, least: float = 0.01) -> DataFrame:
     """plausible: 99th percentiles of red and nir reach absolute reflectance."""
-    p = px.agg(F.percentile("red", F.lit(0.99)).alias("p99_red"), F.percentile("nir", F.lit(0.99)).alias("p99_nir"))
-    return p.withColumn("plausible", F.coalesce(F.greatest("p99_red", "p99_nir") >= least, F.lit(False)) & F.col("p99_red").isNotNull() & F.col("p99_nir").isNotNull())
+    red, nir = (quantiles(px, band, [0.99])[0] for band in ("red", "nir"))
+    return one_row(px, p99_red=red, p99_nir=nir, plausible=red is not None and nir is not None and max(red, nir) >= least)
 
 
 def hotspot_threshold(crop: DataFrame, percentile: float = 10.0, cutoff: float = 1.5, stress_min: float = 0.20, value: str = "ndvi") -> DataFrame:
     """One row: pct_thr, med, mad, robust_thr, thr and the count. The percentile and the robust z cutoff, whichever is lower, if it leaves anything to find."""
-    first = crop.agg(F.count(value).alias("n"), F.percentile(value, F.lit(percentile / 100)).alias("pct_thr"), F.median(value).alias("med"))
-    told = with_scalars(crop.select(value), first)
-    both = told.agg(F.any_value("n").alias("n"), F.any_value("pct_thr").alias("pct_thr"), F.any_value("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    if not 0 <= percentile <= 100 or cutoff < 0:
+        raise ValueError("the percentile is in [0, 100] and the cutoff non-negative")
+    pct, med = quantiles(crop, value, [percentile / 100, 0.5])
+    mad = None if med is None else quantiles(crop.select(F.abs(F.col(value) - F.lit(med)).alias("far")), "far", [0.5])[0]
+    both = one_row(crop, n=crop.where(F.col(value).isNotNull()).count(), pct_thr=pct, med=med, mad=mad)
     robust = F.when(F.col("mad") > 0, F.col("med") - cutoff * MAD_SIGMA * F.col("mad")).otherwise(F.col("pct_thr"))
     low = F.least("pct_thr", "robust_thr")
     thr = F.when((low < stress_min) & (F.col("pct_thr") >= stress_min), F.col("pct_thr")).otherwise(low)
@@ -64,8 +125,8 @@ def canopy_cover(px: DataFrame, vegetation: Column, pixel_area: float = 1.0) ->
 
 def stretch_cuts(px: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """lo and hi for an 8-bit stretch; hi = lo + 1 where they meet."""
-    cuts = px.agg(F.percentile(band, F.lit(low)).alias("lo"), F.percentile(band, F.lit(high)).alias("hi"))
-    return cuts.withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1))
+    lo, hi = quantiles(px, band, [low, high])
+    return one_row(px, lo=lo, hi=hi if lo is None or hi > lo else lo + 1)
 
 
 def stretch(px: DataFrame, band: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrazone.functions import indices as ix
@@ -38,6 +38,11 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_indices(footprint(pixels(spark, sf_dir)))
 
 
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid, written once: for what passes over it several times, so that its expressions are computed once."""
+    return cut(grid(spark, sf_dir), "grid")
+
+
 def r6(c, name: str):
     return F.bround(c, 6).alias(name)
 
@@ -82,9 +87,9 @@ def index_qa(spark, sf_dir):
     return long.groupBy("name").agg((F.count(F.lit(1)) - F.count("x")).alias("missing"), F.count_if(F.abs("x") > 1).alias("outside"))
 
 
-@query("select 'red' as band, max(red) - min(red) <= greatest(1e-12, abs(median(red)) * 1e-8) as constant from fp union all select 'flat', true")
+@query("select 'red' as band, max(red) - min(red) <= greatest(1e-12, abs(median(red)) * 1e-8) as constant from fp union all select 'flat', max(f) - min(f) <= greatest(1e-12, abs(median(f)) * 1e-8) from (select 4e-1 + 0 * red as f from fp)")
 def band_constant_check(spark, sf_dir):
-    px = footprint(pixels(spark, sf_dir)).withColumn("flat", F.lit(0.4))
+    px = footprint(pixels(spark, sf_dir)).withColumn("flat", F.lit(0.4) + 0 * F.col("red"))
     return quality.is_constant(px, "red").select(F.lit("red").alias("band"), "constant").unionByName(quality.is_constant(px, "flat").select(F.lit("flat").alias("band"), "constant"))
 
 
@@ -138,7 +143,7 @@ def canopy_cover(spark, sf_dir):
 
 @query("select n, round_even(pct_thr, 6) as pct_thr, round_even(med, 6) as med, round_even(mad, 6) as mad, round_even(robust_thr, 6) as robust_thr, round_even(thr, 6) as thr from cut")
 def hotspot_threshold(spark, sf_dir):
-    told = quality.hotspot_threshold(grid(spark, sf_dir).where(ix.CROP))
+    told = quality.hotspot_threshold(held(spark, sf_dir).where(ix.CROP))
     return told.select("n", *[r6(c, c) for c in ("pct_thr", "med", "mad", "robust_thr", "thr")])
 
 
@@ -180,22 +185,12 @@ def open_close_mask(spark, sf_dir):
 _LABEL0 = f", l0 as materialized (select row_idx, col_idx, cast(nullif({ix.classify_sql()}, 0) as int) as label from ix), box as (select max(row_idx) as r, max(col_idx) as c from l0)"
 
 
-@query(f"""{_LABEL0}, nb as (select t.row_idx, t.col_idx, list_sort(list(coalesce(o.label, -1))) as vs from l0 t, box, (values (-1),(0),(1)) as di(i), (values (-1),(0),(1)) as dj(j), l0 o
-  where o.row_idx = least(greatest(t.row_idx + i, 0), box.r) and o.col_idx = least(greatest(t.col_idx + j, 0), box.c) group by all)
-select case when vs[5] >= 0 then vs[5] end as label, count(*) as n from nb where len(vs) = 9 group by all""")
+@query(f"""{_LABEL0}, asked as (select t.row_idx, t.col_idx, least(greatest(t.row_idx + i, 0), box.r) as y, least(greatest(t.col_idx + j, 0), box.c) as x from l0 t, box, (values (-1),(0),(1)) as di(i), (values (-1),(0),(1)) as dj(j)),
+nb as (select a.row_idx, a.col_idx, list_sort(list(coalesce(o.label, -1))) as vs from asked a left join l0 o on o.row_idx = a.y and o.col_idx = a.x group by all)
+select case when vs[5] >= 0 then vs[5] end as label, count(*) as n from nb group by all""")
 def median3x3_labels(spark, sf_dir):
     px = grid(spark, sf_dir).select("row_idx", "col_idx", F.nullif(F.expr(ix.classify_sql()), F.lit(0)).cast("int").alias("label"))
-    # cells with all nine neighbours in the footprint
-    return masks.median3(px).join(_nine(px), masks.CELL, "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _nine(px: DataFrame) -> DataFrame:
-    size = px.agg(F.max("row_idx").alias("r"), F.max("col_idx").alias("c"))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = quality.with_scalars(px.select(*masks.CELL, F.explode(shifts).alias("s")), size)
-    asked = asked.select(*masks.CELL, F.least(F.greatest(F.col("row_idx") + F.col("s.i"), F.lit(0)), F.col("r")).alias("y"), F.least(F.greatest(F.col("col_idx") + F.col("s.j"), F.lit(0)), F.col("c")).alias("x"))
-    found = asked.join(px.select(F.col("row_idx").alias("y"), F.col("col_idx").alias("x")), ["y", "x"])
-    return found.groupBy(*masks.CELL).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 9).select(*masks.CELL)
+    return masks.median3(px).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _components(cells: str, name: str) -> str:
@@ -227,7 +222,7 @@ def small_component_filter(spark, sf_dir):
 
 
 _EXPAND = "(select r.row_idx, c as col_idx, z.n from {k}_runs r join {k}_cc using (id) join {k}_size z using (lbl), range(0, 100) t(c) where c between r.c0 and r.c1)"
-_QC = f""", base as materialized (select row_idx, col_idx, ndvi, coalesce({ix.CROP}, false) as crop, ({ix.SHADOW} or {ix.WATER}) as excluded from ix where ndvi is not null),
+_QC = f""", base as materialized (select row_idx, col_idx, ndvi, coalesce({ix.CROP}, false) as crop, {ix.SHADOW} as shadow, {ix.WATER} as water, ({ix.SHADOW} or {ix.WATER}) as excluded from ix where ndvi is not null),
  cropcells as materialized (select row_idx, col_idx from base where crop){_components('cropcells', 'p')},
  filt as materialized (select b.*, coalesce(x.n >= 2, false) as filtered from base b left join {_EXPAND.format(k='p')} x using (row_idx, col_idx)),
  others as materialized (select row_idx, col_idx from filt where not filtered){_components('others', 'q')},
@@ -235,9 +230,9 @@ _QC = f""", base as materialized (select row_idx, col_idx, ndvi, coalesce({ix.CR
  eroded as materialized ({_near('big', 'mask', 'and')}), done as materialized (select b.* exclude (mask), e.mask from big b join eroded e using (row_idx, col_idx))"""
 
 
-@query(f"{_QC} select sum(crop::int)::bigint as crop_before, sum(mask::int)::bigint as crop_after, sum(large_other::int)::bigint as large_other, sum(excluded::int)::bigint as excluded, count(*) as valid from done")
+@query(f"{_QC} select sum(crop::int)::bigint as crop_before, sum(mask::int)::bigint as crop_after, sum(large_other::int)::bigint as large_other, sum(shadow::int)::bigint as shadow, sum(water::int)::bigint as water, sum(excluded::int)::bigint as excluded, count(*) as valid from done")
 def crop_mask_qc(spark, sf_dir):
-    return crop.crop_qc(crop.crop_mask(grid(spark, sf_dir)))
+    return crop.crop_qc(crop.crop_mask(held(spark, sf_dir)))
 
 
 _SPOT = f""", h0 as materialized (select row_idx, col_idx, ndvi, coalesce({ix.CROP} and ndvi <= (select thr from cut) and ndvi >= 2e-1 and (select n from cut) >= 100, false) as v from ix),
@@ -248,7 +243,7 @@ _SPOT = f""", h0 as materialized (select row_idx, col_idx, ndvi, coalesce({ix.CR
 
 
 def _hotspots(spark, sf_dir):
-    px = grid(spark, sf_dir)
+    px = held(spark, sf_dir)
     return crop.hotspots(cut(crop.hotspot_cells(px, px.where(ix.CROP)), "stress"))
 
 
@@ -278,12 +273,12 @@ def spot_spray_background(spark, sf_dir):
 # -- zones ---------------------------------------------------------------------------------------------
 
 
-def _lloyd_sql(k: int, rounds: int) -> str:
-    sql = f", z0 as materialized (select row_idx, col_idx, ndvi, gli from ix where {ix.CROP} and ndvi is not null and gli is not null), q0 as (select unnest(range({k})) as i, unnest(quantile_cont(ndvi, [{', '.join(repr((i + 0.5) / k) + 'e0' for i in range(k))}])) as q from z0)"
-    sql += ", a0 as materialized (select row_idx, col_idx, any_value(ndvi) as ndvi, any_value(gli) as gli, arg_min(i, (abs(ndvi - q), i)) as cluster from z0, q0 group by row_idx, col_idx)"
+def _lloyd_sql(k: int, rounds: int, tag: str = "") -> str:
+    sql = f", z0{tag} as materialized (select row_idx, col_idx, ndvi, gli from ix where {ix.CROP} and ndvi is not null and gli is not null order by md5(row_idx || ':' || col_idx || ':42') limit {10_000 if tag else 1 << 40}), q0{tag} as (select unnest(range({k})) as i, unnest(quantile_cont(ndvi, [{', '.join(repr((i + 0.5) / k) + 'e0' for i in range(k))}])) as q from z0{tag})"
+    sql += f", a0{tag} as materialized (select row_idx, col_idx, any_value(ndvi) as ndvi, any_value(gli) as gli, arg_min(i, (abs(ndvi - q), i)) as cluster from z0{tag}, q0{tag} group by row_idx, col_idx)"
     for n in range(rounds):
-        sql += f", m{n + 1} as materialized (select cluster as i, avg(ndvi) as a, avg(gli) as b from a{n} group by cluster), a{n + 1} as materialized (select row_idx, col_idx, any_value(ndvi) as ndvi, any_value(gli) as gli, arg_min(i, (pow(ndvi - a, 2) + pow(gli - b, 2), i)) as cluster from a{n}, m{n + 1} group by row_idx, col_idx)"
-    sql += f", ordered as (select cluster, row_number() over (order by avg(ndvi), cluster) - 1 as zone from a{rounds} group by cluster), zoned as materialized (select a.row_idx, a.col_idx, a.ndvi, a.gli, o.zone::int as cluster from a{rounds} a join ordered o using (cluster))"
+        sql += f", m{n + 1}{tag} as materialized (select cluster as i, avg(ndvi) as a, avg(gli) as b from a{n}{tag} group by cluster), a{n + 1}{tag} as materialized (select row_idx, col_idx, any_value(ndvi) as ndvi, any_value(gli) as gli, arg_min(i, (pow(ndvi - a, 2) + pow(gli - b, 2), i)) as cluster from a{n}{tag}, m{n + 1}{tag} group by row_idx, col_idx)"
+    sql += f", ordered{tag} as (select cluster, row_number() over (order by avg(ndvi), cluster) - 1 as zone from a{rounds}{tag} group by cluster), zoned{tag} as materialized (select a.row_idx, a.col_idx, a.ndvi, a.gli, o.zone::int as cluster from a{rounds}{tag} a join ordered{tag} o using (cluster))"
     return sql
 
 
@@ -329,9 +324,32 @@ def zone_merge_small(spark, sf_dir):
     return crop.merge_small(_strips(spark, sf_dir), 30).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SCORE = """sc{k} as materialized (select row_idx, col_idx, ndvi, gli, cluster from {of} order by md5(row_idx || ':' || col_idx || ':42') limit 5000),
+  sd{k} as (select a.row_idx, a.col_idx, a.cluster, b.cluster as other, sum(sqrt(pow(a.ndvi - b.ndvi, 2) + pow(a.gli - b.gli, 2))) as d, count(*) as n from sc{k} a, sc{k} b group by all),
+  sa{k} as (select row_idx, col_idx, max(case when other = cluster then d / greatest(n - 1, 1) end) as a, max(case when other = cluster then n end) as n, min(case when other <> cluster then d / n end) as b from sd{k} group by all),
+  ss{k} as (select avg(case when n > 1 and greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0e0 end) as s from sa{k})"""
+
+
+@query(f"{_ZONES}, {_SCORE.format(k=3, of='zoned')} select round_even(s, 6) as silhouette from ss3")
 def silhouette_sample(spark, sf_dir):
-    return crop.silhouette(_zones(spark, sf_dir), ["ndvi", "gli"])
+    return crop.silhouette(_zones(spark, sf_dir), ["ndvi", "gli"]).select(r6("silhouette", "silhouette"))
+
+
+_TRIED = {k: _lloyd_sql(k, 10, f"t{k}") for k in (2, 3, 4, 5)}
+
+
+@query("".join(_TRIED[k] + ", " + _SCORE.format(k=k, of=f"zonedt{k}") for k in _TRIED) + ", scored as (" + " union all ".join(f"select {k} as k, round_even(s, 6) as silhouette, s from ss{k}" for k in _TRIED) + """), best as (select arg_max(k, (s, -k)) as k, max(s) as s from scored)
+select scored.k, silhouette, scored.k = case when best.s >= 25e-2 then best.k else 2 end as chosen from scored, best""")
+def zone_choice(spark, sf_dir):
+    cells = held(spark, sf_dir).where(ix.CROP).select(*masks.CELL, "ndvi", "gli")
+    return crop.choose_zones(cells, ["ndvi", "gli"]).withColumn("silhouette", F.bround("silhouette", 6))
+
+
+@query("select cluster, count(*) as n, round_even(avg(ndvi), 6) as ndvi, rank() over (order by avg(ndvi)) - 1 = cluster as in_order from zoned group by cluster".join([_ZONES + " ", ""]))
+def zone_rank_labels(spark, sf_dir):
+    told = _zones(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("ndvi").alias("mean"))
+    order = F.rank().over(Window.orderBy("mean")) - 1  # two to five rows
+    return told.select("cluster", "n", r6("mean", "ndvi"), (order == F.col("cluster")).alias("in_order"))
 
 
 @query(f"{_ZONE_STATS}, t as (select sum(area_m2) as z from zs), u as (select count(*)::double as usable from ix where {ix.CROP}) select z as zone_area_m2, usable as usable_area_m2, round_even(100 * z / usable, 6) as zone_pct, greatest(0e0, usable - z) as uncovered_m2 from t, u")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a long column name that counts its rows from 1 in order; ranges of rows are numbered apart, so no task holds all.
+
+    The order should tell all rows apart. The driver holds one count for each range.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_of_order", F.spark_partition_id()), "ranges")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("part_of_order").count().collect())
+    before, offsets = 0, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    told = df.sparkSession.createDataFrame(offsets, "part_of_order int, rows_before long")
+    place = F.row_number().over(Window.partitionBy("part_of_order").orderBy(*order))
+    return ranged.withColumn(name, place.cast("long")).join(F.broadcast(told), "part_of_order").withColumn(name, F.col(name) + F.col("rows_before")).drop("part_of_order", "rows_before")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what cut() wrote for tables that no later plan reads, such as the rounds of a loop."""
     for df in tables:
