@@ -92,6 +92,11 @@ def xml_escape(value: Column) -> Column:
     return value
 
 
+def mask_code(usable: Column, crop: Column) -> Column:
+    """A cell of a mask raster: 255 where it isn't usable, else 1 for crop and 0."""
+    return F.when(~F.coalesce(usable, F.lit(False)), 255).when(F.coalesce(crop, F.lit(False)), 1).otherwise(0)
+
+
 def kml_colour(hex_rgb: Column, alpha: str = "ff") -> Column:
     c = F.regexp_replace(hex_rgb, "^#", "")
     return F.lower(F.concat(F.lit(alpha), F.substring(c, 5, 2), F.substring(c, 3, 2), F.substring(c, 1, 2)))

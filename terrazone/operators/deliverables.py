@@ -21,7 +21,7 @@ MERCATOR_RESOLUTION = 156543.03392804097
 
 
 def roles_by_description(bands: DataFrame) -> DataFrame:
-    """raster_id, role, band, n: the band of each role and how many claim it. bands: raster_id, band, description."""
+    """raster_id, role, band, n: the first band of each role and how many claim it; more than one is a fault (bands.resolve_roles). bands: raster_id, band, description."""
     names = F.create_map(*[F.lit(x) for role, many in ALIASES.items() for a in many for x in (a, role)])
     told = bands.withColumn("role", F.try_element_at(names, normal_description(F.coalesce("description", F.lit("")))))
     return told.where(F.col("role").isNotNull()).groupBy("raster_id", "role").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"))

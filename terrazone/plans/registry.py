@@ -401,17 +401,6 @@ def rx_explicit_rates(spark, sf_dir):
     return prescription.resolve(zones, plan).select("zone_id", "ndvi_mean", "TargetRate", "Rx_Mode")
 
 
-@query("""select c_nationkey as missing_zone, count(*) as n from customer where c_nationkey not in (select s_nationkey from supplier where s_nationkey % 2 = 0) group by all""", view=False)
-def rx_rate_integrity(spark, sf_dir):
-    rates = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("c_nationkey"))
-    return table(spark, sf_dir, "customer").join(rates, "c_nationkey", "left_anti").groupBy(F.col("c_nationkey").alias("missing_zone")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""select check_id, 0::bigint as rows from (values ('rx_range'), ('rate_negative'), ('pct_over_100')) t(check_id)""", view=False)
-def rx_problems(spark, sf_dir):
-    return prescription.problems(prescription.resolve(_zone_table(spark, sf_dir)))
-
-
 # -- deliverables ---------------------------------------------------------------------------------------
 
 
@@ -429,11 +418,6 @@ def rate_grid_rasterize(spark, sf_dir):
     return deliverables.rate_grid(_boxes(spark, sf_dir), pixels(spark, sf_dir))
 
 
-@query(f"{_BOXES}, px as ({PIXELS_SQL.format(div='//')}) select count(*) as overlapping from (select row_idx, col_idx from px join b on row_idx + 5e-1 >= y0 and row_idx + 5e-1 < y1 and col_idx + 5e-1 >= x0 and col_idx + 5e-1 < x1 group by all having count(*) > 1)", view=False)
-def rx_overlap_check(spark, sf_dir):
-    return deliverables.rate_grid(_boxes(spark, sf_dir), pixels(spark, sf_dir)).where(F.col("zones") > 1).agg(F.count(F.lit(1)).alias("overlapping"))
-
-
 @query("""with p as (select p_size % 5 as zone_id, p_retailprice as area_m2, p_partkey::double as x0, 0e0 as y0 from part), n as (select *, row_number() over (partition by zone_id order by area_m2 desc, x0, y0) as n, sum(area_m2) over (partition by zone_id) as parent from p)
 select zone_id, printf('Z%d-P%03d', zone_id, n) as patch_id, area_m2, round_even(100 * area_m2 / parent, 6) as share_pct from n where n = 1 or (area_m2 >= 1 and 100 * area_m2 / parent >= 1e-2)""", view=False)
 def patch_numbers(spark, sf_dir):

@@ -1,39 +1,188 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrazone.operators import crop, deliverables, masks, prescription
+from terrazone.functions import indices as ix
+from terrazone.operators import crop, deliverables, geometry, masks, prescription, quality, rules
 from terrazone.sources.pixels import mask_bands
 
-PLAN = {"mode": "physical", "operation": "fertilizer", "product_name": "urea", "rate_basis": "product", "unit": "KG_HA", "strategy": "explicit_by_zone", "zone_rates": {0: 120, 1: 150, 2: 180}, "equipment_min_rate": 100, "equipment_max_rate": 200, "approved_by": "agronomist"}
+PLAN = {"mode": "physical", "operation": "spray", "product_name": "lime", "rate_basis": "nutrient", "unit": "l_ha", "strategy": "explicit_by_zone", "zone_rates": {4: 35, 7: 20.5, 9: 50}, "equipment_min_rate": 20, "equipment_max_rate": 60, "approved_by": "me"}
+BOUNDS = {"mode": "physical", "operation": "seeding", "product_name": "oats", "rate_basis": "product", "unit": "SEEDS_HA", "strategy": "direct", "min_rate": 10.0, "max_rate": 30.0, "approved_by": "me"}
 
 
 @pytest.fixture
 def zones(spark):
-    return spark.createDataFrame([(0, 0.2, 100.0), (1, 0.5, 100.0), (2, 0.8, 100.0)], "zone_id int, ndvi_mean double, area_m2 double")
+    return spark.createDataFrame([(4, -0.1, 20000.0), (7, 0.15, 5000.0), (9, 0.4, 1000.0)], "zone_id int, ndvi_mean double, area_m2 double")
 
 
 def test_relative_plan(zones):
     rows = prescription.resolve(zones).orderBy("zone_id").collect()
     assert [r.TargetRate for r in rows] == [100, 50, 0] and {r.Rate_Unit for r in rows} == {"PCT"}
+    assert [r.TargetRate for r in prescription.resolve(zones, BOUNDS).orderBy("zone_id").collect()] == [10, 20, 30]
 
 
 def test_explicit_plan(zones):
     rx = prescription.resolve(zones, PLAN)
-    assert sorted(r.TargetRate for r in rx.collect()) == [120, 150, 180]
-    assert prescription.summary(rx, "KG_HA").first().estimated_total_product == pytest.approx(4.5)
+    assert {r.zone_id: r.TargetRate for r in rx.collect()} == {4: 35, 7: 20.5, 9: 50} and {r.Rate_Unit for r in rx.collect()} == {"L_HA"}
+    assert prescription.summary(rx, "L_HA").first().estimated_total_product == pytest.approx(35 * 2 + 20.5 * 0.5 + 50 * 0.1)
 
 
-@pytest.mark.parametrize("change", [{"approved_by": ""}, {"product_name": ""}, {"unit": "PCT"}, {"zone_rates": {0: 120, 1: 150}}])
+@pytest.mark.parametrize("change", [
+    {"approved_by": " "}, {"product_name": None}, {"unit": "PCT"}, {"zone_rates": {4: 35, 7: 20}}, {"zone_rates": {4: 35, 7: 20.5, 9: 50, 11: 30}}, {"zone_rates": {}}, {"zone_rates": {4.5: 35, 7: 21, 9: 50}},
+    {"zone_rates": {4: -1, 7: 21, 9: 50}}, {"zone_rates": {4: float("inf"), 7: 21, 9: 50}}, {"min_rate": 1.0, "max_rate": 2.0}, {"operation": "mow"}, {"rate_basis": None}, {"mode": "maybe"}, {"strategy": "target_hotspots"}, {"equipment_min_rate": 70}, {"mode": "relative"},
+])
 def test_refused_plans(zones, change):
     with pytest.raises(ValueError):
         prescription.resolve(zones, PLAN | change).collect()
 
 
+def test_all_faults_are_named_at_once(spark):
+    with pytest.raises(ValueError, match="operation.*product_name.*approved_by"):
+        prescription.RatePlan.of(PLAN | {"operation": None, "product_name": "", "approved_by": ""}).check(spark)
+    with pytest.raises(TypeError):
+        prescription.RatePlan.of("plan")
+    with pytest.raises(TypeError):
+        prescription.RatePlan.of({"dose": 3})
+
+
 def test_rate_beyond_equipment(zones):
-    with pytest.raises(Exception, match="beyond"):
-        prescription.resolve(zones, PLAN | {"equipment_max_rate": 170}).collect()
+    for change in ({"equipment_max_rate": 40}, {"equipment_min_rate": 21}):
+        with pytest.raises(Exception, match="beyond"):
+            prescription.resolve(zones, PLAN | change).collect()
+
+
+@pytest.mark.parametrize("rates", [{"min_rate": 5.0}, {"base_rate": 5.0}, {"min_rate": -1.0, "max_rate": 2.0}, {"min_rate": 3.0, "max_rate": 2.0}, {"min_rate": 0.0, "max_rate": float("inf")}, {"response": "both"}, {"field": "ndre_mean"}])
+def test_refused_rates(zones, rates):
+    with pytest.raises(ValueError):
+        prescription.prescribe(zones, **rates)
+
+
+def test_refused_zones(spark, zones):
+    for rows in ([(1.5, 0.2)], [(1.0, 0.2), (1.0, 0.3)], [(1.0, None), (2.0, 0.3)], [(1.0, float("nan")), (2.0, 0.3)], [(None, 0.1)]):
+        with pytest.raises(Exception, match="zone"):
+            prescription.prescribe(spark.createDataFrame(rows, "zone_id double, ndvi_mean double")).collect()
+    numbered = prescription.prescribe(spark.createDataFrame([(0.2,), (0.1,)], "NDVI double")).orderBy("rx_zone_id").collect()
+    assert [(r.rx_zone_id, r.Rx_Index, r.IndexFld) for r in numbered] == [(1, 1.0, "NDVI"), (2, 0.0, "NDVI")]
+
+
+def test_ready_prescriptions_are_used(spark, zones):
+    columns = "Zone_ID int, Rx_Index double, TargetRate double, Rate_Unit string, Cmd_Mode string, Rx_Mode string"
+    good = spark.createDataFrame([(1, 0.5, 90.0, "PCT", "c", "r"), (2, 1.0, 130.0, "KG_HA", "c", "r")], columns)
+    assert prescription.prescription_or_build(good) is good
+    assert "IndexFld" in prescription.prescription_or_build(zones).columns
+    for bad in ((2, 0.5, 101.0, "pct", "c", "r"), (1, 0.5, 1.0, "PCT", "c", "r"), (3, 1.1, 1.0, "PCT", "c", "r"), (3, 0.1, -1.0, "PCT", "c", "r"), (None, 0.1, 1.0, "PCT", "c", "r")):
+        with pytest.raises(ValueError):
+            prescription.prescription_or_build(good.where("Zone_ID = 1").unionByName(spark.createDataFrame([bad], columns)))
+
+
+@pytest.mark.parametrize("rate", [(-1.0, None, "PCT"), (101.0, None, "pct"), (float("nan"), None, "L_HA"), (5.0, -2.0, "L_HA")])
+def test_refused_spot_rates(spark, rate):
+    with pytest.raises(ValueError):
+        prescription.spot_prescription(spark.createDataFrame([(1,)], "severity_rank int"), *rate)
+
+
+def test_field_pixels():
+    assert rules.field_pixels(600, 900) == ("crop", []) and rules.field_pixels(20, 20)[0] == "crop" and len(rules.field_pixels(20, 20)[1]) == 1
+    assert rules.field_pixels(19, 20)[0] == "finite" and len(rules.field_pixels(19, 20)[1]) == 2
+    with pytest.raises(ValueError):
+        rules.field_pixels(3, 19)
+
+
+@pytest.mark.parametrize("args", [{"k_range": (1, 3)}, {"k_range": (4, 3)}, {"k_range": (2, 6)}, {"sample": 4}, {"features": ["a", "a"]}, {"features": ["a", "c"]}])
+def test_refused_zone_ranges(spark, args):
+    df = spark.range(300).selectExpr("cast(id as int) as row_idx", "0 as col_idx", "cast(id % 7 as double) as a", "cast(id as double) as b")
+    with pytest.raises(ValueError):
+        crop.choose_zones(df, **({"features": ["a", "b"]} | args))
+
+
+def test_number_of_zones(spark):
+    rows = [(i, 0, 10.0 * (i % 3) + (i % 5) / 50, (i % 4) / 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_idx int, col_idx int, a double, b double")
+    assert [r.k for r in crop.choose_zones(df, ["a", "b"]).where("chosen").collect()] == [3]
+    flat = spark.createDataFrame([(i, 0, 1.0, 2.0) for i in range(400)], "row_idx int, col_idx int, a double, b double")
+    assert [r.k for r in crop.choose_zones(flat, ["a", "b"]).where("chosen").collect()] == [2]
+    with pytest.raises(ValueError, match="too few"):
+        crop.choose_zones(df.limit(19), ["a", "b"])
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PICK", 40)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal(5000), np.full(3000, 0.25), rng.standard_normal(100) * 1e9])
+    group = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(group, x)] + [(9, None), (9, 1.5)], "g int, x double")
+    shares = [0.0, 0.02, 0.1, 0.5, 0.777, 0.98, 1.0]
+    assert quality.quantiles(df.where("g < 9"), "x", shares) == pytest.approx(np.quantile(x, shares).tolist())
+    found = quality.quantiles(df, "x", shares, "g")
+    assert found[9] == [1.5] * 7 and all(found[g] == pytest.approx(np.quantile(x[group == g], shares).tolist()) for g in range(3))
+    assert quality.quantiles(df.where("g = 77"), "x", [0.5]) == [None]
+
+
+def test_neighbourhoods_over_tiles(spark, monkeypatch):
+    """Erosion, opening with closing and the median on small tiles equal plain loops."""
+    monkeypatch.setattr(masks, "SIDE", 5)
+    rng = np.random.default_rng(4)
+    present, on, label = rng.random((17, 13)) < 0.93, rng.random((17, 13)) < 0.8, rng.integers(0, 4, (17, 13))
+    rows = [(r, c, bool(on[r, c]), int(label[r, c]), f"{r}") for r in range(17) for c in range(13) if present[r, c]]
+    df = spark.createDataFrame(rows, "row_idx int, col_idx int, v boolean, label int, more string")
+
+    def walk(v, plan):
+        for way in plan:
+            p = np.pad(v, 1)
+            near = [p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]
+            v = np.logical_and.reduce([v, *near]) if way == "e" else np.logical_or.reduce([v, *near]) & present
+        return v
+
+    for found, plan in ((masks.erode(df, times=2), "ee"), (masks.open_close(df), "edde"), (masks.dilate(df), "d")):
+        want = walk(on & present, plan)
+        assert {(r.row_idx, r.col_idx): (r.v, r.label, r.more) for r in found.collect()} == {(r, c): (bool(want[r, c]), l, m) for r, c, _, l, m in rows}
+    held = np.where(present, label, -1)
+    top_r, top_c = max(r for r, *_ in rows), max(c for _, c, *_ in rows)
+    median = lambda r, c: sorted(held[min(max(r + i, 0), top_r), min(max(c + j, 0), top_c)] for i in (-1, 0, 1) for j in (-1, 0, 1))[4]
+    out = {(r.row_idx, r.col_idx): r.label for r in masks.median3(df).collect()}
+    assert out == {(r, c): None if median(r, c) < 0 else median(r, c) for r, c, *_ in rows}
+
+
+def test_numbered_by_ranges(spark):
+    from terrazone.session import numbered
+
+    df = spark.range(5000).selectExpr("(id * 7919) % 5003 as x").repartition(9)
+    assert [r.n - i for i, r in enumerate(numbered(df, "n", "x").orderBy("x").collect())] == [1] * 5000
+    assert numbered(df.limit(0), "n", "x").collect() == []
+
+
+def test_outlines(spark):
+    df = cells(spark, "##### #.#.# ##### ....# #....").withColumn("label", F.when((F.col("row_idx") == 4), 2).otherwise(1))
+    found = {r.label: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in geometry.outlines(df).collect()}
+    assert found[2] == [[(0, 4), (1, 4), (1, 5), (0, 5), (0, 4)]]
+    assert len(found[1]) == 3 and found[1][0] == [(0, 0), (5, 0), (5, 4), (4, 4), (4, 3), (0, 3), (0, 0)] and found[1][1][0] in [(1, 1), (2, 1), (1, 2), (2, 2)]
+    area = geometry.outlines(df).select("label", geometry.area(F.col("rings")).alias("a"), geometry.is_valid(F.col("rings")).alias("ok")).collect()
+    assert {(r.label, r.a, r.ok) for r in area} == {(1, 14.0, True), (2, 1.0, True)}
+    inside = geometry.outlines(df.where("label = 1")).select(*[geometry.contains(F.col("rings"), F.lit(x), F.lit(y)).alias(n) for n, x, y in (("a", 0.5, 0.5), ("b", 1.5, 1.5), ("c", 4.5, 3.5), ("d", 3.5, 3.5))]).first()
+    assert tuple(inside) == (True, False, True, False)
+
+
+def test_geographic_area(spark):
+    """A degree square at the equator has 1.2309e6 hectares on the ellipsoid, and the whole of it 5.1007e10."""
+    row = spark.range(1).select(geometry.geographic_box_hectares(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("a"), geometry.geographic_box_hectares(F.lit(-180), F.lit(-90), F.lit(180), F.lit(90)).alias("b")).first()
+    assert row.a == pytest.approx(1.2309e6, rel=2e-4) and row.b == pytest.approx(5.10065622e10, rel=1e-8)
+
+
+def test_boolean_words_are_strict(spark):
+    df = spark.createDataFrame([("YES ",), ("off",), (None,)], "w string")
+    assert [r.b for r in df.select(ix.parse_boolean(F.col("w")).alias("b")).collect()] == [True, False, None]
+    with pytest.raises(Exception, match="maybe"):
+        spark.createDataFrame([("maybe",)], "w string").select(ix.parse_boolean(F.col("w"))).collect()
+
+
+def test_scales_of_bands(spark):
+    df = spark.createDataFrame([(2.0, 3.0)], "red double, nir double")
+    assert tuple(ix.scale_bands(df, {"red": 0.5}, rules.ROLES).first()) == (1.0, 3.0) and tuple(ix.scale_bands(df, 2.0, rules.ROLES).first()) == (4.0, 6.0)
+    for bad in ({"swir": 1.0}, {"red": 0.0}, float("inf")):
+        with pytest.raises(ValueError):
+            ix.scale_bands(df, bad, rules.ROLES)
 
 
 def cells(spark, text):
