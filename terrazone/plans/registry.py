@@ -52,14 +52,18 @@ def r6(c, name: str):
 
 @query(f"select cls, count(*) as pixels, round_even(avg(ndvi), 6) as mean_ndvi, round_even(median(ndvi), 6) as median_ndvi, cast(count(*) as double) as area_m2 from (select ndvi, {ix.classify_sql()} as cls from ix) group by cls")
 def ndvi_class_hist(spark, sf_dir):
-    px = grid(spark, sf_dir).withColumn("cls", F.expr(ix.classify_sql()))
-    return px.groupBy("cls").agg(F.count(F.lit(1)).alias("pixels"), r6(F.avg("ndvi"), "mean_ndvi"), r6(F.median("ndvi"), "median_ndvi"), F.count(F.lit(1)).cast("double").alias("area_m2"))
+    px = cut(with_indices(footprint(pixels(spark, sf_dir)), ("ndvi",)).select("ndvi", F.expr(ix.classify_sql()).alias("cls")), "classes")
+    middle = [F.lit(x) for c, (m,) in quality.quantiles(px, "ndvi", [0.5], "cls").items() for x in (c, m)]  # a pair a class
+    told = px.groupBy("cls").agg(F.count(F.lit(1)).alias("pixels"), r6(F.avg("ndvi"), "mean_ndvi"), F.count(F.lit(1)).cast("double").alias("area_m2"))
+    return told.withColumn("median_ndvi", F.bround(F.element_at(F.create_map(*middle), F.col("cls")), 6) if middle else F.lit(None).cast("double"))
 
 
 def _index_stats(name: str) -> None:
     def stats(spark, sf_dir):
-        px = with_indices(footprint(pixels(spark, sf_dir)), (name,))
-        return px.agg(F.count(name).alias("n"), r6(F.avg(name), "mean"), r6(F.min(name), "lo"), r6(F.max(name), "hi"), r6(F.median(name), "med"))
+        px = cut(with_indices(footprint(pixels(spark, sf_dir)), (name,)).select(name), "index")
+        middle = quality.one_row(px, med=quality.quantiles(px, name, [0.5])[0])
+        told = px.agg(F.count(name).alias("n"), r6(F.avg(name), "mean"), r6(F.min(name), "lo"), r6(F.max(name), "hi"))
+        return quality.with_scalars(told, middle).withColumn("med", F.bround("med", 6))
 
     stats.__name__ = f"{name}_stats"
     query(f"select count({name}) as n, round_even(avg({name}), 6) as mean, round_even(min({name}), 6) as lo, round_even(max({name}), 6) as hi, round_even(median({name}), 6) as med from ix")(stats)

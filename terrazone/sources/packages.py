@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.operators.deliverables import unsafe_members
-from terrazone.operators.rules import UPLOAD_BYTES, UPLOAD_RATIO
+from terrazone.operators.deliverables import unsafe_members, world_file
+from terrazone.operators.geometry import overlaps
+from terrazone.operators.rules import PACKAGE, UPLOAD_BYTES, UPLOAD_RATIO, faults
+from terrazone.sources import geotiff
 
 # What a rate package must hold, and the most that is copied along.
 MEMBERS = tuple(f"DJI/Shapefile/application_boundary.{x}" for x in ("shp", "shx", "dbf", "prj")) + ("DJI/Rx/application_rate.tif", "DJI/Rx/application_rate.tfw")
@@ -257,3 +259,63 @@ def pdf(lines: Sequence[str], per_page: int = 56) -> bytes:
         out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
     table = b"".join(b"%010d 00000 n \n" % a for a in at)
     return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(at) + 1, table, len(at) + 1, len(out))
+
+
+# -- rate packages ------------------------------------------------------------------------------------
+
+
+def write_rate_package(spark: SparkSession, zones: DataFrame, epsg: int, folder: str, path: str, resolution: float | None = None) -> list[str]:
+    """Boundary and rate raster of zones (zone_id, rate, x0, y0, x1, y1 in metres) as an archive, which is then read back and must be sound.
+
+    The raster has a pixel's rate where its centre lies in a zone. It and the boundary are files of one field, so zones pass the driver.
+    """
+    boxes = zones.select("zone_id", F.col("rate").cast("double"), "x0", "y0", "x1", "y1").orderBy("zone_id").collect()
+    if not boxes or any(b.rate is None or not math.isfinite(b.rate) for b in boxes):
+        raise ValueError("a package needs zones, each with a rate")
+    if not overlaps(zones.withColumnRenamed("zone_id", "id")).isEmpty():
+        raise ValueError("zones overlap")
+    x0, y0, x1, y1 = min(b.x0 for b in boxes), min(b.y0 for b in boxes), max(b.x1 for b in boxes), max(b.y1 for b in boxes)
+    size = resolution or max(0.05, min(0.25, math.sqrt(max(sum((b.x1 - b.x0) * (b.y1 - b.y0) for b in boxes), 1.0) / 250_000)))
+    if size <= 0:
+        raise ValueError("the resolution is positive")
+    width, height = max(1, math.ceil((x1 - x0) / size)), max(1, math.ceil((y1 - y0) / size))
+    raster = np.full((height, width), -9999.0, "f4")
+    xs, ys = x0 + size * (np.arange(width) + 0.5), y1 - size * (np.arange(height) + 0.5)
+    for b in boxes:
+        rows, cols = np.flatnonzero((ys > b.y0) & (ys <= b.y1)), np.flatnonzero((xs >= b.x0) & (xs < b.x1))
+        raster[np.ix_(rows, cols)] = b.rate
+    base = Path(folder) / "DJI"
+    for part in ("Shapefile", "Rx"):
+        (base / part).mkdir(parents=True, exist_ok=True)
+    rings = [(str(b.zone_id), [[(b.x0, b.y0), (b.x1, b.y0), (b.x1, b.y1), (b.x0, b.y1), (b.x0, b.y0)]]) for b in boxes]
+    write_shapefile(str(base / "Shapefile" / "application_boundary"), rings, f"EPSG:{epsg}")
+    at = (size, 0.0, x0, 0.0, -size, y1)
+    geotiff.write(str(base / "Rx" / "application_rate.tif"), raster[None], at, epsg, -9999.0, ["TargetRate"])
+    (base / "Rx" / "application_rate.tfw").write_text(world_file(*at))
+    names = pack(folder, path, ["package_manifest.json"])
+    broken = [r.message for r in package_faults(spark, path, folder + "-read").collect()]  # a row a rule
+    if broken:
+        raise ValueError("; ".join(broken))
+    return names
+
+
+def read_package(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """One row of what an archive holds: members, features, reference systems, pixels, least and largest rate, areas."""
+    names = extract(spark, path, folder)
+    shape, tif = Path(folder) / MEMBERS[0].removesuffix(".shp"), Path(folder) / MEMBERS[4]
+    polygons = read_shapefile(str(shape)) if Path(f"{shape}.shp").exists() else []
+    area = sum(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2 * (-1 if i else 1) for _, rings in polygons for i, ring in enumerate(rings))
+    crs = Path(f"{shape}.prj").read_text() if Path(f"{shape}.prj").exists() else None
+    system, pixels, lo, hi, covered = None, 0, None, None, 0.0
+    if tif.exists():
+        h = geotiff.header(str(tif))
+        rates = geotiff.rows(h, 0, h.height, [1])[0]
+        good = rates[np.isfinite(rates) & (rates != h.nodata)]
+        system, pixels, covered = f"EPSG:{h.epsg}" if h.epsg else None, len(good), len(good) * abs(h.transform[0] * h.transform[4])
+        lo, hi = (float(good.min()), float(good.max())) if len(good) else (None, None)
+    row = (path, len(set(MEMBERS) & set(names)), len(polygons), crs, system, pixels, lo, hi, float(area), float(covered))
+    return spark.createDataFrame([row], "package string, members int, features int, boundary_crs string, raster_crs string, pixels long, least double, most double, polygon_area double, raster_area double")
+
+
+def package_faults(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    return faults(read_package(spark, path, folder), ["package"], PACKAGE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sqlite3
 import zipfile
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrazone.operators import deliverables, projection
-from terrazone.sources import geotiff, packages
+from terrazone.sources import geotiff, jobs, packages
 
 AT = (0.5, 0.0, 300000.0, 0.0, -0.5, 5000000.0)
 
@@ -182,3 +183,49 @@ def test_metric_system(spark):
     with pytest.raises(Exception, match="UTM"):
         projection.metric_system(df.limit(1).withColumns({"projected": F.lit(False), "lat": F.lit(89.0)})).collect()
     assert projection.is_north_up(AT) and projection.pixel_area(AT) == 0.25
+
+
+def test_rate_packages(spark, tmp_path):
+    zones = spark.createDataFrame([(1, 12.5, 100.0, 50.0, 110.0, 60.0), (2, 30.0, 110.0, 50.0, 115.0, 58.0)], "zone_id int, rate double, x0 double, y0 double, x1 double, y1 double")
+    path = str(tmp_path / "r.zip")
+    assert packages.write_rate_package(spark, zones, 32633, str(tmp_path / "p"), path) == sorted(packages.MEMBERS)
+    row = packages.read_package(spark, path, str(tmp_path / "back")).first()
+    assert (row.members, row.features, row.boundary_crs, row.raster_crs, row.least, row.most, row.polygon_area) == (6, 2, "EPSG:32633", "EPSG:32633", 12.5, 30.0, 140.0)
+    assert abs(row.raster_area - 140) < 2.8 and (tmp_path / "back/DJI/Rx/application_rate.tfw").read_text().splitlines()[0] == "0.050000000000"
+    with pytest.raises(ValueError, match="areas"):
+        packages.write_rate_package(spark, zones, 32633, str(tmp_path / "q"), str(tmp_path / "q.zip"), resolution=4.0)
+    for bad in (zones.limit(0), zones.withColumn("rate", F.lit(None).cast("double")), zones.withColumn("x0", F.lit(100.0))):
+        with pytest.raises(ValueError):
+            packages.write_rate_package(spark, bad, 32633, str(tmp_path / "w"), str(tmp_path / "w.zip"))
+    with zipfile.ZipFile(str(tmp_path / "e.zip"), "w") as z:
+        z.writestr("a.txt", "a")
+    assert {r.check_id for r in packages.package_faults(spark, str(tmp_path / "e.zip"), str(tmp_path / "e")).collect()} == {"members", "features", "boundary_crs", "raster_crs", "pixels", "area"}
+
+
+def test_jobs(spark, raster, tmp_path):
+    path, _ = raster
+    folder = tmp_path / "jobs"
+    folder.mkdir()
+    good = {"out_dir": "/out", "orthomosaic_path": path, "zones": 3, "offline_basemap": True, "max_pixels": 9999}
+    for name, change in {"good": {}, "zones": {"zones": 9}, "flag": {"offline_basemap": "perhaps"}, "pixels": {"max_pixels": 10}, "gone": {"orthomosaic_path": str(tmp_path / "no.tif")}, "in": {"out_dir": str(tmp_path)}, "none": {"orthomosaic_path": None}}.items():
+        (folder / f"{name}.json").write_text(json.dumps(good | change))
+    configs = jobs.read_configs(spark, str(folder))
+    rasters = jobs.inspect(spark, [r.orthomosaic_path for r in configs.collect()])
+    found = {}
+    for r in jobs.config_faults(configs, rasters).collect():
+        found.setdefault(r.job.rsplit("/", 1)[1][:-5], set()).add(r.check_id)
+    assert found == {"zones": {"zones_range"}, "flag": {"basemap_boolean"}, "pixels": {"pixel_limit"}, "gone": {"driver", "crs"}, "in": {"output_apart"}, "none": {"raster_given", "driver", "crs"}}
+    (folder / "bad.json").write_text("[1]")
+    with pytest.raises(Exception, match="no JSON object"):
+        jobs.read_configs(spark, str(folder)).collect()
+
+
+def test_discovery(spark, raster, tmp_path):
+    path, data = raster
+    (tmp_path / "sub").mkdir()
+    geotiff.write(str(tmp_path / "sub" / "odm_orthophoto.tif"), data[:1], AT, 32633)
+    geotiff.write(str(tmp_path / "sub" / "four.TIF"), np.concatenate([data, data[:1]]), AT, 32633)
+    (tmp_path / "broken.tif").write_text("x")
+    found = [r.name for r in jobs.discover(spark, str(tmp_path), ["sub/odm_orthophoto.tif", "nowhere.tif"]).collect()]
+    assert found == ["odm_orthophoto.tif", "four.TIF", "a.tif"]
+    assert jobs.rgb_bands(geotiff.header(path)) == (1, 2, 3) and jobs.rgb_bands(geotiff.header(str(tmp_path / "sub" / "odm_orthophoto.tif"))) == (1, 1, 1)
