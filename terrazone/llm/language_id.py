@@ -9,10 +9,11 @@ threshold. Prediction needs only the product of embeddings and softmax weights,
 one gather and one segmented sum a slice; long texts are summed some 256 KB at a time.
 
 A softmax is sure of texts in a language it has never seen, so the score also asks whether the text is made of what was
-learned: the share of its four-byte subwords that occur in the training sample (a bit for each of a million buckets). The score
-is the calibrated probability times that share, over its median among texts kept back, one at most. A text is rejected when its
-score is below that of nearly all texts kept back that were predicted rightly, or below an even chance if that is less, or when
-its share is less than nine tenths of that of nearly all of them.
+learned: the share of its four-byte subwords that are usual in some language, in USUAL of its training documents and two at least, so that a
+few wrong labels don't make a language known (a bit for each of a million buckets). The score is the calibrated probability times that
+share, over its median among texts kept back, one at most. A text is rejected when its score is below that of nearly all
+texts kept back that were predicted rightly, or below an even chance if that is less, or when its share is less than 0.65 of
+what 99 in 100 of them have.
 
 Defined cases: text that is null or has no letter (str.isalpha) is `und` with score 0 and is rejected; ties go to the first
 language by name; a null id is never learned from and not held out; repeated rows are predicted each; without
@@ -39,6 +40,8 @@ UND = "und"
 SLICE = 1 << 18
 #: Buckets that tell which subwords of the largest order were met in training.
 SEEN = 1 << 20
+#: Share of a language's training documents that a usual subword is in.
+USUAL = 0.06
 _WORD = re.compile(r"[^\W\d_]+")
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -150,17 +153,24 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
     order = rng.permutation(len(texts))
     held = order[: len(texts) // 5]
     fit = order[len(texts) // 5 :]
-    docs, met = [], np.zeros(SEEN, bool)
-    kept_back = set(held.tolist())
-    for i in range(len(texts)):
-        unique, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    docs, held_back = [None] * len(texts), set(held.tolist())
+    met, often_met, documents = np.zeros(SEEN, bool), np.zeros(SEEN, np.int32), 0
+    by_language = sorted(range(len(texts)), key=lambda i: label[i])
+    for i, after in zip(by_language, [*by_language[1:], None]):
+        unique, often, mine = np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64)]
         for hashes, _ in windows(*folded([texts[i]]), SLICE):
             index = bucketed(hashes, buckets)
             unique, at = np.unique(np.concatenate([unique, index[index > 0]]), return_inverse=True)
             often = np.bincount(at, np.concatenate([often, np.ones(int((index > 0).sum()), np.int64)]), len(unique)).astype(np.int64)
-            if i not in kept_back:
-                met[hashes[hashes[:, -1] >= 0, -1] % SEEN] = True
-        docs.append((unique, (often / max(1, often.sum())).astype(np.float32)))
+            if i not in held_back:
+                mine.append(np.unique(hashes[hashes[:, -1] >= 0, -1] % SEEN))
+        docs[i] = unique, (often / max(1, often.sum())).astype(np.float32)
+        if i not in held_back:
+            often_met[np.unique(np.concatenate(mine))] += 1
+            documents += 1
+        if after is None or label[after] != label[i]:
+            met |= often_met >= max(2, USUAL * documents)
+            often_met[:], documents = 0, 0
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
     seen = np.bincount(label[fit], minlength=len(names))
@@ -209,7 +219,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
     if not right.any():
         return model
     # rejected is what scores below nearly all documents predicted rightly; a threshold above an even chance would reject what is likely right
-    return replace(model, threshold=min(0.5, float(np.quantile(score[right], 1 - keep_share))), familiar=0.9 * float(np.quantile(share[right], 1 - keep_share)))
+    return replace(model, threshold=min(0.5, float(np.quantile(score[right], 1 - keep_share))), familiar=0.65 * float(np.quantile(share[right], 0.01)))
 
 
 def held_out(id_col: Column) -> Column:

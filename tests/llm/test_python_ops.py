@@ -196,6 +196,12 @@ def test_language_rejection():
     assert accepted.mean() >= 0.98 and abs(scores[accepted].mean() - right[accepted].mean()) < 0.1
     junk = ["".join(rng.choice("zyxwvu0123") for _ in range(80)) for _ in range(50)] + [t for _, t, _ in language_rows(rng, ["ru"], 50, 12)]
     assert model.predict(junk)[2].mean() <= 0.02
+    # a language of the same letters in words that weren't learned, where the softmax is sure
+    letters = "abcdefgh"
+    words = ["".join(rng.choice(letters[::-1]) + rng.choice(letters) * 3 for _ in range(2)) for _ in range(60)]
+    odd = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(50)]
+    sure, (_, _, accepted) = language_id.softmax(model.logits(odd)[0] / model.temperature).max(axis=1), model.predict(odd)
+    assert (sure > 0.9).mean() > 0.9 and accepted.mean() <= 0.02
     # of languages with equal chances the first by name
     blank = language_id.replace(model, table=np.zeros_like(model.table), bias=np.zeros(3))
     assert blank.predict(["abc"])[0] == ["de"]
