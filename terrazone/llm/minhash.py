@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazone.llm.common import map_texts, packed, released, salted_join, text_slices, unpacked
+from terrazone.llm.common import map_texts, packed, release, released, salted_join, text_slices, unpacked
 from terrazone.llm.graph import components
 from terrazone.session import cut
 
@@ -270,7 +270,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     # the others: each row of the left with the rows of the right that have the value
     keep = place[lc] < 0
     li, lc = li[keep], lc[keep]
-    first, part = np.cumsum(rn) - rn, np.cumsum(rn[lc]) >> 22
+    first, part = np.cumsum(rn) - rn, np.cumsum(rn[lc]) >> 20
     for p in np.unique(part):
         row, code = li[part == p], lc[part == p]
         times = rn[code]
@@ -378,6 +378,8 @@ def _family_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataF
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = ([k for k, x in enumerate(block) if x == side] for side in (i, j))
         found = spanning_links([sets[k] for k in left], [sets[k] for k in right], threshold) if left and right else []
+        if len(sets) > 64:
+            release()
         return pa.table({"a": pa.array([key[left[x]] for x, _ in found], pa.string()), "b": pa.array([key[right[y]] for _, y in found], pa.string())})
 
     return dealt.groupBy("pair").applyInArrow(compare, "a string, b string")
