@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,7 @@ from terrazone.llm.common import map_texts, released
 MARK = "▁"
 #: Stretches and pairs of pieces that a worker keeps, the longest stretch it keeps, and the positions between two looks for a commit.
 KEPT, KEPT_CHARS, LOOK = 250_000, 48, 64
+_SPACED = re.compile(" *[^ ]+| +")
 
 
 class PieceCodec:
@@ -69,12 +71,19 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.longest = max(map(len, self.texts.values()))
         self.alone = self.span = max(self.texts) + 1  # number of the start and of characters in no piece, and the numbers in all, less one
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.stretches = re.compile(r"(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        # by number: its ids, or those of its bytes, as little-endian 32-bit numbers
+        self.codes = [b""] * self.alone
+        for i, p in self.texts.items():
+            self.codes[i] = struct.pack("<i", i) if i < sp.vocab_size() else self.fallback(p)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    def fallback(self, text: str) -> bytes:
+        """The ids of the bytes of a text, packed."""
+        return b"".join(struct.pack("<i", self.byte_ids[b]) for b in text.encode())
+
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-ranked neighbours merge, the leftmost of equals first."""
         parts = list(text)
@@ -98,16 +107,16 @@ class PieceCodec:
         found = self.pairs[a * self.span + b] = self.merge(left + right) == ([left, right] if left else [right])
         return found
 
-    def search(self, text: str) -> list[str]:
-        """Streaming Viterbi over one stretch: its pieces.
+    def search(self, text: str) -> bytes:
+        """Streaming Viterbi over one stretch: its ids, packed.
 
         The automaton names the pieces that end at each position, longest first; the first that may follow the path to where it
         starts is the last piece of the path to its end. Characters in no piece end a piece of their own.
         """
-        done: list[str] = []
+        done: list[bytes] = []
         base = 0  # committed up to here; start and last hold the positions from here on
         start, last = [0], [self.alone]  # by position: where its last piece starts, and that piece's number
-        pairs, span, alone, settled = self.pairs, self.span, self.alone, 0
+        pairs, span, alone, settled, due = self.pairs, self.span, self.alone, 0, LOOK
         for end, (piece, size) in self.automaton.iter(text):
             if end < settled:
                 continue
@@ -125,7 +134,7 @@ class PieceCodec:
             start.append(at)
             last.append(piece)
             settled += 1
-            if settled - base >= LOOK and settled % LOOK == 0:
+            if settled >= due:
                 # the last boundary on the paths of all positions from which a later piece may start
                 heads = set(range(max(base, settled + 1 - self.longest), settled + 1))
                 while len(heads) > 1:
@@ -134,39 +143,55 @@ class PieceCodec:
                     heads.add(start[head - base])
                 meet = heads.pop()
                 if meet > base:
-                    done += self._back(text, start, base, meet)
+                    done += self._back(text, start, last, base, meet)
                     del start[: meet - base], last[: meet - base]
                     base = meet
+                due = settled + LOOK
         for at in range(settled, len(text)):
             start.append(at)
-        return done + self._back(text, start, base, len(text))
+            last.append(alone)
+        return b"".join(done + self._back(text, start, last, base, len(text)))
 
-    @staticmethod
-    def _back(text: str, start: list[int], base: int, at: int) -> list[str]:
-        """The pieces of the path from base to at."""
-        pieces = []
+    def _back(self, text: str, start: list[int], last: list[int], base: int, at: int) -> list[bytes]:
+        """The ids of the pieces of the path from base to at."""
+        found = []
         while at > base:
-            before = start[at - base]
-            pieces.append(text[before:at])
-            at = before
-        return pieces[::-1]
+            piece = last[at - base]
+            found.append(self.fallback(text[at - 1]) if piece == self.alone else self.codes[piece])
+            at = start[at - base]
+        return found[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
         if not text:
-            return out
-        known = self.known
-        for stretch in self.stretches(MARK + text.replace(" ", MARK)):
-            found = known.get(stretch)
-            if found is None:
-                found = self.older.get(stretch) or tuple(i for p in self.search(stretch) for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()]))
-                if len(stretch) <= KEPT_CHARS:
-                    if len(known) >= KEPT:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[stretch] = found
-            out += found
-        return out
+            return b""
+        stretches = self.stretches(text.replace(MARK, " "))
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._met(stretches[i])
+        return b"".join(found)
+
+    def stretches(self, text: str) -> list[str]:
+        """The stretches of a text between boundaries that all paths meet at; each begins with a space, which is left out."""
+        if self.crossing:
+            return [text]
+        if "  " in f" {text} ":
+            return [x[1:] for x in _SPACED.findall(" " + text)]
+        return text.split(" ")
+
+    def _met(self, stretch: str) -> bytes:
+        """The ids of a stretch that isn't among those met lately."""
+        found = self.known.get(stretch) or self.older.get(stretch) or self.search(MARK + stretch.replace(" ", MARK))
+        if len(stretch) <= KEPT_CHARS:
+            if len(self.known) >= KEPT:
+                self.older, self.known = self.known, {}
+            self.known[stretch] = found
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
@@ -263,11 +288,12 @@ def encode_documents(df: DataFrame, model: str, id_col: str = "doc_id", text_col
 
         def step(part: pa.RecordBatch) -> dict:
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [np.array(pieces.encode(t), "<i4") for t in texts]
+            packed = [pieces.packed(t) for t in texts]
+            ids = [np.frombuffer(i, "<i4") for i in packed]
             back = [pieces.decode(i.tolist()) for i in ids]
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]))
+            flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            return {id_col: part.column("id"), "n_pieces": [len(i) for i in ids], "ids": pa.ListArray.from_arrays(pa.array(ends), flat), "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(b.encode()).hexdigest() for b in back], "round_trip": [b == t for b, t in zip(back, texts)]}
+            return {id_col: part.column("id"), "n_pieces": [len(i) for i in ids], "ids": pa.ListArray.from_arrays(pa.array(ends), flat), "ids_sha256": [hashlib.sha256(i).hexdigest() for i in packed], "decoded_sha256": [hashlib.sha256(b.encode()).hexdigest() for b in back], "round_trip": [b == t for b, t in zip(back, texts)]}
 
         return step
 
