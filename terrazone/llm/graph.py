@@ -9,6 +9,10 @@ from terrazone.llm.common import salted_join
 from terrazone.session import cut, drop
 
 
+#: Links that a file of a step holds on average; steps of few links don't write a file for each partition of a shuffle.
+LINKS_A_FILE = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating star contraction, both steps as grouped minimum and join; the links of a hub meet its minimum in parts."""
     if large:
@@ -38,8 +42,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(edges, "links")
     state = _state(edges)
     while state[0]:
-        half = cut(_star(edges, True), "stars")
-        after = cut(_star(half, False), "stars")
+        files = -(-state[0] // LINKS_A_FILE)
+        half = cut(_star(edges, True).coalesce(files), "stars")
+        after = cut(_star(half, False).coalesce(files), "stars")
         found = _state(after)
         drop(edges, half)
         edges, before, state = after, state, found
