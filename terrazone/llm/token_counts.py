@@ -8,7 +8,7 @@ sequence of a document is ever built, and no row is shuffled, so a pre-token tha
 (' the') costs no more than any other.
 
 Defined cases: null or empty text has 0 bytes and 0 tokens; strings of the vocabulary's added tokens inside a
-text count as one token, as the library does by default; a text of exactly the limit isn't over it; repeated rows are counted each;
+text count as one token, as the library does by default; U+0000 is a character like others; a text of exactly the limit isn't over it; repeated rows are counted each;
 other columns, whatever their names, are ignored; texts may be of any length that a row can have, one of them is held by a worker at
 a time with its pre-tokens; an empty table gives an empty result.
 """
@@ -19,7 +19,6 @@ import json
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -87,10 +86,11 @@ class PieceCounts:
             sizes[i] = len(found)
         if not flat:
             return totals
-        held = np.empty(len(flat), object)
-        held[:] = flat
-        codes, distinct = pd.factorize(held)
-        pieces = self.pieces(list(distinct))
+        # numbered by a dict: pandas' own numbering of strings ends each at its first U+0000
+        number: dict[str, int] = {}
+        codes = np.fromiter((number.setdefault(p, len(number)) for p in flat), np.int64, len(flat))
+        distinct = list(number)
+        pieces = self.pieces(distinct)
         # frequencies of (document, pre-token), joined to the pieces of the pre-token
         pairs, often = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(distinct) + codes, return_counts=True)
         return totals + np.bincount(pairs // len(distinct), often * pieces[pairs % len(distinct)], len(texts)).astype(np.int64)

@@ -52,6 +52,16 @@ def test_token_counts_with_full_tables(monkeypatch):
         assert len(counts.known) <= 7 and len(counts.older) <= 7
 
 
+def test_token_counts_of_texts_with_nul():
+    """Pre-tokens that agree up to U+0000 are different ones."""
+    from tokenizers import Tokenizer
+
+    model, counts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_counts.PieceCounts(P.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    some = ["  \x00", " \x00 ", "\x00", "\x00\x00 \x00a", *("".join(rng.choice(["\x00", " ", "a", "é", "!", "1", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(2000))]
+    assert counts.totals(some).tolist() == [len(model.encode(t).ids) for t in some]
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
