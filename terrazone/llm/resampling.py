@@ -82,7 +82,7 @@ class Features:
         for i in np.flatnonzero(length[right] > TABLED):
             two[i] = zlib.crc32(distinct[right[i]], int(left[i]))
         hashes = np.concatenate([one[code], two])
-        return (hashes % self.buckets).astype(np.int64), np.concatenate([text, text[at]]), sizes
+        return hashes.astype(np.int64) % self.buckets, np.concatenate([text, text[at]]), sizes
 
 
 def _bytes(part: pa.RecordBatch) -> list[bytes]:
