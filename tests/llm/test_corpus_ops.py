@@ -11,7 +11,7 @@ from collections import Counter
 
 import pytest
 
-from terrazone.llm import resampling
+from terrazone.llm import collocations, resampling
 
 DOCS = "doc_id long, text string, lang string, rank string, score string, row string, words string"
 
@@ -79,3 +79,67 @@ def test_crc_of_pairs_equals_the_library():
     bucket, text, sizes = resampling.Features(1 << 32).of([" ".join(words).encode(), b"", words[0].encode()])
     want = [zlib.crc32(f.encode()) for f in [*words, *map(" ".join, zip(words, words[1:]))]]
     assert sorted(bucket[text == 0].tolist()) == sorted(want) and sizes.tolist() == [80, 0, 1]
+
+
+def brute_collocations(rows, least, inside, top):
+    n, f = Counter(), Counter()
+    for _, text, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i : i + size])) for size in range(1, 5) for i in range(len(words) - size + 1))
+    often = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    around = Counter()
+    for (lang, w), a in often.items():
+        for size in range(2, len(w)):
+            for i in range(len(w) - size + 1):
+                around[lang, w[i : i + size]] = max(around[lang, w[i : i + size]], a)
+    out = []
+    for lang in n:
+        found = []
+        for (other, w), a in often.items():
+            if other == lang and not 100 * around[lang, w] >= inside * a:
+                sides = [(f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w))]
+                score, k = min((2000000 * a // (x + y), k) for k, (x, y) in enumerate(sides))
+                found.append((-score, -a, " ".join(w).encode(), *sides[k]))
+        out += [(lang, i + 1, w.decode(), -a, x, y, n[lang], -s) for i, (s, a, w, x, y) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+def test_collocations(spark, corpus, monkeypatch):
+    extra = [(300 + i, t, lang, "c", "c", "c", "c") for i, (t, lang) in enumerate([("New York City hall, new york city HALL. new york", "en"), ("a\x00b c a\x00b d\x00 a c", "nul"), ("one two three four five\tone  two three", None), ("one two three four", "en")] * 9)]
+    rows = corpus + extra
+    df = spark.createDataFrame(rows, DOCS)
+    for least, inside, top in ((9, 80, 2000), (2, 50, 7)):
+        found = sorted(tuple(r) for r in collocations.collocations(df, least, inside, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+        assert found == brute_collocations(rows, least, inside, top)
+    assert collocations.collocations(df.limit(0)).collect() == []
+
+
+def test_collocations_with_a_full_bitmap_and_small_slices(spark, corpus, monkeypatch):
+    """Where all runs share eight bits and each piece is a slice, counts are the same."""
+    monkeypatch.setattr(collocations, "SLICE", 1)
+    df = spark.createDataFrame(corpus, DOCS)
+    held = collocations.cut(collocations.pieces(df), "pieces")
+    full = spark.sparkContext.broadcast(b"\xff" * (collocations.BITS // 8))
+    some = collocations.count_runs(held, (3, 4), full, 5, collocations.spill_folder(held), 3).collect()
+    assert {(r.lang, r.gram, r.f) for r in some} == {(r.lang, r.gram, r.f) for r in collocations.frequent_runs(held, 5).where("words > 2").collect()}
+
+
+def test_collocation_scores_of_counts_beyond_64_bits(spark):
+    big = 6_000_000_000_000_000_000
+    rows = [("x", "a", 1, big), ("x", "b", 1, big), ("x", "a b", 2, big - 1), ("x", "c", 1, big - 3), ("x", "a b c", 3, 7), ("x", "b c", 2, 9)]
+    found = {r.phrase: r for r in collocations.scored(spark.createDataFrame(rows, collocations.COUNTS_SQL)).collect()}
+    assert found["a b"].score == 2000000 * (big - 1) // (2 * big)
+    assert (found["a b c"].l, found["a b c"].r, found["a b c"].score) == (big, 9, 0)
+
+
+def test_counts_are_added_up_beyond_the_memory_of_duckdb(monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "MEMORY", "20MB")
+    some = [pa.RecordBatch.from_arrays([pa.array(["en"] * 50000), pa.array([f"a long run of words {i * 50000 + j}" for j in range(50000)]), pa.array([5] * 50000, pa.int32()), pa.array([1] * 50000)], schema=collocations.COUNTS) for i in range(20)]
+    assert sum(b.num_rows for b in collocations.added_up(iter([*some, some[3]]), 1, str(tmp_path))) == 1_000_000
+    assert sum(b.num_rows for b in collocations.added_up(iter([*some, some[3]]), 2, str(tmp_path))) == 50_000
+    assert list(tmp_path.iterdir()) == []
