@@ -82,8 +82,17 @@ def added_up(batches: Iterator[pa.RecordBatch], least: int, spill: str) -> Itera
             shutil.rmtree(own, ignore_errors=True)
 
 
-def bit(key: bytes) -> int:
-    return zlib.crc32(key) % BITS
+def word_hash(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+
+
+def bits_of(lang: str, *words: np.ndarray) -> np.ndarray:
+    """The bit of each run of a language, from the hashes of its words."""
+    at = np.uint64(zlib.crc32(lang.encode()))
+    for h in words:
+        at = (at ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        at = at ^ (at >> np.uint64(29))
+    return (at % np.uint64(BITS)).astype(np.int64)
 
 
 class Runs:
@@ -93,8 +102,8 @@ class Runs:
         """often: the bitmap of runs that occur often enough, of one word where two are counted, of two where more are."""
         self.sizes, self.often = sizes, often
 
-    def alive(self, lang: str, grams: list[str]) -> np.ndarray:
-        at = np.fromiter((bit(f"{lang}\n{g}".encode()) for g in grams), np.int64, len(grams))
+    def alive(self, lang: str, *words: np.ndarray) -> np.ndarray:
+        at = bits_of(lang, *words)
         return (self.often[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def of(self, lang: str, text: pa.Array, m: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -118,17 +127,18 @@ class Runs:
             yield batch(names, 1, tally(code, len(names), np.arange(len(code))))
             return
         at = np.flatnonzero(piece[1:] == piece[:-1])  # where a pair of words starts
+        word = word_hash(names)
         if self.sizes == (2,):
-            word = self.alive(lang, names)
-            at = at[word[code[at]] & word[code[at + 1]]]
+            often = self.alive(lang, word)
+            at = at[often[code[at]] & often[code[at + 1]]]
+        else:
+            at = at[self.alive(lang, word[code[at]], word[code[at + 1]])]
         key, ids = np.unique(code[at] * len(names) + code[at + 1], return_inverse=True)
         pairs = [f"{names[k // len(names)]} {names[k % len(names)]}" for k in key.tolist()]
         if self.sizes == (2,):
             yield batch(pairs, 2, tally(ids, len(key), at))
             return
         last = key % len(names)
-        alive = self.alive(lang, pairs)[ids] if len(ids) else np.zeros(0, bool)
-        at, ids = at[alive], ids[alive]
         labels, size = pairs, 2
         here = np.full(len(code) + 1, -1)  # the pair that starts at a word
         here[at] = ids
@@ -168,14 +178,17 @@ def count_runs(held: DataFrame, sizes: tuple[int, ...], often, least: int, spill
 
 
 def bitmap(found: DataFrame):
-    """The bitmap of lang and gram of a table, broadcast: BITS bits whatever the table's size. Tasks send the chunks that they set, which are or-ed by chunk."""
+    """The bitmap of lang and gram of a table whose runs are of one length, broadcast: BITS bits whatever the table's size. Tasks send the chunks that they set, which are or-ed by chunk."""
     side = 1 << 13
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
-            at = np.fromiter((bit(f"{a}\n{b}".encode()) for a, b in zip(batch.column("lang").to_pylist(), batch.column("gram").to_pylist())), np.int64, batch.num_rows)
-            np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            coded = batch.column("lang").dictionary_encode()
+            for code, lang in enumerate(coded.dictionary.to_pylist()):
+                grams = [g.split(" ") for g in batch.column("gram").filter(pc.equal(coded.indices, code)).to_pylist()]
+                at = bits_of(lang, *[word_hash([g[i] for g in grams]) for i in range(len(grams[0]))])
+                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         met = np.flatnonzero(held.reshape(-1, side).any(axis=1))
         yield pa.RecordBatch.from_pydict({"chunk": met, "bits": [held[c * side : (c + 1) * side].tobytes() for c in met]})
 
