@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrazone.llm import chat, collocations, fingerprint, language_id, minhash, mixing, multi_index, pii, resampling, sentencepiece_codec, token_counts, url_filter
+from terrazone.llm import chat, collocations, context_mixing, fingerprint, language_id, minhash, mixing, multi_index, pii, resampling, sentencepiece_codec, token_counts, url_filter
 from terrazone.session import table
 
 
@@ -60,8 +60,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_chat_formatting, op3_embedding_links, op4_mixing, op5_token_counts, op6_language_id, op7_url_filters, op8_sentencepiece, op9_fingerprints, op10_pii, op11_collocations, op12_resampling)
+    for f in (op1_minhash, op2_chat_formatting, op3_embedding_links, op4_mixing, op5_token_counts, op6_language_id, op7_url_filters, op8_sentencepiece, op9_fingerprints, op10_pii, op11_collocations, op12_resampling, op13_lm_scoring)
 }
 ORACLES = {"op2_chat_formatting": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op7_url_filters": url_filter.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL}

@@ -9,9 +9,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from terrazone.llm import collocations, resampling
+from terrazone.llm import collocations, context_mixing, resampling
 
 DOCS = "doc_id long, text string, lang string, rank string, score string, row string, words string"
 
@@ -143,3 +144,69 @@ def test_counts_are_added_up_beyond_the_memory_of_duckdb(monkeypatch, tmp_path):
     assert sum(b.num_rows for b in collocations.added_up(iter([*some, some[3]]), 1, str(tmp_path))) == 1_000_000
     assert sum(b.num_rows for b in collocations.added_up(iter([*some, some[3]]), 2, str(tmp_path))) == 50_000
     assert list(tmp_path.iterdir()) == []
+
+
+def lm_tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low(text)), ""]
+
+
+def test_lm_base_scores(spark, corpus):
+    df = spark.createDataFrame(corpus, DOCS)
+    c, held = Counter(), lambda r: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2
+    for r in corpus:
+        c.update([] if held(r) else lm_tokens(r[1]))
+    whole = sum(c.values()) + len(c) + 1
+    want = sorted((-1 if r[0] is None else r[0], held(r), len(lm_tokens(r[1])), sum(c[t] > 0 for t in lm_tokens(r[1])), round(sum(math.log10((c[t] + 1) / whole) for t in lm_tokens(r[1])), 5)) for r in corpus)
+    found = context_mixing.score_texts(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in found) == want
+    assert {r.train_tokens for r in found} == {sum(c.values())}
+    assert all(r.score < 0 and math.isfinite(r.score) for r in found)
+    assert context_mixing.score_texts(df.limit(0)).collect() == []
+
+
+def test_lm_base_scores_with_few_usual_words(spark, corpus, monkeypatch):
+    """Tokens whose counts are asked for get the same base score as those at hand."""
+    df = spark.createDataFrame(corpus, DOCS)
+    want = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in context_mixing.score_texts(df).collect())
+    monkeypatch.setattr(context_mixing, "USUAL", 2)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in context_mixing.score_texts(df).collect()) == want
+
+
+def test_lm_learns(spark):
+    """Held-out texts of the training's kind cost less than by counts of words alone, and less than shuffled ones."""
+    rng = random.Random(2)
+    lines = ["the cat sat on the mat", "a dog ran over the hill", "le chat est sur la table", "un chien court vers la colline", "rain falls on the plain in spain"]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in context_mixing.score_texts(df).collect() if r.held_out]
+    assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
+    mixed = [(i, t if zlib.crc32(str(i).encode()) % 7 != 2 else " ".join(rng.sample(t.split(), len(t.split())))) for i, t in rows]
+    worse = [r for r in context_mixing.score_texts(spark.createDataFrame(mixed, "doc_id long, text string")).collect() if r.held_out]
+    assert sum(r.score for r in worse) < sum(r.score for r in held)
+
+
+def test_lm_code_lengths_are_a_distribution():
+    """The costs of all tokens that a small alphabet spells, and of all usual words, sum to less than one, and prefix codes to one."""
+    letters = [1] * 256
+    coder = context_mixing.Coder([(b"aa", 5), (b"b", 2), (b"", 9)], 3, letters)
+    for code in (coder.words, coder.letters):
+        assert sum(2.0 ** -int(n) for n in code.size) == 1.0
+    told = np.random.default_rng(1).integers(-60, 60, (3, 1 << 12)).astype(np.int16) * 256 + 3
+    mixer = context_mixing.Mixer(told, 12, np.full((3, context_mixing.GATES), 0.4))
+    words = [b"", b"aa", b"b", *(bytes([x]) for x in range(1, 256) if not 65 <= x <= 90 and x not in (9, 10, 11, 12, 13, 32, 98))]
+    alone, _, _ = mixer.costs(coder.read([b"", *words[1:]]))
+    end = alone[0]
+    assert math.exp(-end) < 1 and sum(math.exp(-c) for c in alone[1:]) + math.exp(-end) < 1
+
+
+def test_lm_costs_of_a_text_stand_alone(monkeypatch):
+    """What else is in the slice changes no cost; contexts reach over the start of a segment."""
+    monkeypatch.setattr(context_mixing, "SEGMENT", 8)
+    monkeypatch.setattr(context_mixing, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "c", "déf", "\x00", "gh" * 9], n)).encode() for n in (0, 3, 40, 41, 7)]
+    coder = context_mixing.Coder([(b"ab", 5), (b"", 9)], 3, [1] * 256)
+    told = rng.integers(-90, 90, (3, 1 << 12)).astype(np.int16) * 256 + rng.integers(0, 15, (3, 1 << 12)).astype(np.int16)
+    mixer = context_mixing.Mixer(told, 12, np.full((3, context_mixing.GATES), 0.4))
+    together = mixer.costs(coder.read(texts))[0]
+    assert together.tolist() == [mixer.costs(coder.read([t]))[0][0] for t in texts]
