@@ -11,7 +11,8 @@ from terrazone.functions.indices import grouped_number, kml_colour, xml_escape
 
 # Labels of vigor in reports.
 FARMER = {
-    **{f"{w}_relative_vigor": f"{w.capitalize()} relative vigor" for w in ("lowest", "lower", "typical", "higher", "highest")},
+    "lowest_relative_vigor": "Lowest relative vigor", "lower_relative_vigor": "Lower relative vigor", "typical_relative_vigor": "Typical relative vigor",
+    "higher_relative_vigor": "Higher relative vigor", "highest_relative_vigor": "Highest relative vigor",
     "critical": "High priority", "watch": "Watch", "moderate": "Moderate", "healthy": "Healthy", "very_healthy": "Very healthy",
 }
 # Least area and share of a part of several that KML shows.

@@ -191,7 +191,7 @@ _LABEL0 = f", l0 as materialized (select row_idx, col_idx, cast(nullif({ix.class
 
 @query(f"""{_LABEL0}, asked as (select t.row_idx, t.col_idx, least(greatest(t.row_idx + i, 0), box.r) as y, least(greatest(t.col_idx + j, 0), box.c) as x from l0 t, box, (values (-1),(0),(1)) as di(i), (values (-1),(0),(1)) as dj(j)),
 nb as (select a.row_idx, a.col_idx, list_sort(list(coalesce(o.label, -1))) as vs from asked a left join l0 o on o.row_idx = a.y and o.col_idx = a.x group by all)
-select case when vs[5] >= 0 then vs[5] end as label, count(*) as n from nb group by all""")
+select case when vs[5] < 0 or l0.label is null then l0.label else vs[5] end as label, count(*) as n from nb join l0 using (row_idx, col_idx) group by all""")
 def median3x3_labels(spark, sf_dir):
     px = grid(spark, sf_dir).select("row_idx", "col_idx", F.nullif(F.expr(ix.classify_sql()), F.lit(0)).cast("int").alias("label"))
     return masks.median3(px).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -328,6 +328,24 @@ def zone_merge_small(spark, sf_dir):
     return crop.merge_small(_strips(spark, sf_dir), 30).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MANAGED = f"""{_ZONES}, l0 as materialized (select row_idx, col_idx, cluster from zoned), box as (select max(row_idx) as r, max(col_idx) as c from l0),
+ asked as (select t.row_idx, t.col_idx, least(greatest(t.row_idx + i, 0), box.r) as y, least(greatest(t.col_idx + j, 0), box.c) as x from l0 t, box, (values (-1),(0),(1)) as di(i), (values (-1),(0),(1)) as dj(j)),
+ nb as (select a.row_idx, a.col_idx, list_sort(list(coalesce(o.cluster, -1))) as vs from asked a left join l0 o on o.row_idx = a.y and o.col_idx = a.x group by all),
+ s0 as materialized (select row_idx, col_idx, case when vs[5] < 0 then l0.cluster else vs[5] end as cluster from nb join l0 using (row_idx, col_idx))""" + "".join(
+    f", s0_{v} as materialized (select row_idx, col_idx from s0 where cluster = {v}){_components(f's0_{v}', f's{v}')}, x{v} as materialized (select row_idx, col_idx, {v} as cluster, n from {_EXPAND.format(k=f's{v}')})" for v in range(3)
+) + """, parts as materialized (select * from x0 union all select * from x1 union all select * from x2),
+ moved as (select p.row_idx, p.col_idx, arg_min(k.cluster, ((k.row_idx - p.row_idx) * (k.row_idx - p.row_idx) + (k.col_idx - p.col_idx) * (k.col_idx - p.col_idx), k.row_idx, k.col_idx)) as cluster from (select * from parts where n < 100) p, (select * from parts where n >= 100) k group by all),
+ managed as (select z.row_idx, z.col_idx, z.ndvi, m.cluster from zoned z join (select * from moved union all select row_idx, col_idx, cluster from parts where n >= 100) m using (row_idx, col_idx))"""
+
+
+@query(f"""{_MANAGED} select cluster as zone_id, list_value('lower_relative_vigor', 'typical_relative_vigor', 'higher_relative_vigor')[cluster + 1] as relative_vigor_label, count(*) as pixels, count(*)::double as area_m2, round_even(avg(ndvi), 6) as ndvi_mean, round_even(median(ndvi), 6) as ndvi_median,
+ (select count(*) from zoned)::double as field_m2 from managed group by cluster having count(*) >= 100""")
+def management_zones(spark, sf_dir):
+    cells = cut(grid(spark, sf_dir).where(ix.CROP).select(*masks.CELL, "ndvi", "gli"), "features")
+    told = crop.zone_stats(crop.management_zones(cells, ["ndvi", "gli"], 3), ["ndvi"], 3).withColumns({c: F.bround(c, 6) for c in ("ndvi_mean", "ndvi_median")})
+    return quality.with_scalars(told, cells.dropna(subset=["ndvi", "gli"]).agg(F.count(F.lit(1)).cast("double").alias("field_m2")))
+
+
 _SCORE = """sc{k} as materialized (select row_idx, col_idx, ndvi, gli, cluster from {of} order by md5(row_idx || ':' || col_idx || ':42') limit 5000),
   sd{k} as (select a.row_idx, a.col_idx, a.cluster, b.cluster as other, sum(sqrt(pow(a.ndvi - b.ndvi, 2) + pow(a.gli - b.gli, 2))) as d, count(*) as n from sc{k} a, sc{k} b group by all),
   sa{k} as (select row_idx, col_idx, max(case when other = cluster then d / greatest(n - 1, 1) end) as a, max(case when other = cluster then n end) as n, min(case when other <> cluster then d / n end) as b from sd{k} group by all),

@@ -8,6 +8,7 @@ from terrazone.functions import indices as ix
 from terrazone.operators import deliverables, geometry, masks, quality, texts
 from terrazone.plans.registry import _BOXES, _ZONE_STATS, _CROP_CELLS, _boxes, _components, _zone_stats, grid, held, query, r6
 from terrazone.session import table
+from terrazone.sources.pixels import pixels, with_indices
 
 _B = ("x0", "y0", "x1", "y1")
 _RING = "printf('[%.8f,%.8f],[%.8f,%.8f],[%.8f,%.8f],[%.8f,%.8f],[%.8f,%.8f]', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)"
@@ -163,8 +164,10 @@ select seq, code, message from (select 0 as seq, 'few_crop_cells' as code, 'zone
 def warnings_log(spark, sf_dir):
     usable = grid(spark, sf_dir).where(ix.CROP).agg(F.count(F.lit(1)).cast("double").alias("usable"))
     told = quality.with_scalars(_zone_stats(spark, sf_dir).agg(F.sum("area_m2").alias("z")), usable)
+    far = pixels(spark, sf_dir).agg(quality.share(F.abs("nir") > 1).alias("outside_pct"))
+    told = quality.with_scalars(told, far)
     pct = 100 * F.col("z") / F.col("usable")
-    return texts.warnings_log([("few_crop_cells", F.col("usable") < 500, F.lit("zones may be unstable")), ("coverage", pct < 95, F.concat(F.lit("zones cover "), F.format_string("%.1f", pct), F.lit("% of the usable area"))), ("always", F.lit(True), F.lit("operator review is required")), ("outside", F.lit(False), F.lit("values outside [0, 1]"))], told)
+    return texts.warnings_log([("few_crop_cells", F.col("usable") < 500, F.lit("zones may be unstable")), ("coverage", pct < 95, F.concat(F.lit("zones cover "), F.format_string("%.1f", pct), F.lit("% of the usable area"))), ("always", F.lit(True), F.lit("operator review is required")), ("outside", F.col("outside_pct") > 0, F.lit("values outside [0, 1]"))], told)
 
 
 @query("select n_nationkey, case when n_nationkey % 4 = 3 then null else array_to_string([case when n_nationkey % 2 = 0 then 'a' end, case when n_nationkey % 4 < 2 then 'b' end], '+') end as told from nation", view=False)
@@ -192,8 +195,6 @@ def names_and_zooms(spark, sf_dir):
 
 @query("select sum(case when red is null and nir is null then 0 when red = 0 and green = 0 and blue = 0 and nir = 0 and red_edge = 0 then 1 else 0 end)::bigint as excluded, count(*) as cells from px")
 def zero_background(spark, sf_dir):
-    from terrazone.sources.pixels import pixels
-
     return pixels(spark, sf_dir).agg(F.count_if(F.coalesce(F.expr(ix.ALL_ZERO), F.lit(False))).alias("excluded"), F.count(F.lit(1)).alias("cells"))
 
 
@@ -205,8 +206,6 @@ def shadow_water_screen(spark, sf_dir):
 
 @query("select case when red is null or (red = 0 and nir = 0) then 255 when ndvi >= 2e-1 then 1 else 0 end as code, count(*) as n from (select px.*, (nir - red) / nullif(nir + red, 0) as ndvi from px) group by all")
 def crop_mask_codes(spark, sf_dir):
-    from terrazone.sources.pixels import pixels, with_indices
-
     px = with_indices(pixels(spark, sf_dir), ("ndvi",))
     usable = F.col("red").isNotNull() & ~((F.col("red") == 0) & (F.col("nir") == 0))
     return px.groupBy(ix.mask_code(usable, F.col("ndvi") >= ix.CROP_NDVI).alias("code")).agg(F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,10 @@ from terrazone.operators.rules import PACKAGE, UPLOAD_BYTES, UPLOAD_RATIO, fault
 from terrazone.sources import geotiff
 
 # What a rate package must hold, and the most that is copied along.
-MEMBERS = tuple(f"DJI/Shapefile/application_boundary.{x}" for x in ("shp", "shx", "dbf", "prj")) + ("DJI/Rx/application_rate.tif", "DJI/Rx/application_rate.tfw")
+MEMBERS = (
+    "DJI/Shapefile/application_boundary.shp", "DJI/Shapefile/application_boundary.shx", "DJI/Shapefile/application_boundary.dbf", "DJI/Shapefile/application_boundary.prj",
+    "DJI/Rx/application_rate.tif", "DJI/Rx/application_rate.tfw",
+)
 COMPANION_BYTES, CHUNK = 250_000_000, 1 << 20
 
 

@@ -142,7 +142,33 @@ def test_neighbourhoods_over_tiles(spark, monkeypatch):
     top_r, top_c = max(r for r, *_ in rows), max(c for _, c, *_ in rows)
     median = lambda r, c: sorted(held[min(max(r + i, 0), top_r), min(max(c + j, 0), top_c)] for i in (-1, 0, 1) for j in (-1, 0, 1))[4]
     out = {(r.row_idx, r.col_idx): r.label for r in masks.median3(df).collect()}
-    assert out == {(r, c): None if median(r, c) < 0 else median(r, c) for r, c, *_ in rows}
+    assert out == {(r, c): l if median(r, c) < 0 else median(r, c) for r, c, _, l, _ in rows}
+
+
+def test_median_keeps_the_label_of_a_lonely_cell_and_no_label(spark):
+    df = spark.createDataFrame([(0, 0, 1), (5, 5, None), (4, 4, 2), (4, 5, 2), (4, 6, 2), (5, 4, 2), (5, 6, 2)], "row_idx int, col_idx int, label int")
+    found = {(r.row_idx, r.col_idx): r.label for r in masks.median3(df).collect()}
+    assert found[0, 0] == 1 and found[5, 5] is None and found[4, 5] == 2
+
+
+def test_components_over_stripes_and_labels_equal_a_flood(spark, monkeypatch):
+    """Components of each label, in one labelling, on stripes of three rows."""
+    monkeypatch.setattr(masks, "STRIPE", 3)
+    rng = np.random.default_rng(8)
+    label = {(r, c): int(rng.integers(0, 2)) for r in range(23) for c in range(19) if rng.random() < 0.8}
+    want, seen = set(), set()
+    for start in sorted(label):
+        if start not in seen:
+            part, todo = set(), [start]
+            while todo:
+                at = todo.pop()
+                if at not in seen and label.get(at) == label[start]:
+                    seen.add(at)
+                    part.add(at)
+                    todo += [(at[0] + i, at[1] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+            want |= {(*at, start[0] * (1 << 31) + start[1]) for at in part}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in label.items()], "row_idx int, col_idx int, v int")
+    assert {(r.row_idx, r.col_idx, r.label) for r in masks.label_cells(df, "v").collect()} == want
 
 
 def test_numbered_by_ranges(spark):
