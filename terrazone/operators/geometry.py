@@ -1,8 +1,7 @@
-"""Polygons as arrays of rings, a ring as a closed array of points: area, bounds, validity, points inside; boxes and cells as areas; outlines of cells."""
+"""Polygons as arrays of rings, a ring as a closed array of points: area, bounds, validity, points inside; boxes as areas."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +37,60 @@ def bounds(rings: Column) -> Column:
     return F.struct(side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y"))
 
 
-def is_valid(rings: Column) -> Column:
+def parts_area(parts: Column) -> Column:
+    """Area of several polygons that share none."""
+    return F.aggregate(F.transform(parts, area), F.lit(0.0), lambda a, x: a + x)
+
+
+def is_closed(rings: Column) -> Column:
     """Whether every ring has four points or more, ends where it begins, and encloses something."""
     good = lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (F.abs(ring_area(r)) > 0)
     return F.coalesce((F.size(rings) > 0) & F.forall(rings, good), F.lit(False))
 
 
+def _way(p: str, q: str, s: str) -> Column:
+    """On which side of the line from p to q s is: 1, 0 or -1. Exact where the products of coordinates' differences are exact as doubles."""
+    x, y = lambda n: F.col(f"{n}x"), lambda n: F.col(f"{n}y")
+    return F.signum((x(q) - x(p)) * (y(s) - y(p)) - (y(q) - y(p)) * (x(s) - x(p)))
+
+
+def side_faults(polygons: DataFrame, id: str, rings: str = "rings", side: float = 64.0) -> DataFrame:
+    """ids of polygons with two sides that meet where they may not: sides of one ring in anything but the point that follows one and begins the other,
+    sides of two rings in more than a point that they touch in.
+
+    Sides meet by squares of a grid that their boxes reach, so that no polygon's sides are all paired; points that repeat in a row count once.
+    """
+    ring = polygons.select(F.col(id).alias("id"), F.posexplode(rings).alias("ring", "points"))
+    ring = ring.withColumn("points", F.filter("points", lambda p, i: (i == 0) | (p != F.get(F.col("points"), i - 1))))
+    own = ring.select("id", "ring", (F.size("points") - 1).alias("n"), F.posexplode(_sides(F.col("points"))).alias("at", "s"))
+    own = own.select("id", "ring", "n", "at", F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), F.col("s.q.x").alias("qx"), F.col("s.q.y").alias("qy"))
+    cell = lambda f, c: F.floor(f(f"p{c}", f"q{c}") / side).cast("long")
+    placed = own.select("*", F.explode(F.sequence(cell(F.least, "x"), cell(F.greatest, "x"))).alias("gx")).select("*", F.explode(F.sequence(cell(F.least, "y"), cell(F.greatest, "y"))).alias("gy"))
+    names = ("ring", "n", "at", "px", "py", "qx", "qy")
+    a, b = (placed.select("id", "gx", "gy", *[F.col(c).alias(f"{t}_{c}") for c in names]) for t in "ab")
+    met = a.join(b, ["id", "gx", "gy"]).where((F.col("a_ring") < F.col("b_ring")) | ((F.col("a_ring") == F.col("b_ring")) & (F.col("a_at") < F.col("b_at"))))
+    ab = [_way("a_p", "a_q", f"b_{e}") for e in "pq"]
+    ba = [_way("b_p", "b_q", f"a_{e}") for e in "pq"]
+    reach = lambda f, t, c: f(f"{t}_p{c}", f"{t}_q{c}")
+    shared = lambda c: F.least(reach(F.greatest, "a", c), reach(F.greatest, "b", c)) - F.greatest(reach(F.least, "a", c), reach(F.least, "b", c))
+    line = (ab[0] == 0) & (ab[1] == 0)
+    meet = (ab[0] * ab[1] <= 0) & (ba[0] * ba[1] <= 0) & (shared("x") >= 0) & (shared("y") >= 0)
+    along = line & (shared("x") >= 0) & (shared("y") >= 0) & ((shared("x") > 0) | (shared("y") > 0))
+    crossed = (ab[0] * ab[1] < 0) & (ba[0] * ba[1] < 0)
+    next_ = (F.col("b_at") - F.col("a_at") == 1) | (F.col("b_at") - F.col("a_at") == F.col("a_n") - 1)
+    bad = F.when(F.col("a_ring") != F.col("b_ring"), crossed | along).when(next_, along).otherwise(meet)
+    return met.where(bad).select(F.col("id").alias(id)).distinct()
+
+
+def with_validity(polygons: DataFrame, id: str, rings: str = "rings", side: float = 64.0) -> DataFrame:
+    """polygons with valid: closed rings that enclose something, no sides that cross, and every hole inside the first ring. Ids are unique; null rings are not valid."""
+    shell = F.slice(F.col(rings), 1, 1)
+    inside = F.forall(F.slice(F.col(rings), 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: F.exists(r, lambda p: contains(shell, p["x"], p["y"])))
+    crossed = side_faults(polygons.where(is_closed(F.col(rings))), id, rings, side).withColumn("crossed", F.lit(True))
+    told = polygons.join(crossed, id, "left")
+    return told.withColumn("valid", F.coalesce(is_closed(F.col(rings)) & inside & F.col("crossed").isNull(), F.lit(False))).drop("crossed")
+
+
 def contains(rings: Column, x: Column, y: Column) -> Column:
     """Whether a point is inside, by the number of sides that a ray to the right of it crosses."""
 
@@ -114,50 +161,3 @@ def area_check(raster: Column, polygon: Column, tolerance_pct: float = 2.0) -> C
 def grid_resolution(size: Column) -> Column:
     """Cell size of a rate grid for an area: about 250000 cells, between 5 and 25 centimetres."""
     return F.greatest(F.lit(0.05), F.least(F.lit(0.25), F.sqrt(F.greatest(size, F.lit(1.0)) / 250_000)))
-
-
-def outlines(cells: DataFrame, label: str = "label") -> DataFrame:
-    """label, rings: the outlines of cells (row_idx, col_idx, label), outer ring first, holes in order of their first point; corners alone.
-
-    Sides between cells of one label cancel out natively, so a task stitches no more than the outline of a label.
-    """
-    r, c = F.col("row_idx"), F.col("col_idx")
-    side = lambda a, b, d, e: F.struct(a.cast("long").alias("r0"), b.cast("long").alias("c0"), d.cast("long").alias("r1"), e.cast("long").alias("c1"))
-    sides = cells.select(label, F.explode(F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c))).alias("s")).select(label, "s.*")
-    one, two = F.col("r0") * (1 << 31) + F.col("c0"), F.col("r1") * (1 << 31) + F.col("c1")
-    back = F.struct(F.least(one, two).alias("low"), F.greatest(one, two).alias("high"))  # the side, whichever way it runs
-    rim = sides.withColumn("k", back).groupBy(label, "k").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("r0", "c0", "r1", "c1")).alias("s")).where("n = 1").select(label, "s.*")
-    kind = dict(cells.dtypes)[label]
-
-    def stitch(group: pa.Table) -> pa.Table:
-        ways: dict[tuple, list[tuple]] = {}
-        for a, b, d, e in sorted(zip(*(group.column(n).to_pylist() for n in ("r0", "c0", "r1", "c1")))):
-            ways.setdefault((a, b), []).append((d, e))
-        rings = []
-        while ways:
-            start = min(ways)
-            ring, at, before = [start], start, None
-            while True:
-                # where two ways leave a point, the one that turns right keeps cells that touch at a corner apart
-                options = ways[at]
-                turn = lambda to: 0 if before is None else (before[0] * (to[1] - at[1]) - before[1] * (to[0] - at[0]))
-                to = min(options, key=turn)
-                options.remove(to)
-                if not options:
-                    del ways[at]
-                step = (to[0] - at[0], to[1] - at[1])
-                if step == before:
-                    ring[-1] = to
-                else:
-                    ring.append(to)
-                at, before = to, step
-                if at == start:
-                    break
-            first = (ring[1][0] - ring[0][0], ring[1][1] - ring[0][1])
-            if first[0] * before[1] == first[1] * before[0] and len(ring) > 4:  # the start isn't a corner
-                ring = [*ring[1:-1], ring[1]]
-            rings.append([{"x": float(q), "y": float(p)} for p, q in ring])
-        rings.sort(key=lambda ring: (-abs(sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(ring, ring[1:]))), ring[0]["y"], ring[0]["x"]))
-        return pa.table({label: group.column(label)[:1], "rings": pa.array([rings], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))})
-
-    return rim.groupBy(label).applyInArrow(stitch, f"{label} {kind}, rings array<{RING}>")

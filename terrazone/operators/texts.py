@@ -32,11 +32,28 @@ def merged(*maps: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, last))
 
 
-def geojson_feature(rings: Column, properties: Column) -> Column:
-    """A polygon with properties as one line of GeoJSON."""
+def _geojson_rings(rings: Column) -> Column:
     point = lambda p: F.concat(F.lit("["), F.format_string("%.8f", p["x"]), F.lit(","), F.format_string("%.8f", p["y"]), F.lit("]"))
     ring = lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, point), ","), F.lit("]"))
-    return F.concat(F.lit('{"geometry":{"coordinates":['), F.array_join(F.transform(rings, ring), ","), F.lit('],"type":"Polygon"},"properties":'), json_text(properties), F.lit(',"type":"Feature"}'))
+    return F.concat(F.lit("["), F.array_join(F.transform(rings, ring), ","), F.lit("]"))
+
+
+def _geojson(kind: str | Column, coordinates: Column, properties: Column) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.concat(F.lit('{"geometry":{"coordinates":'), coordinates, F.lit(',"type":"'), kind, F.lit('"},"properties":'), json_text(properties), F.lit(',"type":"Feature"}'))
+
+
+def geojson_feature(rings: Column, properties: Column) -> Column:
+    """A polygon with properties as one line of GeoJSON."""
+    return _geojson("Polygon", _geojson_rings(rings), properties)
+
+
+def geojson_parts(parts: Column, properties: Column) -> Column:
+    """Polygons with properties as one line of GeoJSON: a Polygon where there is one, a MultiPolygon else."""
+    drawn = F.transform(parts, _geojson_rings)
+    one = F.size(parts) == 1
+    many = F.concat(F.lit("["), F.array_join(drawn, ","), F.lit("]"))
+    return _geojson(F.when(one, "Polygon").otherwise("MultiPolygon"), F.when(one, F.get(drawn, F.lit(0))).otherwise(many), properties)
 
 
 def csv_field(value: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrazone.functions import indices as ix
-from terrazone.operators import deliverables, geometry, masks, quality, texts
+from terrazone.operators import deliverables, geometry, masks, outlines, quality, texts
 from terrazone.plans.registry import _BOXES, _ZONE_STATS, _CROP_CELLS, _boxes, _components, _zone_stats, grid, held, query, r6
-from terrazone.session import table
+from terrazone.session import cut, table
 from terrazone.sources.pixels import pixels, with_indices
 
 _B = ("x0", "y0", "x1", "y1")
@@ -47,8 +47,8 @@ def spot_area_of_interest(spark, sf_dir):
 
 @query(f"{_BOXES} select zone_id, (x1 - x0) * (y1 - y0) as area, x0 as min_x, y0 as min_y, x1 as max_x, y1 as max_y, true as valid, x0 <= 20 and x1 > 20 and y0 <= 45e-1 and y1 > 45e-1 as inside from b", view=False)
 def polygon_measures(spark, sf_dir):
-    told = _boxes(spark, sf_dir).withColumn("rings", _ring()).withColumn("b", geometry.bounds(F.col("rings")))
-    return told.select("zone_id", geometry.area(F.col("rings")).alias("area"), "b.*", geometry.is_valid(F.col("rings")).alias("valid"), geometry.contains(F.col("rings"), F.lit(20.0), F.lit(4.5)).alias("inside"))
+    told = geometry.with_validity(_boxes(spark, sf_dir).withColumn("rings", _ring()).withColumn("b", geometry.bounds(F.col("rings"))), "zone_id")
+    return told.select("zone_id", geometry.area(F.col("rings")).alias("area"), "b.*", "valid", geometry.contains(F.col("rings"), F.lit(20.0), F.lit(4.5)).alias("inside"))
 
 
 @query(f"{_BOXES} select min(x0) as min_x, min(y0) as min_y, max(x1) as max_x, max(y1) as max_y from b", view=False)
@@ -68,10 +68,57 @@ def rate_grid_area_check(spark, sf_dir):
 def zone_area_consistency(spark, sf_dir):
     cells = masks.label_cells(held(spark, sf_dir).where(ix.CROP))
     size = cells.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("raster_area")).where("raster_area >= 20")
-    told = geometry.outlines(cells.join(size.select("label"), "label", "left_semi")).join(size, "label").withColumn("outline_area", geometry.area(F.col("rings")))
+    told = outlines.multipolygons(cells.join(size.select("label"), "label", "left_semi")).join(size, "label").withColumn("outline_area", geometry.parts_area(F.col("parts")))
     return told.select(F.floor(F.col("label") / (1 << 31)).cast("int").alias("label_row"), (F.col("label") % (1 << 31)).cast("int").alias("label_col"), "raster_area", "outline_area", (100 * (F.col("outline_area") - F.col("raster_area")) / F.col("raster_area")).alias("delta_pct"))
 
 
+# cells of four patterns around every corner tell rings and corners without any tracing: parts less holes are cells - shared sides + full squares of four
+_AROUND = f""", cl as materialized (select row_idx as r, col_idx as c, {ix.classify_sql()} as k from ix),
+ q as (select k, r, c, count(*) as n, bit_or(bit) as bits from (select k, r, c, 8 as bit from cl union all select k, r, c + 1, 4 from cl union all select k, r + 1, c, 2 from cl union all select k, r + 1, c + 1, 1 from cl) group by k, r, c),
+ s as (select k, count(*) as shared from (select a.k from cl a join cl b on a.k = b.k and a.r = b.r and a.c + 1 = b.c union all select a.k from cl a join cl b on a.k = b.k and a.c = b.c and a.r + 1 = b.r) group by k)"""
+
+
+@query(f"""{_AROUND} select a.k as cls, a.cells::double as area, a.cells::double as rings_area, a.cells - coalesce(s.shared, 0) + coalesce(f.full_, 0) as parts_less_holes, f.corners from (select k, count(*) as cells from cl group by k) a left join s on a.k = s.k
+ left join (select k, count(*) filter (n = 4) as full_, sum(case when n in (1, 3) then 1 when bits in (6, 9) then 2 else 0 end)::bigint as corners from q group by k) f on a.k = f.k""")
+def class_multipolygons(spark, sf_dir):
+    cells = held(spark, sf_dir).select("row_idx", "col_idx", F.expr(ix.classify_sql()).alias("cls"))
+    told = cut(outlines.multipolygons(cells, "cls"), "class-polygons")
+    each = told.select("cls", "parts", F.flatten("parts").alias("rings"))
+    size = cells.groupBy("cls").agg(F.count(F.lit(1)).cast("double").alias("area"))
+    corners = F.aggregate(F.transform("rings", lambda r: F.size(r) - 1), F.lit(0), lambda a, n: a + n).cast("long")
+    return each.select("cls", geometry.parts_area(F.col("parts")).alias("rings_area"), (2 * F.size("parts") - F.size("rings")).cast("long").alias("parts_less_holes"), corners.alias("corners")).join(size, "cls")
+
+
+# quadrangles, some of which cross themselves or turn back
+_QUADS = "select p_partkey as k, array(0, p_partkey % 5 + 1, p_partkey % 7, p_size % 6) as x, array(0, p_size % 4, p_partkey % 4 + 1, p_size % 3 + 2) as y from part"
+_SIDE_OF = "sign((x[{q}] - x[{p}]) * (y[{s}] - y[{p}]) - (y[{q}] - y[{p}]) * (x[{s}] - x[{p}]))"
+
+
+def _meet(a: tuple[int, int], b: tuple[int, int]) -> str:
+    """Whether two sides of a quadrangle have a point in common, as SQL: by their boxes and by which side of one the other's ends are."""
+    w = lambda p, q, s: _SIDE_OF.format(p=p, q=q, s=s)
+    box = " and ".join(f"greatest(least({v}[{a[0]}], {v}[{a[1]}]), least({v}[{b[0]}], {v}[{b[1]}])) <= least(greatest({v}[{a[0]}], {v}[{a[1]}]), greatest({v}[{b[0]}], {v}[{b[1]}]))" for v in "xy")
+    return f"({w(*a, b[0])} * {w(*a, b[1])} <= 0 and {w(*b, a[0])} * {w(*b, a[1])} <= 0 and {box})"
+
+
+def _back(p: int, q: int, s: int) -> str:
+    return f"({_SIDE_OF.format(p=p, q=q, s=s)} = 0 and (x[{q}] - x[{p}]) * (x[{s}] - x[{q}]) + (y[{q}] - y[{p}]) * (y[{s}] - y[{q}]) < 0)"
+
+
+_QUAD_BAD = " or ".join([_meet((1, 2), (3, 4)), _meet((2, 3), (4, 1)), *[_back(*t) for t in ((1, 2, 3), (2, 3, 4), (3, 4, 1), (4, 1, 2))]])
+_APART = " and ".join(f"(x[{p}] <> x[{q}] or y[{p}] <> y[{q}])" for p, q in ((1, 2), (2, 3), (3, 4), (4, 1)))
+
+
+@query(f"""with f as ({_QUADS.replace("array(", "list_value(")}), g as (select *, x[1] * y[2] - x[2] * y[1] + x[2] * y[3] - x[3] * y[2] + x[3] * y[4] - x[4] * y[3] + x[4] * y[1] - x[1] * y[4] as twice from f where {_APART})
+ select k as part_id, twice <> 0 and not ({_QUAD_BAD}) as valid from g""", view=False)
+def polygon_validity(spark, sf_dir):
+    quads = spark.sql(_QUADS.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    corner = lambda i: F.struct(F.col("x")[i].cast("double").alias("x"), F.col("y")[i].cast("double").alias("y"))
+    told = quads.select(F.col("k").alias("part_id"), F.array(F.array(*[corner(i) for i in (0, 1, 2, 3, 0)])).alias("rings"))
+    apart = F.forall(geometry._sides(F.col("rings")[0]), lambda s: s["p"] != s["q"])
+    return geometry.with_validity(told.where(apart), "part_id").select("part_id", "valid")
+
+
 @query(f"""{_BOXES} select zone_id, '{{"geometry":{{"coordinates":[[' || {_RING} || ']],"type":"Polygon"}},"properties":{{"name":"Zone \\"' || zone_id || '\\"","zone_id":' || zone_id || '}},"type":"Feature"}}' as feature from b""", view=False)
 def geojson_text(spark, sf_dir):
     told = _boxes(spark, sf_dir)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrazone.functions import indices as ix
-from terrazone.operators import crop, deliverables, geometry, masks, prescription, quality, rules
+from terrazone.operators import crop, deliverables, geometry, masks, outlines, prescription, quality, rules, texts
 from terrazone.sources.pixels import mask_bands
 
 PLAN = {"mode": "physical", "operation": "spray", "product_name": "lime", "rate_basis": "nutrient", "unit": "l_ha", "strategy": "explicit_by_zone", "zone_rates": {4: 35, 7: 20.5, 9: 50}, "equipment_min_rate": 20, "equipment_max_rate": 60, "approved_by": "me"}
@@ -181,15 +181,44 @@ def test_numbered_by_ranges(spark):
 
 def test_outlines(spark):
     df = cells(spark, "##### #.#.# ##### ....# #....").withColumn("label", F.when((F.col("row_idx") == 4), 2).otherwise(1))
-    found = {r.label: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in geometry.outlines(df).collect()}
+    found = {r.label: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in outlines.polygons(df).collect()}
     assert found[2] == [[(0, 4), (1, 4), (1, 5), (0, 5), (0, 4)]]
     assert len(found[1]) == 3 and found[1][0] == [(0, 0), (5, 0), (5, 4), (4, 4), (4, 3), (0, 3), (0, 0)] and found[1][1][0] in [(1, 1), (2, 1), (1, 2), (2, 2)]
-    area = geometry.outlines(df).select("label", geometry.area(F.col("rings")).alias("a"), geometry.is_valid(F.col("rings")).alias("ok")).collect()
+    area = outlines.polygons(df).select("label", geometry.area(F.col("rings")).alias("a"), geometry.is_closed(F.col("rings")).alias("ok")).collect()
     assert {(r.label, r.a, r.ok) for r in area} == {(1, 14.0, True), (2, 1.0, True)}
-    inside = geometry.outlines(df.where("label = 1")).select(*[geometry.contains(F.col("rings"), F.lit(x), F.lit(y)).alias(n) for n, x, y in (("a", 0.5, 0.5), ("b", 1.5, 1.5), ("c", 4.5, 3.5), ("d", 3.5, 3.5))]).first()
+    inside = outlines.polygons(df.where("label = 1")).select(*[geometry.contains(F.col("rings"), F.lit(x), F.lit(y)).alias(n) for n, x, y in (("a", 0.5, 0.5), ("b", 1.5, 1.5), ("c", 4.5, 3.5), ("d", 3.5, 3.5))]).first()
     assert tuple(inside) == (True, False, True, False)
 
 
+def test_parts_and_holes(spark):
+    """Two parts with holes of one label, a part in a hole, cells that touch at corners, a spiral; against counts of cells and the patterns of two rows and columns."""
+    text = "#######..#### #.....#..#..# #.###.#..#### #.###.#...... #.....#..#.#. #######...#.# ............. ####.#.#..... #..#.#.#..... #.##.###.....".split()
+    df = cells(spark, " ".join(text)).withColumn("label", F.lit("a"))
+    row = outlines.multipolygons(df).select("label", "parts", geometry.parts_area(F.col("parts")).alias("area"), texts.geojson_parts(F.col("parts"), F.struct("label")).alias("text")).first()
+    full = {(r, c) for r, line in enumerate(text) for c, ch in enumerate(line) if ch == "#"}
+    assert row.area == len(full) and row.text.startswith('{"geometry":{"coordinates":[[[[0.00000000,0.00000000],[7.00000000,0.00000000]') and '"type":"MultiPolygon"' in row.text
+    around = [[(r + i, c + j) in full for i in (-1, 0) for j in (-1, 0)] for r in range(12) for c in range(15)]
+    corners = sum(1 if sum(a) in (1, 3) else 2 if a in ([True, False, False, True], [False, True, True, False]) else 0 for a in around)
+    shared = sum((r, c + 1) in full for r, c in full) + sum((r + 1, c) in full for r, c in full)
+    assert sum(len(ring) - 1 for p in row.parts for ring in p) == corners
+    assert sum(2 - len(p) for p in row.parts) == len(full) - shared + sum(sum(a) == 4 for a in around)
+    assert [len(p) for p in row.parts].count(2) == 2 and all(ring[0] == ring[-1] for p in row.parts for ring in p)
+    assert outlines.multipolygons(df.limit(0)).collect() == []
+
+
+def test_validity(spark):
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    cases = {
+        "box": ([box(0.0, 0.0, 9.0, 9.0)], True), "bow-tie": ([[(0.0, 0.0), (2.0, 2.0), (3.0, 0.0), (0.0, 2.0), (0.0, 0.0)]], False), "hole": ([box(0.0, 0.0, 200.0, 90.0), box(70.0, 2.0, 190.0, 80.0)], True),
+        "crossing hole": ([box(0.0, 0.0, 200.0, 90.0), box(70.0, 2.0, 210.0, 80.0)], False), "hole outside": ([box(0.0, 0.0, 2.0, 2.0), box(5.0, 5.0, 6.0, 6.0)], False), "holes touch": ([box(0.0, 0.0, 9.0, 9.0), box(1.0, 1.0, 3.0, 3.0), box(3.0, 3.0, 4.0, 4.0)], True),
+        "holes share a side": ([box(0.0, 0.0, 9.0, 9.0), box(1.0, 1.0, 3.0, 3.0), box(3.0, 1.0, 4.0, 4.0)], False), "spike": ([[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (4.0, 7.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]], False),
+        "touches itself": ([[(0.0, 0.0), (4.0, 0.0), (2.0, 2.0), (4.0, 4.0), (0.0, 4.0), (2.0, 2.0), (0.0, 0.0)]], False), "repeated point": ([[(0.0, 0.0), (0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]], True),
+        "open": ([[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]], False), "none": (None, False), "no ring": ([], False),
+    }
+    df = spark.createDataFrame([(n, rings) for n, (rings, _) in cases.items()], f"name string, rings array<{geometry.RING}>")
+    assert {r.name: r.valid for r in geometry.with_validity(df, "name").collect()} == {n: ok for n, (_, ok) in cases.items()}
+
+
 def test_geographic_area(spark):
     """A degree square at the equator has 1.2309e6 hectares on the ellipsoid, and the whole of it 5.1007e10."""
     row = spark.range(1).select(geometry.geographic_box_hectares(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("a"), geometry.geographic_box_hectares(F.lit(-180), F.lit(-90), F.lit(180), F.lit(90)).alias("b")).first()
