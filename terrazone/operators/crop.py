@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrazone.functions.indices import CROP, CROP_WITHOUT_MSAVI2, SHADOW, WATER
 from terrazone.operators import masks
-from terrazone.operators.quality import hotspot_threshold, quantiles, with_scalars
+from terrazone.operators.quality import hotspot_threshold, medians, quantiles, with_scalars
 from terrazone.session import cut, numbered
 
 CELL = masks.CELL
@@ -56,8 +56,9 @@ def hotspot_cells(px: DataFrame, crop: DataFrame, percentile: float = 10.0, cuto
 def hotspots(cells: DataFrame, min_area_m2: float = 50.0, pixel_m: float = 1.0) -> DataFrame:
     """One row per hotspot, most severe first: hotspot_id by position, severity_rank by mean NDVI."""
     area = pixel_m * pixel_m
-    told = masks.label_cells(cells.where("v")).join(cells.select(*CELL, "ndvi"), CELL)
-    found = told.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ndvi").alias("mean"), F.median("ndvi").alias("med")).where(F.col("n") >= max(1, math.ceil(min_area_m2 / area)))
+    told = cut(masks.label_cells(cells.where("v")).join(cells.select(*CELL, "ndvi"), CELL), "hotspot-cells")
+    found = told.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ndvi").alias("mean")).where(F.col("n") >= max(1, math.ceil(min_area_m2 / area)))
+    found = found.join(medians(told.join(found.select("label"), "label", "left_semi"), "ndvi", "label", *CELL).withColumnRenamed("median", "med"), "label", "left")
     found = numbered(numbered(found, "hotspot_id", "label"), "severity_rank", "mean", "label")
     return found.select(F.col("hotspot_id").cast("int"), F.col("severity_rank").cast("int"), F.bround(F.col("n") * area, 2).alias("area_m2"), F.bround("mean", 3).alias("mean_ndvi"), F.bround("med", 3).alias("median_ndvi"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrazone.functions.indices import MAD_SIGMA, clip01
+from terrazone.session import cut, numbered
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -66,6 +67,20 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: str | None = N
     return out if by else out.get(None, [None] * len(shares))
 
 
+def medians(df: DataFrame, value: str, by: str, *apart: str) -> DataFrame:
+    """by, median: exact medians for any number of groups of any size; null values are left out, and so are groups without one.
+
+    Values are numbered in order of (by, value) in ranges, so a group of most rows is spread over tasks, and no task or driver holds one whole.
+    apart: columns that tell rows of one value apart, so that those are spread too.
+    """
+    more = [f"a{i}" for i in range(len(apart))]
+    rows = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"), *[F.col(c).alias(a) for c, a in zip(apart, more)]).where("g is not null and x is not null")
+    placed = cut(numbered(rows, "place", "g", "x", *more).select("g", "x", "place"), "places")
+    ends = placed.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    wanted = ends.select("g", F.explode(F.array_distinct(F.array(F.floor((F.col("first") + F.col("last")) / 2), F.ceil((F.col("first") + F.col("last")) / 2)))).alias("place"))
+    return placed.join(wanted, ["g", "place"]).groupBy("g").agg(F.avg("x").alias("median")).withColumnRenamed("g", by)
+
+
 def one_row(df: DataFrame, **values) -> DataFrame:
     """A row of doubles, longs and booleans."""
     kind = lambda v: "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "double"

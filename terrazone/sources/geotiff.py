@@ -5,7 +5,11 @@ Files must be readable by every executor at the same path. Strips or tiles, defl
 
 from __future__ import annotations
 
+import json
+import os
+import shutil
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -16,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # Field types of TIFF, as struct codes, and its tags.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
@@ -261,22 +265,84 @@ def same_grid(a: Header, b: Header) -> None:
             raise ValueError(f"{b.path}: its {what} is {y}, not {x}")
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, int, int]]  # name, row0, pixels
+
+
+class GeoTiffSink(DataSource):
+    """Rows (block, row_idx, col_idx, v), sorted by block, as a file for each block. Tasks write to a folder of the job's own; what the job commits is moved to its place.
+
+    A task that fails, is tried again or runs twice leaves nothing behind: only the files that committed attempts name are moved, and the folder goes, committed or aborted.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "geotiff_blocks"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return GeoTiffWriter(self.options)
+
+
+class GeoTiffWriter(DataSourceArrowWriter):
+    def __init__(self, options: Mapping[str, str]):
+        told = json.loads(options["plan"])
+        self.folder, self.value, self.width, self.height, self.rows_each = (told[k] for k in ("folder", "value", "width", "height", "rows_each"))
+        self.transform, self.epsg, self.nodata, self.dtype = tuple(told["transform"]), told["epsg"], told["nodata"], np.dtype(told["dtype"])
+        self.staging = f"{self.folder}/_staging-{told['job']}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        os.makedirs(self.staging, exist_ok=True)
+        files, block, held, some = [], None, None, 0
+
+        def close() -> None:
+            if block is not None:
+                name, row0 = f"{uuid.uuid4().hex}.tif", block * self.rows_each
+                a, b, c, d, e, f = self.transform
+                write(f"{self.staging}/{name}", held.astype(self.dtype)[None], (a, b, c + b * row0, d, e, f + e * row0), self.epsg, self.nodata, [self.value])
+                files.append((name, row0, some))
+
+        for batch in iterator:
+            blocks, at, col, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "row_idx", "col_idx", "v"))
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if blocks[lo] != block:
+                    close()
+                    block, some = int(blocks[lo]), 0
+                    missing = self.nodata if self.nodata is not None else np.nan if self.dtype.kind == "f" else 0
+                    held = np.full((min(self.rows_each, self.height - block * self.rows_each), self.width), missing, np.float64)
+                good = np.isfinite(v[lo:hi])
+                held[at[lo:hi][good] - block * self.rows_each, col[lo:hi][good]] = v[lo:hi][good]
+                some += int(good.sum())
+        close()
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        told = []
+        for name, row0, some in sorted((f for m in messages if m for f in m.files), key=lambda f: f[1]):
+            path = f"{self.folder}/{self.value}-{row0 // self.rows_each:06d}.tif"
+            os.replace(f"{self.staging}/{name}", path)
+            told.append({"path": path, "row0": row0, "pixels": some})
+        shutil.rmtree(self.staging, ignore_errors=True)  # of attempts that came second
+        with open(f"{self.folder}/{self.value}-blocks.json", "w") as f:  # a line a file
+            f.writelines(json.dumps(t) + "\n" for t in told)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+
 def write_blocks(px: DataFrame, value: str, folder: str, width: int, height: int, transform: tuple[float, ...], epsg: int, nodata: float | None = None, dtype: str = "f4", rows_each: int = 1024) -> DataFrame:
-    """Files of some rows each, written by the tasks into a shared folder; returns path, row0 and pixels of each. Missing cells are nodata."""
+    """Files of some rows each, written by the tasks into a shared folder, all of them or none; returns path, row0 and pixels of each. Missing cells are nodata.
+
+    A task holds one block at a time. Tasks that are still running when the job is aborted may write into its staging folder afterwards, never beside it.
+    """
     if np.dtype(dtype).kind in "iu" and nodata is None:
         px = px.withColumn(value, F.when(F.col(value).isNull(), F.raise_error(F.lit("missing values need a nodata value")).cast("double")).otherwise(F.col(value)))
-
-    def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        row0, high = block * rows_each, min(rows_each, height - block * rows_each)
-        held = np.full((high, width), nodata if nodata is not None else np.nan if np.dtype(dtype).kind == "f" else 0, np.float64)
-        v = group.column("v").to_numpy()
-        some = np.isfinite(v)
-        held[group.column("row_idx").to_numpy()[some] - row0, group.column("col_idx").to_numpy()[some]] = v[some]
-        a, b, c, d, e, f = transform
-        path = f"{folder}/{value}-{block:06d}.tif"
-        write(path, held.astype(dtype)[None], (a, b, c + b * row0, d, e, f + e * row0), epsg, nodata, [value])
-        return pa.table({"path": [path], "row0": pa.array([row0], pa.int32()), "pixels": pa.array([int(some.sum())], pa.int64())})
-
-    dealt = px.select(F.floor(F.col("row_idx") / rows_each).cast("int").alias("block"), "row_idx", "col_idx", F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))
-    return dealt.groupBy("block").applyInArrow(run, "path string, row0 int, pixels long")
+    dealt = px.select(F.floor(F.col("row_idx") / rows_each).cast("int").alias("block"), F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))
+    spark = px.sparkSession
+    spark.dataSource.register(GeoTiffSink)
+    plan = {"folder": folder, "value": value, "width": width, "height": height, "rows_each": rows_each, "transform": [float(x) for x in transform], "epsg": epsg, "nodata": nodata, "dtype": dtype, "job": uuid.uuid4().hex}
+    dealt.repartition("block").sortWithinPartitions("block").write.format("geotiff_blocks").option("plan", json.dumps(plan)).mode("append").save()
+    return spark.read.schema("path string, row0 int, pixels long").json(f"{folder}/{value}-blocks.json")

@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,7 @@ def test_blocks_and_inputs(spark, raster, tmp_path):
     assert second.transform[5] == AT[5] - 16 and second.height == 32
     with pytest.raises(Exception, match="nodata"):
         geotiff.write_blocks(px, "red", str(tmp_path), 41, 70, AT, 32633, dtype="u1").collect()
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a.tif", "red-000000.tif", "red-000001.tif", "red-000002.tif", "red-blocks.json"]
     other, mask = str(tmp_path / "n.tif"), str(tmp_path / "m.tif")
     geotiff.write(other, data[1:2], AT, 32633)
     geotiff.write(mask, (data[2:3] > 0).astype("u1"), AT, 32633)
@@ -83,6 +85,35 @@ def test_blocks_and_inputs(spark, raster, tmp_path):
             geotiff.scan_inputs(spark, **bad)
 
 
+def test_failed_write_leaves_no_file(spark, raster, tmp_path):
+    """The last block's task fails after others wrote theirs; and what a former job committed stays."""
+    px = geotiff.scan(spark, raster[0], {"red": 1})
+    out = tmp_path / "out"
+    out.mkdir()
+    failing = px.withColumn("red", F.when((F.col("row_idx") == 69) & (F.col("col_idx") == 40), F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("red")))
+    for before in ([], ["red-000000.tif", "red-000001.tif", "red-000002.tif", "red-blocks.json"]):
+        with pytest.raises(Exception, match="lost"):
+            geotiff.write_blocks(failing, "red", str(out), 41, 70, AT, 32633, -9999.0, rows_each=32)
+        assert sorted(f.name for f in out.iterdir()) == before
+        geotiff.write_blocks(px, "red", str(out), 41, 70, AT, 32633, -9999.0, rows_each=32)
+
+
+def test_attempts_that_do_not_commit(tmp_path):
+    """Two attempts write one block; the job commits the second, and nothing of the first is left. An aborted job leaves nothing."""
+    plan = {"folder": str(tmp_path), "value": "v", "width": 2, "height": 2, "rows_each": 2, "transform": AT, "epsg": 32633, "nodata": None, "dtype": "f4", "job": "j"}
+    rows = lambda x: iter([pa.RecordBatch.from_pydict({"block": [0], "row_idx": [1], "col_idx": [0], "v": [x]})])
+    writer = geotiff.GeoTiffWriter({"plan": json.dumps(plan)})
+    first, second = writer.write(rows(1.0)), writer.write(rows(2.0))
+    assert first.files[0][0] != second.files[0][0]
+    writer.commit([second, None])
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["v-000000.tif", "v-blocks.json"]
+    h = geotiff.header(str(tmp_path / "v-000000.tif"))
+    assert geotiff.rows(h, 0, 2, [1])[0, 1, 0] == 2.0
+    again = geotiff.GeoTiffWriter({"plan": json.dumps(plan | {"job": "k"})})
+    again.abort([again.write(rows(3.0)), None])
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["v-000000.tif", "v-blocks.json"]
+
+
 def test_tile_sets(spark, tmp_path):
     rows = [(2, x, y, x % 256, y % 256, 7, 255 if x % 3 else 0) for x in range(250, 262) for y in range(600, 604)]
     px = spark.createDataFrame(rows, "zoom int, x int, y int, red int, green int, blue int, alpha int")

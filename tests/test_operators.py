@@ -219,6 +219,15 @@ def test_validity(spark):
     assert {r.name: r.valid for r in geometry.with_validity(df, "name").collect()} == {n: ok for n, (_, ok) in cases.items()}
 
 
+def test_medians_of_groups(spark):
+    """One group of most rows, with many equal values; groups of one and two rows; nulls; against numpy."""
+    rng = np.random.default_rng(5)
+    rows = [(0, float(x), i) for i, x in enumerate(rng.integers(0, 9, 3000))] + [(g, float(x), i) for g in range(1, 40) for i, x in enumerate(rng.random(g))] + [(50, None, 0), (None, 1.0, 0)]
+    told = quality.medians(spark.createDataFrame(rows, "g int, x double, i int"), "x", "g", "i").collect()
+    assert {r.g: r["median"] for r in told} == pytest.approx({g: float(np.median([x for h, x, _ in rows if h == g])) for g in range(40)})
+    assert len(told) == 40 and quality.medians(spark.createDataFrame([], "g int, x double"), "x", "g").collect() == []
+
+
 def test_geographic_area(spark):
     """A degree square at the equator has 1.2309e6 hectares on the ellipsoid, and the whole of it 5.1007e10."""
     row = spark.range(1).select(geometry.geographic_box_hectares(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("a"), geometry.geographic_box_hectares(F.lit(-180), F.lit(-90), F.lit(180), F.lit(90)).alias("b")).first()
