@@ -24,6 +24,7 @@ import shutil
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,8 +39,10 @@ from terrazone.session import cut, shared_dir
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Bits of the bitmap of runs that occur often enough: 4 MiB.
 BITS = 1 << 25
+#: Rows of a batch that leaves a task.
+OUT = 20_000
 #: duckdb's memory in a task, UTF-8 bytes of pieces in a slice, and distinct runs that a hash bucket is meant for.
-MEMORY, SLICE, BUCKET = "256MB", 1 << 22, 2_000_000
+MEMORY, SLICE, BUCKET = "256MB", 1 << 24, 2_000_000
 AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
 COUNTS_SQL = "lang string, gram string, words int, f long"
@@ -47,10 +50,9 @@ COUNTS_SQL = "lang string, gram string, words int, f long"
 
 def pieces(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, piece (words joined by one space), words, m: distinct pieces and how often they stand in the texts."""
-    low = F.translate(F.coalesce(df[text_col], F.lit("")), *AZ)
+    low = F.regexp_replace(F.translate(F.coalesce(df[text_col], F.lit("")), *AZ), r"[ \t]+", " ")
     piece = F.explode(F.split(low, r"[.,;:!?\x0A-\x0D]"))
-    rows = df.select(F.coalesce(df[lang_col], F.lit("und")).alias("lang"), piece.alias("piece"))
-    rows = rows.select("lang", F.trim(F.regexp_replace("piece", r"[ \t]+", " ")).alias("piece")).where("piece <> ''")
+    rows = df.select(F.coalesce(df[lang_col], F.lit("und")).alias("lang"), piece.alias("piece")).select("lang", F.trim("piece").alias("piece")).where("piece <> ''")
     found = rows.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
     return found.select("lang", "piece", (F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1).alias("words"), "m")
 
@@ -74,7 +76,7 @@ def added_up(batches: Iterator[pa.RecordBatch], least: int, spill: str) -> Itera
                 con.register("part", pa.Table.from_batches([batch]))
                 con.execute("insert into counted select lang, gram, words, f from part")
                 con.unregister("part")
-        for batch in con.sql(f"select lang, gram, words, sum(f)::bigint as f from counted group by all having sum(f) >= {least}").to_arrow_reader(20_000):
+        for batch in con.sql(f"select lang, gram, words, sum(f)::bigint as f from counted group by all having sum(f) >= {least}").to_arrow_reader(OUT):
             yield batch.cast(COUNTS)
     finally:
         con.close()
@@ -95,6 +97,21 @@ def bits_of(lang: str, *words: np.ndarray) -> np.ndarray:
     return (at % np.uint64(BITS)).astype(np.int64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until the texts of a column have about `limit` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Runs:
     """Counts of the runs of words of slices of pieces."""
 
@@ -163,15 +180,22 @@ def count_runs(held: DataFrame, sizes: tuple[int, ...], often, least: int, spill
     def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(sizes, None if often is None else np.frombuffer(often.value, np.uint8))
 
-        def slices() -> Iterator[pa.RecordBatch]:
-            for given in released(batches):
-                for part in text_slices(given, "piece", SLICE):
-                    lang = part.column("lang").dictionary_encode()
-                    for code, name in enumerate(lang.dictionary.to_pylist()):
-                        of_lang = part.filter(pc.equal(lang.indices, code))
-                        yield from runs.of(name, of_lang.column("piece"), of_lang.column("m").to_numpy())
+        def counted(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            lang = part.column("lang").dictionary_encode()
+            for code, name in enumerate(lang.dictionary.to_pylist()):
+                of_lang = part.filter(pc.equal(lang.indices, code))
+                yield from runs.of(name, of_lang.column("piece"), of_lang.column("m").to_numpy())
 
-        yield from added_up(slices(), 1, spill)
+        parts = (part for given in released(gathered(batches, "piece", SLICE)) for part in text_slices(given, "piece", SLICE))
+        first = next(parts, None)
+        if first is None:
+            return
+        second = next(parts, None)
+        if second is None:  # the counts of a slice are added up as they are
+            for found in counted(first):
+                yield from (found.slice(at, OUT) for at in range(0, found.num_rows, OUT))
+        else:
+            yield from added_up((found for part in chain([first, second], parts) for found in counted(part)), 1, spill)
 
     dealt = held.select("lang", "piece", "m").mapInArrow(in_slices, COUNTS_SQL).repartition(buckets, "lang", "gram")
     return dealt.mapInArrow(lambda batches: added_up(batches, least, spill), COUNTS_SQL)
