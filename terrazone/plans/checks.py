@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from terrazone.functions import indices as ix
@@ -45,7 +47,16 @@ PLANS = f"""select {K} as plan_id, {_pick(K, 13, "'physical'", "'relative'", "'b
   case when {K} % 7 = 2 or {K} % 29 = 0 then {K} % 4 end as zones_given, case when {K} % 31 = 2 then 1 else 0 end as zones_odd, case when {K} % 37 = 2 then 2 else 0 end as rates_odd,
   case when {K} % 6 = 0 then -3e0 when {K} % 6 = 1 then 3e1 end as equipment_min_rate, case when {K} % 3 = 1 then 2e1 + {K} % 20 when {K} % 41 = 0 then -1e0 end as equipment_max_rate,
   case when {K} % 13 <> 1 then case when {K} % 9 = 0 then '' else 'me' end end as approved_by from orders"""
-_checked("plan_checks", "orders", PLANS, ["plan_id"], rules.PLAN)
+_checked("plan_checks", "orders", PLANS, ["plan_id"], rules.PLAN, {
+    "plan_mode": "mode is distinct from 'relative' and mode is distinct from 'physical'", "plan_strategy": "strategy = 'guess'", "relative_explicit": "mode = 'relative' and strategy = 'explicit_by_zone'",
+    "relative_fields": "mode = 'relative' and coalesce(operation, product_name, rate_basis, unit, approved_by, concat_ws('', min_rate, max_rate, zones_given, equipment_min_rate, equipment_max_rate)) <> ''",
+    "plan_operation": "mode = 'physical' and coalesce(operation, '') not in ('spray', 'spread', 'seeding', 'fertilizer')", "plan_basis": "mode = 'physical' and coalesce(rate_basis, '') not in ('product', 'nutrient', 'active_ingredient')",
+    "plan_unit": "mode = 'physical' and not regexp_full_match(coalesce(unit, ''), '(KG|L|SEEDS)_HA|(LB|GAL)_AC', 'i')", "plan_product": "mode = 'physical' and not regexp_matches(coalesce(product_name, ''), '[^ ]')",
+    "plan_approval": "mode = 'physical' and not regexp_matches(coalesce(approved_by, ''), '[^ ]')", "equipment_least": "equipment_min_rate < 0", "equipment_most": "equipment_max_rate < 0", "equipment_order": "equipment_min_rate > equipment_max_rate",
+    "explicit_zones": "mode = 'physical' and strategy = 'explicit_by_zone' and not coalesce(zones_given >= 1, false)", "explicit_bounds": "mode = 'physical' and strategy = 'explicit_by_zone' and coalesce(min_rate, max_rate) is not null",
+    "explicit_numbers": "plan_id % 31 = 2", "explicit_rates": "plan_id % 37 = 2", "bounds_zones": "mode = 'physical' and strategy in ('direct', 'inverse', 'target_hotspots', 'guess') and zones_given >= 0",
+    "bounds_needed": "mode = 'physical' and strategy is distinct from 'explicit_by_zone' and min_rate + max_rate is null", "bounds_least": "min_rate < 0", "bounds_most": "max_rate < 0", "bounds_order": "min_rate > max_rate",
+})
 
 CONFIGS = f"""select {K} as job, case when {K} % 11 = 0 then '' when {K} % 11 = 1 then 'out/7/in.tif' else 'in.tif' end as raster_path, concat('out/', cast({K} % 3 + 6 as varchar(9))) as out_dir,
   case when {K} % 12 < 11 then {K} % 12 end as zones, {_pick(K, 6, "'yes'", "'OFF '", "''", "'maybe'", "null", "'2'")} as basemap, case when {K} % 5 = 0 then {K} % 3 * 1000 end as max_pixels, {K} % 60 as width, {K} % 50 as height,
@@ -154,6 +165,27 @@ def spot_totals(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", total.alias("total"), name.alias("unit"))
 
 
+# an archive of a third of all members, and one of each customer's others; every twelfth member breaks one rule
+_KINDS = "case when o_orderkey % 3 = 0 then 0 else o_custkey end as archive, o_orderkey as seq, o_orderkey % 12 as kind"
+
+
+@query(f"""with m as (select {_KINDS} from orders), s as (select *, case kind when 6 then 300000000 when 8 then 5001 else 1000 end as size from m),
+ w as (select *, row_number() over (partition by archive order by seq) as place, sum(size) over (partition by archive order by seq) as running, row_number() over (partition by archive, kind order by seq) as nth from s)
+select archive, seq, case when place > 256 then 'count' when kind = 3 and nth > 1 then 'duplicate' when kind = 4 then 'symlink' when kind = 5 then 'kind' when kind in (0, 1, 2) then 'path' when kind = 6 then 'size' when running > 536870912 then 'total' else 'ratio' end as problem
+from w where place > 256 or (kind = 3 and nth > 1) or kind in (0, 1, 2, 4, 5, 6, 7, 8) or running > 536870912""", view=False)
+def zip_refusals(spark, sf_dir):
+    k = F.col("seq").cast("string")
+    of = lambda *told, other: reduce(lambda col, kv: col.when(F.col("kind") == kv[0], kv[1]), told, F.when(F.lit(False), other)).otherwise(other)
+    name = of(
+        (0, F.concat(F.lit("a/../../b"), k)), (1, F.concat(F.lit("/abs"), k)), (2, F.concat(F.lit("C:\\x"), k)), (3, F.when(F.col("seq") % 24 == 3, "Dup\\a.TIF").otherwise("dup/a.tif")), (9, F.concat(F.lit("d/../e/./"), k)), other=F.concat(F.lit("a/"), k)
+    )
+    size = of((6, F.lit(300_000_000)), (8, F.lit(5001)), other=F.lit(1000)).cast("long")
+    packed = of((6, F.lit(200_000_000)), (7, F.lit(0)), (8, F.lit(5)), other=F.lit(500)).cast("long")
+    mode = of((4, F.lit(0o120777)), (5, F.lit(0o010644)), (9, F.lit(0o040755)), (10, F.lit(0)), other=F.lit(0o100644))
+    members = table(spark, sf_dir, "orders").selectExpr(*[c.strip() for c in _KINDS.split(",")])
+    return deliverables.unsafe_members(members.select("archive", "seq", name.alias("name"), size.alias("file_size"), packed.alias("compress_size"), mode.alias("mode")))
+
+
 _FOOTPRINT = "select crop, finite, case when crop >= 20 then 'crop' when finite >= 20 then 'finite' else 'refused' end as zoned, crop < 500 as few from (select s_suppkey * 7 as crop, s_suppkey * 9 as finite from supplier)"
 
 
