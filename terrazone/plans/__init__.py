@@ -1,3 +1,3 @@
 """Queries and their DuckDB equivalents; importing the package registers all of them."""
 
-from terrazone.plans import checks, registry, shapes  # noqa: F401
+from terrazone.plans import checks, overlays, registry, shapes  # noqa: F401
