@@ -152,6 +152,30 @@ def geographic_box_hectares(lon0: Column, lat0: Column, lon1: Column, lat1: Colu
     return F.abs(F.radians(lon1 - lon0) * (_authalic(lat1) - _authalic(lat0)) * (A84 * A84 / 2)) / 1e4
 
 
+def _geographic_ring(ring: Column) -> Column:
+    """Area of a ring of degrees in square metres: what lies between its sides and the equator, added up; round a pole, what that leaves of its half of the globe."""
+    most = _authalic(F.lit(90.0))
+    sine = lambda p: _authalic(p["y"]) / most
+    half = lambda s: s / (1 + F.sqrt(F.greatest(F.lit(0.0), 1 - s * s)))
+    points = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), half(sine(p)).alias("y")))
+    wrapped = lambda d: d - 360 * F.floor((d + 180) / 360)
+    told = F.transform(_sides(points), lambda s: F.struct(F.radians(wrapped(s["q"]["x"] - s["p"]["x"])).alias("d"), s["p"]["y"].alias("p"), s["q"]["y"].alias("q")))
+    told = F.transform(told, lambda s: F.struct(s["d"].alias("d"), (2 * F.atan(F.tan(s["d"] / 2) * (s["p"] + s["q"]) / (1 + s["p"] * s["q"]))).alias("e")))
+    whole = F.aggregate(told, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("e")), lambda a, s: F.struct((a["d"] + s["d"]).alias("d"), (a["e"] + s["e"]).alias("e")))
+    return F.transform(F.array(whole), lambda w: F.when(F.abs(w["d"]) > 1, F.abs(F.abs(w["d"]) - F.abs(w["e"]))).otherwise(F.abs(w["e"])))[0] * (most * (A84 * A84 / 2))
+
+
+def geographic_hectares(rings: Column) -> Column:
+    """Hectares on the ellipsoid of a polygon of longitudes x and latitudes y in degrees: its first ring without the others.
+
+    Latitudes are turned to those of the sphere of equal area, on which sides are great circles; a side of a field differs from a geodesic by far less than it is known by.
+    Rings may cross the antimeridian (a side goes the shorter way round) and may go round a pole, which then is inside. A null polygon or point gives null, one without rings 0.
+    """
+    sizes = F.transform(rings, _geographic_ring)
+    told = 2 * F.get(sizes, F.lit(0)) - F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(rings) > 0, told / 1e4).when(rings.isNotNull(), F.lit(0.0))
+
+
 def area_check(raster: Column, polygon: Column, tolerance_pct: float = 2.0) -> Column:
     """error_pct and ok of a raster's area against a polygon's."""
     error = F.when(polygon > 0, 100 * (raster - polygon) / F.nullif(polygon, F.lit(0.0)))

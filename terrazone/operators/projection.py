@@ -1,8 +1,13 @@
-"""Map projection as Columns, and warping as a join: transverse Mercator by Krueger's series (Karney 2011), web Mercator, bilinear cells."""
+"""Map projection as Columns, and warping as a join: transverse Mercator by Krueger's series (Karney 2011), web Mercator, bilinear cells; rasters in degrees to UTM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # WGS 84 and UTM.
@@ -89,3 +94,91 @@ def warp(target: DataFrame, source: DataFrame, values: list[str], mask: str | No
     if mask:
         aggs.append(F.coalesce(F.bool_or(F.when((F.col("r") == F.col("mr")) & (F.col("c") == F.col("mc")), F.col(mask))), F.lit(False)).alias(mask))
     return met.groupBy("row_idx", "col_idx").agg(*aggs)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Size, system and affine transform (a, b, c, d, e, f) of a raster."""
+
+    rows: int
+    cols: int
+    transform: tuple[float, ...]
+    epsg: int
+
+
+def target_grid(spark: SparkSession, source: Grid, epsg: int, per_edge: int = 21) -> Grid:
+    """The north-up grid of square cells in a UTM system that holds a raster in degrees: its edges are followed by per_edge points each, and a cell is as wide as makes as many of them
+    to the diagonal as the raster has."""
+    a, b, c, d, e, f = source.transform
+    step = F.col("id") % per_edge / (per_edge - 1.0)
+    edge = F.floor(F.col("id") / per_edge)
+    col = F.when(edge < 2, step).otherwise((edge - 2).cast("double")) * source.cols
+    row = F.when(edge < 2, edge.cast("double")).otherwise(step) * source.rows
+    x, y = utm(c + a * col + b * row, f + d * col + e * row, F.lit(epsg))
+    x0, x1, y0, y1 = spark.range(4 * per_edge).select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    size = math.hypot(x1 - x0, y1 - y0) / math.hypot(source.rows, source.cols)
+    return Grid(max(1, math.floor((y1 - y0) / size + 0.5)), max(1, math.floor((x1 - x0) / size + 0.5)), (size, 0.0, x0, 0.0, -size, y1), epsg)
+
+
+def places(spark: SparkSession, target: Grid, source: Grid) -> DataFrame:
+    """row_idx, col_idx, src_row, src_col of the cells of target, a UTM grid, whose centres lie on source, a raster in degrees: its cells' centres are at whole places. Made by tasks from a range."""
+    a, b, c, d, e, f = source.transform
+    cells = spark.range(target.rows * target.cols).select(F.expr(f"int(id div {target.cols})").alias("row_idx"), F.expr(f"int(id % {target.cols})").alias("col_idx"))
+    lon, lat = utm_inverse(*pixel_centre(target.transform, F.col("row_idx"), F.col("col_idx")), F.lit(target.epsg))
+    # generated columns: a filter on plain ones would repeat the whole projection for each of its bounds
+    told = cells.select("row_idx", "col_idx", F.inline(F.array(F.struct((lon - c).alias("x"), (lat - f).alias("y")))))
+    det = a * e - b * d
+    place = F.struct(((a * F.col("y") - d * F.col("x")) / det - 0.5).alias("src_row"), ((e * F.col("x") - b * F.col("y")) / det - 0.5).alias("src_col"))
+    told = told.select("row_idx", "col_idx", F.inline(F.array(place)))
+    return told.where((F.col("src_row") >= -0.5) & (F.col("src_row") < source.rows - 0.5) & (F.col("src_col") >= -0.5) & (F.col("src_col") < source.cols - 0.5))
+
+
+def warped(target: DataFrame, source: DataFrame, values: list[str], mask: str | None = None, tile: int = 256) -> DataFrame:
+    """What warp gives, for every cell of target: null values and a false mask where nothing is near, missing values where the mask is false. NaN is missing.
+
+    Cells of target and source meet by tiles of the source, a source cell in every tile that has it or its upper or left neighbour: each cell is shuffled about once, not four times.
+    """
+    tr, tc = (F.floor(F.floor(c) / tile).cast("int") for c in ("src_row", "src_col"))
+    asked = target.select("row_idx", "col_idx", "src_row", "src_col", tr.alias("tr"), tc.alias("tc"))
+    near = lambda c: F.explode(F.expr(f"sequence(int(floor(({c} - 1) / {tile})), int(floor({c} / {tile})))"))
+    cells = source.select(F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), *[F.col(v).cast("double") for v in values], *([F.col(mask).cast("boolean")] if mask else []))
+    cells = cells.withColumn("tr", near("r")).withColumn("tc", near("c"))
+
+    def met(key: tuple, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[0] * tile, key[1] * tile
+        at = own["r"].to_numpy() - top, own["c"].to_numpy() - left
+        r, c = ask["src_row"].to_numpy(), ask["src_col"].to_numpy()
+        r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
+        fr, fc = r - r0, c - c0
+        out = ask[["row_idx", "col_idx"]].copy()
+        held = None
+        if mask:
+            on = np.zeros((tile + 1, tile + 1), bool)
+            on[at] = own[mask].fillna(False).to_numpy(bool)
+            held = on[np.floor(r + 0.5).astype(int) - top, np.floor(c + 0.5).astype(int) - left]
+        for v in values:
+            full = np.full((tile + 1, tile + 1), np.nan)
+            full[at] = own[v].to_numpy(float)
+            total, weight = np.zeros(len(ask)), np.zeros(len(ask))
+            for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                x, w = full[r0 - top + i, c0 - left + j], (fr if i else 1 - fr) * (fc if j else 1 - fc)
+                seen = ~np.isnan(x) & (w > 0)
+                total += np.where(seen, w * np.nan_to_num(x), 0.0)
+                weight += np.where(seen, w, 0.0)
+            good = weight > 0 if held is None else (weight > 0) & held
+            out[v] = np.where(good, total / np.where(good, weight, 1.0), np.nan)
+        if mask:
+            out[mask] = held
+        return out
+
+    schema = "row_idx int, col_idx int, " + ", ".join(f"`{v}` double" for v in values) + (f", `{mask}` boolean" if mask else "")
+    return asked.groupBy("tr", "tc").cogroup(cells.groupBy("tr", "tc")).applyInPandas(met, schema)
+
+
+def to_metric(px: DataFrame, source: Grid, values: list[str], mask: str | None = None, tile: int = 256) -> tuple[DataFrame, Grid]:
+    """A raster in degrees in the UTM zone of its centre: its cells and their grid. An error where no zone holds the centre."""
+    spark = px.sparkSession
+    x, y = pixel_centre(source.transform, F.lit((source.rows - 1) / 2), F.lit((source.cols - 1) / 2))
+    row = spark.range(1).select(F.lit(False).alias("projected"), F.lit(1.0).alias("unit_m"), F.lit(source.epsg).alias("epsg"), x.alias("lon"), y.alias("lat"))
+    target = target_grid(spark, source, metric_system(row).first()["epsg"])
+    return warped(places(spark, target, source), px, values, mask, tile), target

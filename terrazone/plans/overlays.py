@@ -1,12 +1,13 @@
-"""Queries that lay polygons over each other: diamonds with diamonds as holes, some of which touch, whose overlays DuckDB counts as cells turned by 45 degrees."""
+"""Queries of overlays and of reprojection. Polygons are diamonds with diamonds as holes, some of which touch, whose overlays DuckDB counts as cells turned by 45 degrees."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrazone.operators import geometry, overlay
+from terrazone.operators import geometry, overlay, projection
 from terrazone.plans.registry import query, r6
 from terrazone.session import cut, table
+from terrazone.sources.pixels import PIXELS_SQL, pixels
 
 # centre cx, cy, radius r and radius h of the hole (0: none), all even, so that sides cross in whole points
 _DIAMONDS = """select p_partkey as id, p_partkey % 20 as g, p_partkey % 40 < 20 as first_layer, (p_partkey * 37 + p_size * 11) % 101 * 2 as cx, (p_partkey * 13 + p_size * 29) % 97 * 2 as cy,
@@ -59,3 +60,61 @@ _NEAR = "abs(c + 5e-1 - cx) + abs(w + 5e-1 - cy)"
  select w::int as row_idx, c::int as col_idx, arg_max(r * 1e0, id) as rate, count(*) as zones from m where ({_NEAR} < r or ({_NEAR} = r and c + 5e-1 < cx)) and not ({_NEAR} < h or ({_NEAR} = h and c + 5e-1 < cx)) group by all""", view=False)
 def rate_grid_polygons(spark, sf_dir):
     return overlay.rasterised(_diamonds(spark, sf_dir).withColumn("rate", F.col("r").cast("double")), "rate", "id")
+
+
+# triangles of degrees, some over the antimeridian; their size by the solid angle of three vectors
+_TRIANGLES = """select p_partkey as id, 1.7e2 + p_partkey % 17 + 0e0 as x1, p_size * 3e0 - 75 as y1, 1.7e2 + p_partkey % 17 + 1 + p_size % 3 / 2e0 as x2, p_size * 3e0 - 75 + p_partkey % 3 / 4e0 as y2,
+ 1.7e2 + p_partkey % 17 + p_partkey % 5 / 4e0 as x3, p_size * 3e0 - 75 + 1 + p_partkey % 7 / 8e0 as y3 from part where p_size <= 50"""
+_E2 = "669437999014e-14"
+_Q = f"(sin(radians({{y}})) / (1 - {_E2} * sin(radians({{y}})) ** 2) + atanh(sqrt({_E2}) * sin(radians({{y}}))) / sqrt({_E2}))"
+_FIELDS = ", ".join(f"s{i} as z{i}, sqrt(1 - s{i} * s{i}) * cos(radians(x{i})) as a{i}, sqrt(1 - s{i} * s{i}) * sin(radians(x{i})) as b{i}" for i in (1, 2, 3))
+_DOT = lambda i, j: f"a{i} * a{j} + b{i} * b{j} + z{i} * z{j}"
+
+
+@query(f"""with t as ({_TRIANGLES}), s as (select *, {_Q.format(y=90)} as most, {", ".join(f"{_Q.format(y=f'y{i}')} / {_Q.format(y=90)} as s{i}" for i in (1, 2, 3))} from t), v as (select id, most, {_FIELDS} from s),
+ o as (select id, most, abs(a1 * (b2 * z3 - z2 * b3) - b1 * (a2 * z3 - z2 * a3) + z1 * (a2 * b3 - b2 * a3)) as vol, 1 + {_DOT(1, 2)} + {_DOT(2, 3)} + {_DOT(3, 1)} as den from v)
+ select id, round_even(2 * atan2(vol, den) * most * (1 - {_E2}) * 6378137e0 ** 2 / 2 / 1e10, 6) as mega_hectares from o""", view=False)
+def geographic_areas(spark, sf_dir):
+    told = spark.sql(_TRIANGLES.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    wrap = lambda x: x - 360 * F.floor((x + 180) / 360)
+    point = lambda i: F.struct(wrap(F.col(f"x{i}").cast("double")).alias("x"), F.col(f"y{i}").cast("double").alias("y"))
+    rings = F.array(F.array(*[point(i) for i in (1, 2, 3, 1)]))
+    return told.select("id", F.bround(geometry.geographic_hectares(rings) / 1e6, 6).alias("mega_hectares"))
+
+
+# the grid as a raster in degrees: cells of a 100000th, the upper left corner at 10.2 E, 48.1 N
+_LON, _LAT, _CELL = 10.2, 48.1, 1e-5
+
+
+def _krueger(x: str, y: str, series: tuple[float, ...], sign: str) -> tuple[str, str]:
+    """x and y with the terms of a series of the transverse Mercator projection added or taken, as SQL."""
+    terms = [(f"{c!r} * cos({2 * j} * {y}) * sinh({2 * j} * {x})", f"{c!r} * sin({2 * j} * {y}) * cosh({2 * j} * {x})") for j, c in enumerate(series, 1)]
+    return tuple(f"({v} {sign} " + f" {sign} ".join(t[i] for t in terms) + ")" for i, v in enumerate((x, y)))
+
+
+_P = projection
+_TO, _BACK = _krueger("eta", "xi", _P.ALPHA, "+"), _krueger("x", "y", _P.BETA, "-")
+_PHI = "chi + " + " + ".join(f"{c!r} * sin({2 * j} * chi)" for j, c in enumerate(_P.DELTA, 1))
+_S = f"{_P.SCALE * _P._RADIUS!r}"
+_WARP = f"""with px as materialized ({PIXELS_SQL.format(div="//")}), n as (select max(row_idx) + 1 as rows, max(col_idx) + 1 as cols from px),
+ e as (select unnest([{{'c': t * cols, 'r': 0e0}}, {{'c': t * cols, 'r': rows * 1e0}}, {{'c': 0e0, 'r': t * rows}}, {{'c': cols * 1e0, 'r': t * rows}}]) as p from n, (select unnest(range(21)) / 2e1 as t)),
+ s as (select radians({_LON!r} + {_CELL!r} * p.c - 9) as lam, sin(radians({_LAT!r} - {_CELL!r} * p.r)) as s from e), t as (select lam, sinh(atanh(s) - {_P._ECC!r} * atanh({_P._ECC!r} * s)) as t from s),
+ m as (select atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from t), u as (select {_P.EAST!r} + {_S} * {_TO[0]} as x, {_S} * {_TO[1]} as y from m),
+ b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / sqrt(any_value(rows) ** 2 + any_value(cols) ** 2) as size, any_value(rows) as rows, any_value(cols) as cols from u, n),
+ k as (select *, floor((y1 - y0) / size + 5e-1)::int as h, floor((x1 - x0) / size + 5e-1)::int as w from b),
+ cells as (select r, c, (y1 - size * (r + 5e-1)) / {_S} as y, (x0 + size * (c + 5e-1) - {_P.EAST!r}) / {_S} as x, rows, cols from k, unnest(range(h)) as rr(r), unnest(range(w)) as cc(c)),
+ i as (select r, c, rows, cols, {_BACK[0]} as eta, {_BACK[1]} as xi from cells), j as (select r, c, rows, cols, 9 + degrees(atan2(sinh(eta), cos(xi))) as lon, asin(sin(xi) / cosh(eta)) as chi from i),
+ at_ as (select r, c, rows, cols, ({_LAT!r} - degrees({_PHI})) / {_CELL!r} - 5e-1 as sr, (lon - {_LON!r}) / {_CELL!r} - 5e-1 as sc from j),
+ q as materialized (select r, c, sr, sc from at_ where sr >= -5e-1 and sr < rows - 5e-1 and sc >= -5e-1 and sc < cols - 5e-1),
+ f as (select q.*, floor(sr) + o.i as nr, floor(sc) + o.j as nc, (case o.i when 0 then 1 - (sr - floor(sr)) else sr - floor(sr) end) * (case o.j when 0 then 1 - (sc - floor(sc)) else sc - floor(sc) end) as wt from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) as o(i, j)),
+ v as (select f.r, f.c, coalesce(bool_or(nr = floor(sr + 5e-1) and nc = floor(sc + 5e-1) and red is not null and not (red = 0 and nir = 0)), false) as valid, sum(case when red is not null then wt * red end) / sum(case when red is not null then wt end) as red, sum(wt * nir) / sum(case when nir is not null then wt end) as nir
+  from f left join px on nr = row_idx and nc = col_idx group by f.r, f.c)"""
+
+
+@query(f"{_WARP} select (r // 16)::int as band, count(*) as cells, count(*) filter (valid) as usable, round_even(avg(red) filter (valid), 6) as red, round_even(avg(nir) filter (valid), 6) as nir from v group by all", view=False)
+def reprojected_bands(spark, sf_dir):
+    px = pixels(spark, sf_dir).select("row_idx", "col_idx", "red", "nir", F.expr("red is not null and not (red = 0 and nir = 0)").alias("valid"))
+    size = px.agg(F.max("row_idx"), F.max("col_idx")).first()
+    source = projection.Grid(size[0] + 1, size[1] + 1, (_CELL, 0.0, _LON, 0.0, -_CELL, _LAT), 4326)
+    told, _ = projection.to_metric(px, source, ["red", "nir"], "valid", tile=64)
+    return told.groupBy(F.expr("int(row_idx div 16)").alias("band")).agg(F.count(F.lit(1)).alias("cells"), F.count_if("valid").alias("usable"), r6(F.avg(F.when(F.col("valid"), F.col("red"))), "red"), r6(F.avg(F.when(F.col("valid"), F.col("nir"))), "nir"))
