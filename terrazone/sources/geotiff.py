@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 # Field types of TIFF, as struct codes, and its tags.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
@@ -202,12 +202,37 @@ class GeoTiffReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str], bands: dict[str, int]):
         self.path, self.bands = options["path"], bands
         self.step, self.size, self.alpha = int(options.get("step", 1)), int(options.get("rows", 256)), int(options.get("alpha", 0))
+        self.first, self.last = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of row_idx leave windows out and shorten those at the ends; every filter is still Spark's to apply."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("row_idx",):
+                if isinstance(f, In):
+                    within = [v for v in f.value if v is not None]
+                    self._keep(min(within, default=1), max(within, default=0))
+                elif isinstance(f, EqualTo):
+                    self._keep(f.value, f.value)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self._keep(f.value + isinstance(f, GreaterThan), None)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self._keep(0, f.value - isinstance(f, LessThan))
+            yield f
+
+    def _keep(self, first: int, last: int | None) -> None:
+        self.first = max(self.first, first)
+        if last is not None:
+            self.last = last if self.last is None else min(self.last, last)
 
     def partitions(self) -> list[Window]:
         height = header(self.path).height
-        return [Window(r, min(r + self.size, height)) for r in range(0, height, self.size)]
+        end = height if self.last is None else min(height, self.last + 1)
+        # one window without rows where none is asked for: a reader without partitions would be asked for all
+        return [Window(max(r, self.first), min(r + self.size, end)) for r in range(self.first // self.size * self.size, end, self.size)] or [Window(0, 0)]
 
     def read(self, partition: Window) -> Iterator[pa.RecordBatch]:
+        if partition.row0 >= partition.row1:
+            return
         h = header(self.path)
         wanted = [*self.bands.values(), *([self.alpha] if self.alpha else [])]
         data = rows(h, partition.row0, partition.row1, wanted).astype(np.float64)
@@ -223,11 +248,15 @@ class GeoTiffReader(DataSourceReader):
 
 
 def scan(spark: SparkSession, path: str, bands: Mapping[str, int], alpha: int | None = None, step: int = 1) -> DataFrame:
-    """Pixels of a stacked raster: row_idx, col_idx, a column for each role, inside (alpha over 0). Missing and non-finite values are null."""
+    """Pixels of a stacked raster: row_idx, col_idx, a column for each role, inside (alpha over 0). Missing and non-finite values are null.
+
+    Of a filter on row_idx the bounds reach the reader, so that only the windows between them are read. Allows filters for Python sources in the session.
+    """
     h = header(path)
     bad = {r: b for r, b in bands.items() if not 1 <= b <= h.bands}
     if bad or len(set(bands.values())) < len(bands):
         raise ValueError(f"bands are distinct and 1 to {h.bands}: {dict(bands)}")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses a reader that takes filters without it
     spark.dataSource.register(GeoTiffSource)
     told = spark.read.format("geotiff_pixels").option("path", path).option("bands", ",".join(f"{r}={b}" for r, b in bands.items())).option("step", step)
     return (told.option("alpha", alpha) if alpha else told).load()

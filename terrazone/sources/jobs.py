@@ -6,6 +6,7 @@ import os
 from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,8 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return told.select(F.when(good, F.col("job")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.col("job")))).alias("job"), "c.*")
 
 
-def inspect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Headers of files; the driver is null where a file is missing or no GeoTIFF. Headers alone are read, by tasks."""
-    files = [p for p in dict.fromkeys(paths) if p]
+def inspect(spark: SparkSession, paths: Sequence[str] | DataFrame) -> DataFrame:
+    """Headers of files, named by a list or by a column path of unique names; the driver is null where a file is missing or no GeoTIFF. Headers alone are read, by tasks."""
 
     def run(batches):
         for frame in batches:
@@ -44,7 +44,10 @@ def inspect(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 frame.loc[i] = list(row)
             yield frame
 
-    return spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, min(len(files), 64))).mapInPandas(run, RASTER_SCHEMA)
+    if not isinstance(paths, DataFrame):
+        files = [p for p in dict.fromkeys(paths) if p]
+        paths = spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, min(len(files), 64)))
+    return paths.select("path").mapInPandas(run, RASTER_SCHEMA)
 
 
 def config_faults(configs: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -60,10 +63,24 @@ def config_faults(configs: DataFrame, rasters: DataFrame) -> DataFrame:
     )
 
 
+def _real(batches):
+    """Files among the paths, with the file that each leads to."""
+    schema = pa.schema([("path", pa.string()), ("place", pa.int32()), ("real", pa.string())])
+    for batch in batches:
+        rows = [{**r, "real": os.path.realpath(r["path"])} for r in batch.to_pylist() if os.path.isfile(r["path"])]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def discover(spark: SparkSession, folder: str, known: Sequence[str] = (), main: str = "odm_orthophoto.tif") -> DataFrame:
-    """Rasters of a folder: those of the known places, then all below it, each once; best first. Files that aren't readable are left out."""
-    found = [str(Path(folder) / k) for k in known] + sorted(str(p) for p in Path(folder).rglob("*") if p.suffix.lower() in (".tif", ".tiff"))
-    single = list({os.path.realpath(p): p for p in reversed(found) if os.path.isfile(p)}.values())[::-1]
+    """Rasters of a folder: those of the known places, then all below it, each once; best first. Files that aren't readable are left out, and those below it whose names begin with a dot or a low line.
+
+    Spark lists the folder and reads no content; tasks follow links and read headers. A file of several names keeps the first known one, else the least.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[tT][iI][fF],[tT][iI][fF][fF]}").load(folder)
+    below = listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit(len(known)).alias("place"))
+    named = spark.createDataFrame([(str(Path(folder) / k), i) for i, k in enumerate(known)], "path string, place int")
+    told = named.unionByName(below).mapInArrow(_real, "path string, place int, real string")
+    single = told.groupBy("real").agg(F.min(F.struct("place", "path"))["path"].alias("path"))
     return rank_rasters(inspect(spark, single).where(F.col("driver").isNotNull()).select("path", "name", "bands"), main)
 
 

@@ -251,6 +251,20 @@ def test_jobs(spark, raster, tmp_path):
         jobs.read_configs(spark, str(folder)).collect()
 
 
+def test_row_filters_reach_the_reader(spark, raster):
+    path, data = raster
+    px = geotiff.scan(spark, path, {"red": 1})
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    small = spark.read.format("geotiff_pixels").option("path", path).option("bands", "red=1").option("rows", 16).load()
+    for told, first, last, parts in (("row_idx >= 20 and row_idx < 40", 20, 39, 2), ("row_idx > 60", 61, 69, 2), ("row_idx = 33 and red > 0", 33, 33, 1), ("row_idx in (5, 17)", 5, 17, 2), ("red > 0.5", 0, 69, 5), ("row_idx > 200", 1, 0, 1), ("row_idx < 0", 1, 0, 1)):
+        kept = small.where(told)
+        assert kept.rdd.getNumPartitions() == parts
+        assert sorted(map(tuple, kept.select("row_idx", "col_idx").collect())) == sorted(map(tuple, px.where(F.expr(told)).select("row_idx", "col_idx").collect()))
+    windows = geotiff.GeoTiffReader({"path": path, "rows": "16"}, {"red": 1})
+    list(windows.pushFilters([geotiff.GreaterThanOrEqual(("row_idx",), 20), geotiff.LessThan(("row_idx",), 40)]))
+    assert [(w.row0, w.row1) for w in windows.partitions()] == [(20, 32), (32, 40)]
+
+
 def test_discovery(spark, raster, tmp_path):
     path, data = raster
     (tmp_path / "sub").mkdir()
@@ -259,4 +273,7 @@ def test_discovery(spark, raster, tmp_path):
     (tmp_path / "broken.tif").write_text("x")
     found = [r.name for r in jobs.discover(spark, str(tmp_path), ["sub/odm_orthophoto.tif", "nowhere.tif"]).collect()]
     assert found == ["odm_orthophoto.tif", "four.TIF", "a.tif"]
+    (tmp_path / "again.tif").symlink_to(tmp_path / "sub" / "four.TIF")
+    (tmp_path / "sub" / "b c.tiff").symlink_to(tmp_path / "a.tif")
+    assert {r.name for r in jobs.discover(spark, str(tmp_path)).collect()} == {"odm_orthophoto.tif", "again.tif", "a.tif"}
     assert jobs.rgb_bands(geotiff.header(path)) == (1, 2, 3) and jobs.rgb_bands(geotiff.header(str(tmp_path / "sub" / "odm_orthophoto.tif"))) == (1, 1, 1)
