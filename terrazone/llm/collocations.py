@@ -20,7 +20,9 @@ a row can be: one slice of pieces is held at a time.
 
 from __future__ import annotations
 
+import os
 import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -58,16 +60,25 @@ def pieces(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
 
 
 def spill_folder(df: DataFrame) -> str:
-    """A folder that all executors share, for what duckdb doesn't hold in memory; none where the shared folder isn't part of the file system."""
+    """A folder that all executors share, for what duckdb doesn't hold in memory; none where the shared folder isn't part of the file system: then a task spills to its own temp folder."""
     at = urlparse(shared_dir(df.sparkSession))
     return f"{at.path}/duckdb-{uuid.uuid4().hex}" if at.scheme in ("", "file") else ""
 
 
+def made_folder(path: str) -> str | None:
+    """The folder, made with those above it; none where it isn't named or can't be made here."""
+    try:
+        os.makedirs(path, exist_ok=True)
+    except OSError:
+        return None
+    return path if os.access(path, os.W_OK) else None
+
+
 def added_up(batches: Iterator[pa.RecordBatch], least: int, spill: str) -> Iterator[pa.RecordBatch]:
     """Rows of lang, gram, words, f with equal ones added up by duckdb, out of core; those under least are left out."""
     import duckdb
 
-    own = f"{spill}/{uuid.uuid4().hex}" if spill else ""
+    own = tempfile.mkdtemp(prefix="duckdb-", dir=made_folder(spill))  # duckdb makes no folder whose parent is missing, and asks for it only when it spills
     con = duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": own, "preserve_insertion_order": False})
     try:
         con.execute("create table counted(lang varchar, gram varchar, words integer, f bigint)")
@@ -80,8 +91,7 @@ def added_up(batches: Iterator[pa.RecordBatch], least: int, spill: str) -> Itera
             yield batch.cast(COUNTS)
     finally:
         con.close()
-        if own:
-            shutil.rmtree(own, ignore_errors=True)
+        shutil.rmtree(own, ignore_errors=True)
 
 
 def word_hash(words: list[str]) -> np.ndarray:

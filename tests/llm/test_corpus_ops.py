@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrazone.llm import collocations, context_mixing, resampling
@@ -118,6 +119,19 @@ def test_collocations(spark, corpus, monkeypatch):
     assert collocations.collocations(df.limit(0)).collect() == []
 
 
+def test_counts_spill_to_folders_that_are_not_there_yet(tmp_path, monkeypatch):
+    monkeypatch.setattr(collocations, "MEMORY", "48MB")
+
+    def batches():
+        for i in range(60):
+            grams = [f"word{k} another{k % 977} longer words {k * 7919}" for k in range(i * 10_000, (i + 1) * 10_000)]
+            yield pa.RecordBatch.from_arrays([pa.array(["en"] * 10_000), pa.array(grams), pa.array([4] * 10_000, pa.int32()), pa.array([1] * 10_000)], schema=collocations.COUNTS)
+
+    for spill in (str(tmp_path / "not" / "there"), ""):
+        assert sum(b.num_rows for b in collocations.added_up(batches(), 1, spill)) == 600_000
+    assert list((tmp_path / "not" / "there").iterdir()) == []
+
+
 def test_collocations_with_a_full_bitmap_and_small_slices(spark, corpus, monkeypatch):
     """Where all runs share eight bits and each piece is a slice, counts are the same."""
     monkeypatch.setattr(collocations, "SLICE", 1)
