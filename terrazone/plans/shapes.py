@@ -20,7 +20,7 @@ def _ring():
 
 @query(f"{_BOXES} select count(*) as pairs, round_even(sum(area), 6) as area from (select (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as area from b a join b on a.zone_id < b.zone_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)", view=False)
 def rx_overlap_check(spark, sf_dir):
-    return geometry.overlaps(_boxes(spark, sf_dir).withColumnRenamed("zone_id", "id")).agg(F.count(F.lit(1)).alias("pairs"), r6(F.sum("area"), "area"))
+    return geometry.overlap_totals(_boxes(spark, sf_dir)).select("pairs", r6("area", "area"))
 
 
 _UNION = f"""{_BOXES}, bb as (select zone_id % 7 as g, x0 + p_size / 9e1 as x0, y0, x1, y1 from b), xs as (select g, x, lead(x) over (partition by g order by x) as nx from (select distinct g, unnest([x0, x1]) as x from bb)),
