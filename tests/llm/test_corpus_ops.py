@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrazone.llm import collocations, context_mixing, resampling
 
@@ -178,6 +179,18 @@ def test_lm_base_scores(spark, corpus):
     assert context_mixing.score_texts(df.limit(0)).collect() == []
 
 
+def test_lm_scores_are_the_same_for_the_same_counts_whatever_document_they_come_from(spark):
+    texts = [f"a{k} b c a{k} d" for k in range(40)]
+    rows = [(k, t, k < 40) for k, t in enumerate([*texts, "a1 b c", "x y"])]
+    # one long training text has the words of two; what a sample would take, or leave, is learned from alike
+    long = [(0, " ".join(f"w{k % 50}" for k in range(9000)), True), *rows[1:]]
+    assert not any(hasattr(context_mixing, n) for n in ("SAMPLE", "fitted"))
+    for told in (rows, long):
+        df = spark.createDataFrame(told, "doc_id long, text string, learned boolean")
+        once, again = ({r.doc_id: r.score for r in context_mixing.score_texts(x, F.col("learned")).collect()} for x in (df, df.withColumn("doc_id", 100 - F.col("doc_id"))))
+        assert {100 - k: v for k, v in again.items()} == once
+
+
 def test_lm_base_scores_with_few_usual_words(spark, corpus, monkeypatch):
     """Tokens whose counts are asked for get the same base score as those at hand."""
     df = spark.createDataFrame(corpus, DOCS)
