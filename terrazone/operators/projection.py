@@ -120,17 +120,37 @@ def target_grid(spark: SparkSession, source: Grid, epsg: int, per_edge: int = 21
     return Grid(max(1, math.floor((y1 - y0) / size + 0.5)), max(1, math.floor((x1 - x0) / size + 0.5)), (size, 0.0, x0, 0.0, -size, y1), epsg)
 
 
-def places(spark: SparkSession, target: Grid, source: Grid) -> DataFrame:
-    """row_idx, col_idx, src_row, src_col of the cells of target, a UTM grid, whose centres lie on source, a raster in degrees: its cells' centres are at whole places. Made by tasks from a range."""
+def places(spark: SparkSession, target: Grid, source: Grid, tile: int = 256) -> DataFrame:
+    """row_idx, col_idx, src_row, src_col of the cells of target, a UTM grid, whose centres lie on source, a raster in degrees: its cells' centres are at whole places.
+
+    Made by tasks from a range of the source's tiles: each gives the cells of target in the box of its outline, and keeps those whose centre is its own. So the work grows with the
+    source's cells, also where a long raster bends away from the grid's columns. A box is wider by an eighth and two cells, as outlines are followed by points.
+    """
     a, b, c, d, e, f = source.transform
-    cells = spark.range(target.rows * target.cols).select(F.expr(f"int(id div {target.cols})").alias("row_idx"), F.expr(f"int(id % {target.cols})").alias("col_idx"))
+    ta, _, tc, _, te, tf = target.transform
+    high, wide = -(-source.rows // tile), -(-source.cols // tile)
+    tiles = spark.range(high * wide).select(F.expr(f"int(id div {wide})").alias("tr"), F.expr(f"int(id % {wide})").alias("tc"))
+    told = lambda n, of: (F.greatest(F.lit(0), F.col(n) * tile).cast("double"), F.least(F.lit(of), (F.col(n) + 1) * tile).cast("double"))
+    (r0, r1), (c0, c1) = told("tr", source.rows), told("tc", source.cols)
+    steps = [i / 8 for i in range(9)]
+    outline = [F.struct((r0 + (r1 - r0) * u).alias("r"), (c0 + (c1 - c0) * v).alias("c")) for u in steps for v in steps if u in (0, 1) or v in (0, 1)]
+    points = tiles.select("tr", "tc", F.explode(F.array(*outline)).alias("p"))
+    x, y = utm(c + a * F.col("p.c") + b * F.col("p.r"), f + d * F.col("p.c") + e * F.col("p.r"), F.lit(target.epsg))
+    boxes = points.select("tr", "tc", ((x - tc) / ta).alias("col"), ((y - tf) / te).alias("row"))
+    # a tile is a few numbers here and many cells below, so tiles are dealt to a fixed number of tasks
+    boxes = boxes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tr", "tc").groupBy("tr", "tc").agg(*[g(n).alias(f"{n}{i}") for n in ("row", "col") for i, g in enumerate((F.min, F.max))])
+    span = lambda n, of: F.expr(f"sequence(int(greatest(0, floor({n}0 - ({n}1 - {n}0) / 8 - 2))), int(least({of - 1}, ceil({n}1 + ({n}1 - {n}0) / 8 + 2))))")
+    meets = " and ".join(f"{n}1 + ({n}1 - {n}0) / 8 + 2 >= 0 and {n}0 - ({n}1 - {n}0) / 8 - 2 <= {of - 1}" for n, of in (("row", target.rows), ("col", target.cols)))
+    cells = boxes.where(meets).select("tr", "tc", F.explode(span("row", target.rows)).alias("row_idx"), span("col", target.cols).alias("cols")).select("tr", "tc", "row_idx", F.explode("cols").alias("col_idx"))
     lon, lat = utm_inverse(*pixel_centre(target.transform, F.col("row_idx"), F.col("col_idx")), F.lit(target.epsg))
     # generated columns: a filter on plain ones would repeat the whole projection for each of its bounds
-    told = cells.select("row_idx", "col_idx", F.inline(F.array(F.struct((lon - c).alias("x"), (lat - f).alias("y")))))
+    told = cells.select("tr", "tc", "row_idx", "col_idx", F.inline(F.array(F.struct((lon - c).alias("x"), (lat - f).alias("y")))))
     det = a * e - b * d
     place = F.struct(((a * F.col("y") - d * F.col("x")) / det - 0.5).alias("src_row"), ((e * F.col("x") - b * F.col("y")) / det - 0.5).alias("src_col"))
-    told = told.select("row_idx", "col_idx", F.inline(F.array(place)))
-    return told.where((F.col("src_row") >= -0.5) & (F.col("src_row") < source.rows - 0.5) & (F.col("src_col") >= -0.5) & (F.col("src_col") < source.cols - 0.5))
+    told = told.select("tr", "tc", "row_idx", "col_idx", F.inline(F.array(place)))
+    on = (F.col("src_row") >= -0.5) & (F.col("src_row") < source.rows - 0.5) & (F.col("src_col") >= -0.5) & (F.col("src_col") < source.cols - 0.5)
+    own = lambda n: F.greatest(F.lit(0.0), F.floor((F.col(n) + 0.5) / tile)) == F.col("tr" if n == "src_row" else "tc")
+    return told.where(on & own("src_row") & own("src_col")).select("row_idx", "col_idx", "src_row", "src_col")
 
 
 def warped(target: DataFrame, source: DataFrame, values: list[str], mask: str | None = None, tile: int = 256) -> DataFrame:
@@ -181,4 +201,4 @@ def to_metric(px: DataFrame, source: Grid, values: list[str], mask: str | None =
     x, y = pixel_centre(source.transform, F.lit((source.rows - 1) / 2), F.lit((source.cols - 1) / 2))
     row = spark.range(1).select(F.lit(False).alias("projected"), F.lit(1.0).alias("unit_m"), F.lit(source.epsg).alias("epsg"), x.alias("lon"), y.alias("lat"))
     target = target_grid(spark, source, metric_system(row).first()["epsg"])
-    return warped(places(spark, target, source), px, values, mask, tile), target
+    return warped(places(spark, target, source, tile), px, values, mask, tile), target

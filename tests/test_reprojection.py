@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import math
 
 import numpy as np
@@ -96,3 +97,16 @@ def test_antimeridian_poles_and_degenerate_rings(spark):
     cap = spark.range(1).select(geometry.geographic_box_hectares(F.lit(0.0), F.lit(60.0), F.lit(360.0), F.lit(90.0))).first()[0]
     assert north == pytest.approx(south, rel=1e-9) and north == pytest.approx(cap, rel=2e-4)  # sides of a degree bend to the pole
     assert octant == pytest.approx(globe / 8, rel=1e-9)
+
+
+def test_long_rasters_make_no_more_cells_than_they_have(spark):
+    source = projection.Grid(100_000, 3, (1e-5, 0.0, 10.2, 0.0, -1e-5, 48.1), 4326)
+    target = projection.target_grid(spark, source, 32632)
+    assert target.rows * target.cols > 100 * source.rows * source.cols
+    told = projection.places(spark, target, source, 64)
+    made = int(re.search(r"Range \(0, (\d+)", told._jdf.queryExecution().optimizedPlan().toString()).group(1))
+    assert made <= -(-source.rows // 64)
+    found = told.select("row_idx", "col_idx").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_idx", "col_idx").alias("apart")).first()
+    metres = 6_370_000.0 * math.radians(1e-5)
+    area = source.rows * source.cols * metres * metres * math.cos(math.radians(47.6))
+    assert found.n == found.apart and abs(found.n * target.transform[0] ** 2 / area - 1) < 0.02
