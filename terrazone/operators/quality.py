@@ -117,7 +117,9 @@ def autoscale(px: DataFrame, band: str, tolerance_pct: float = 5.0) -> DataFrame
 
 def reflectance_gate(px: DataFrame, least: float = 0.01) -> DataFrame:
     """plausible: 99th percentiles of red and nir reach absolute reflectance."""
-    red, nir = (quantiles(px, band, [0.99])[0] for band in ("red", "nir"))
+    long = px.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("x")) for b in ("red", "nir")])))
+    told = quantiles(long, "x", [0.99], "band")  # both bands in the same passes
+    red, nir = (told.get(b, [None])[0] for b in ("red", "nir"))
     return one_row(px, p99_red=red, p99_nir=nir, plausible=red is not None and nir is not None and max(red, nir) >= least)
 
 

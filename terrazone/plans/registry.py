@@ -110,8 +110,8 @@ def dn_autoscale(spark, sf_dir):
 
 @query("select 'plain' as variant, greatest(quantile_cont(red, 99e-2), quantile_cont(nir, 99e-2)) >= 1e-2 as plausible from fp union all select 'dark', greatest(quantile_cont(red*1e-3, 99e-2), quantile_cont(nir*1e-3, 99e-2)) >= 1e-2 from fp")
 def reflectance_gate(spark, sf_dir):
-    px = footprint(pixels(spark, sf_dir))
-    dark = px.withColumns({b: F.col(b) * 1e-3 for b in BANDS})
+    px = cut(footprint(pixels(spark, sf_dir)).select("red", "nir"), "bands")
+    dark = px.withColumns({b: F.col(b) * 1e-3 for b in px.columns})
     return quality.reflectance_gate(px).select(F.lit("plain").alias("variant"), "plausible").unionByName(quality.reflectance_gate(dark).select(F.lit("dark").alias("variant"), "plausible"))
 
 
