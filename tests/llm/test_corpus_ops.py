@@ -236,3 +236,40 @@ def test_lm_costs_of_a_text_stand_alone(monkeypatch):
     mixer = context_mixing.Mixer(told, 12, np.full((3, context_mixing.GATES), 0.4))
     together = mixer.costs(coder.read(texts))[0]
     assert together.tolist() == [mixer.costs(coder.read([t]))[0][0] for t in texts]
+
+
+def test_lm_costs_are_those_of_a_plain_loop(monkeypatch):
+    """Decision by decision and block by block, whatever the segments read side by side; words at hand never become Python objects."""
+    monkeypatch.setattr(context_mixing, "SEGMENT", 8)
+    monkeypatch.setattr(context_mixing, "BLOCK", 4)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["ab", "c", "d", "xy"], n)).encode() for n in (0, 3, 40, 7, 18)]
+    coder = context_mixing.Coder([(b"ab", 5), (b"c", 4), (b"", 9)], 3, [1] * 256)
+    told = rng.integers(-90, 90, (3, 1 << 12)).astype(np.int16) * 256 + rng.integers(0, 15, (3, 1 << 12)).astype(np.int16)
+    mixer = context_mixing.Mixer(told, 12, np.full((3, context_mixing.GATES), 0.4))
+    seq = coder.read(texts)
+    found = mixer.costs(seq)[0]
+    monkeypatch.setattr(context_mixing, "LANES", 2)
+    assert mixer.costs(coder.read(texts))[0].tolist() == found.tolist()
+    assert sorted(seq.spelled()[0]) == [b"d", b"xy"] and isinstance(seq.distinct, pa.Array)
+
+    each = [[list(zip(*map(np.concatenate, zip(*[(s[p == pair], b[p == pair]) for s, b, p in seq.decisions(expert, 12)])))) for pair in range(len(seq.size[expert]))] for expert in range(3)]
+    at = 0
+    for text, (size, cost) in enumerate(zip(seq.sizes, found)):
+        want = 0.0
+        for low in range(0, size, 4):
+            if low % 8 == 0:
+                weights = np.full((3, 16), 0.4)
+            slope, met = np.zeros((3, 16)), np.zeros(16)
+            for token in range(at + low, at + min(low + 4, size)):
+                for of in zip(*[each[expert][seq.pair[expert][token]] for expert in range(3)]):
+                    values = [int(told[expert][slot]) for expert, (slot, _) in enumerate(of)]
+                    gate = 4 * min(3, (values[0] % 16 + 1) // 2) + min(3, (values[1] % 16 + 1) // 2)
+                    x, sign = np.array([v >> 8 for v in values]) / 16, 2 * int(of[0][1]) - 1
+                    e = math.exp(-sign * float(weights[:, gate] @ x))
+                    want += math.log1p(e)
+                    slope[:, gate] += sign * e / (1 + e) * x
+                    met[gate] += 1
+            weights = weights + slope * context_mixing.RATE / (met + context_mixing.DAMP)
+        at += size
+        assert abs(want - cost) < 1e-3 * max(1, want), text
