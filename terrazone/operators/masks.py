@@ -155,27 +155,28 @@ def run_links(found: DataFrame) -> DataFrame:
     edge = found.where(F.col("row_idx") % STRIPE == STRIPE - 1).withColumn("row_idx", F.col("row_idx") + 1)
     spans = F.explode(F.sequence(F.floor(F.col("c0") / 64).cast("int"), F.floor(F.col("c1") / 64).cast("int"))).alias("span")
     a, b = (df.select("row_idx", "kind", spans, F.col("root").alias(t), F.col("c0").alias(f"{t}0"), F.col("c1").alias(f"{t}1")) for df, t in ((edge, "a"), (found.where(F.col("row_idx") % STRIPE == 0), "b")))
-    return a.join(b, ["row_idx", "span", "kind"]).where("a0 <= b1 and b0 <= a1").select("a", "b").distinct()
+    return a.join(b.hint("merge"), ["row_idx", "span", "kind"]).where("a0 <= b1 and b0 <= a1").select("a", "b").distinct()
 
 
 def label_runs(found: DataFrame) -> DataFrame:
     """found with label: the least run of its 4-connected component.
 
-    Stripes of rows are joined apart; only what touches over their borders is left to rounds of least neighbour and pointer jump, whose tables are deleted when superseded.
+    Stripes of rows are joined apart; only what touches over their borders is left to rounds of least neighbour and pointer jump, whose tables are deleted when superseded,
+    and whose joins name a merge, as a broadcast would send each round's table through the driver.
     """
     joined = cut(joined_in_stripes(found), "runs")
     links = run_links(joined)
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "run-links")
     labels = cut(links.select(F.col("a").alias("root")).distinct().withColumn("label", F.col("root")), "run-labels")
     while True:
-        near = links.join(labels.select(F.col("root").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        low = labels.join(near.withColumnRenamed("a", "root"), "root", "left").select("root", F.col("label").alias("was"), F.least("label", "l").alias("label"))
+        near = links.join(labels.select(F.col("root").alias("b"), F.col("label").alias("l")).hint("merge"), "b").groupBy("a").agg(F.min("l").alias("l"))
+        low = labels.join(near.withColumnRenamed("a", "root").hint("merge"), "root", "left").select("root", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         jump = low.select(F.col("root").alias("label"), F.col("label").alias("far"))
-        after = cut(low.join(jump, "label", "left").select("root", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "run-labels")
+        after = cut(low.join(jump.hint("merge"), "label", "left").select("root", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "run-labels")
         drop(labels)
         if after.where(F.col("was") != F.col("label")).isEmpty():
             drop(links)
-            return joined.join(after.select("root", "label"), "root", "left").withColumn("label", F.coalesce("label", "root")).drop("root")
+            return joined.join(after.select("root", "label").hint("merge"), "root", "left").withColumn("label", F.coalesce("label", "root")).drop("root")
         labels = after
 
 

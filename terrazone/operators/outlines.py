@@ -1,5 +1,6 @@
 """Outlines of labelled cells as polygons with holes and several parts: straight sides, linked to rings by pointer doubling; none of it in Python workers.
 
+Tables of sides and links grow with the cells, so their joins name a merge: else Spark broadcasts each round's, through the driver, while it is under 10 MB.
 Rows and columns are under 2^29. The interior is to the right of a side, seen with rows downwards; cells that touch at a corner alone stay apart.
 """
 
@@ -44,10 +45,10 @@ def straight_sides(runs: DataFrame) -> DataFrame:
 def linked(sides: DataFrame) -> DataFrame:
     """sides with next: the id of the side that goes on from its end, where two do the one that turns right."""
     goes = sides.select("part", F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("id").alias("to"), F.col("way").alias("turn"))
-    met = sides.join(goes, ["part", "r1", "c1"])
+    met = sides.join(goes.hint("merge"), ["part", "r1", "c1"])
     rank = F.pmod(F.col("turn") - F.col("way"), F.lit(4))  # 1 is right, 3 is left
     picked = met.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "to"))["to"].alias("next"))
-    return sides.join(picked, "id")
+    return sides.join(picked.hint("merge"), "id")
 
 
 def ranked(links: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def ranked(links: DataFrame) -> DataFrame:
         far = state.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("ring").alias("far_ring"), F.col("ahead").alias("far_ahead"))
         less = F.col("far_ring") < F.col("ring")
         after = cut(
-            state.join(far, "next").select("id", F.col("far").alias("next"), F.least("ring", "far_ring").alias("ring"), F.when(less, F.col("far_ahead") + reach).otherwise(F.col("ahead")).alias("ahead"), less.alias("moved")), "rings"
+            state.join(far.hint("merge"), "next").select("id", F.col("far").alias("next"), F.least("ring", "far_ring").alias("ring"), F.when(less, F.col("far_ahead") + reach).otherwise(F.col("ahead")).alias("ahead"), less.alias("moved")), "rings"
         )
         drop(state)
         if after.where("moved").isEmpty():
@@ -75,7 +76,7 @@ def rings(cells: DataFrame, label: str = "label") -> DataFrame:
     area is negative for holes. points are corners (x: column, y: row), the first one again at the end. A ring is one row, so its corners must fit in one.
     """
     told = cut(linked(straight_sides(cut(masks.label_runs(masks.runs(cells, label)), "part-runs"))), "sides")
-    placed = told.join(ranked(told), "id")
+    placed = told.join(ranked(told).hint("merge"), "id")
     turn = F.struct((F.col("ahead") > 0).alias("later"), (-F.col("ahead")).alias("from_end"), F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y"))
     found = placed.groupBy("kind", "part", "ring").agg(F.sum(F.col("c0") * (F.col("r1") - F.col("r0")).cast("long")).cast("double").alias("area"), F.array_sort(F.collect_list(turn)).alias("turns"))
     points = F.transform("turns", lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y")))

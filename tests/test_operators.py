@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrazone import session
 from terrazone.functions import indices as ix
 from terrazone.operators import crop, deliverables, geometry, masks, outlines, prescription, quality, rules, texts
 from terrazone.sources.pixels import mask_bands
@@ -206,6 +207,26 @@ def test_parts_and_holes(spark):
     assert outlines.multipolygons(df.limit(0)).collect() == []
 
 
+def test_outlines_broadcast_nothing(spark, monkeypatch, capsys):
+    """Sides, links and labels grow with the cells: none of the rounds' joins sends them through the driver."""
+    plans = []
+
+    def noted(df, name):
+        df.explain()
+        plans.append((name, capsys.readouterr().out))
+        return session.cut(df, name)
+
+    for module in (outlines, masks):
+        monkeypatch.setattr(module, "cut", noted)
+    df = spark.range(130 * 5).selectExpr("cast(id div 5 as int) row_idx", "cast(id % 5 as int) col_idx", "id % 3 label")
+    told = outlines.multipolygons(df)
+    told.explain()
+    plans.append(("multipolygons", capsys.readouterr().out))
+    assert {"sides", "rings", "run-links", "run-labels", "multipolygons"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert sum(r.cells for r in told.select(geometry.parts_area(F.col("parts")).alias("cells")).collect()) == df.count()
+
+
 def test_validity(spark):
     box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     cases = {
