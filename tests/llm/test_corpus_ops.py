@@ -273,3 +273,37 @@ def test_lm_costs_are_those_of_a_plain_loop(monkeypatch):
             weights = weights + slope * context_mixing.RATE / (met + context_mixing.DAMP)
         at += size
         assert abs(want - cost) < 1e-3 * max(1, want), text
+
+
+def test_lm_hashes_what_needs_no_context_once_for_a_worker(monkeypatch):
+    """A slice hashes the decisions of its pairs with a context alone; those without one are kept."""
+    rng = np.random.default_rng(3)
+    coder = context_mixing.Coder([(b"ab", 5), (b"c", 4), (b"", 9)], 3, [1] * 256)
+    told = rng.integers(-90, 90, (3, 1 << 12)).astype(np.int16) * 256 + rng.integers(0, 15, (3, 1 << 12)).astype(np.int16)
+    mixer = context_mixing.Mixer(told, 12, np.full((3, context_mixing.GATES), 0.4))
+    texts = [b"ab c d ab", b"", b"c c xy"]
+    once = mixer.costs(coder.read(texts))[0].tolist()
+    hashed, plain = [], context_mixing.slots_of
+    monkeypatch.setattr(context_mixing, "slots_of", lambda hashes, slot_bits: hashed.append(hashes.size) or plain(hashes, slot_bits))
+    seq = coder.read(texts)
+    assert mixer.costs(seq)[0].tolist() == once
+    assert sum(hashed) == sum(int(seq.size[expert].sum()) for expert in (1, 2))
+
+
+def test_lm_words_of_slices_of_a_batch():
+    """A slice of an Arrow array is read as its rows alone; words are those of bytes.split."""
+    texts = ["Ä B", None, "", " \t", "  a\x0bB\x0c\x1c é \n", "x\x00Y z", "É" * 5 + " q"]
+    coder = context_mixing.Coder([(b"b", 5), (b"", 9)], 3, [1] * 256)
+    for low, high in ((0, 7), (1, 7), (3, 6), (6, 7)):
+        want = [[*(t or "").encode().lower().split(), b""] for t in texts[low:high]]
+        for kind in (pa.string(), pa.large_string()):
+            seq = coder.read(pa.array(texts, kind).slice(low, high - low))
+            assert seq.sizes.tolist() == [len(w) for w in want]
+            assert [seq.distinct[int(c)].as_py().encode() for c in seq.code] == [w for words in want for w in words]
+
+
+def test_lm_scores_are_the_same_in_slices_of_any_size(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(corpus, DOCS).coalesce(1)
+    want = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in context_mixing.score_texts(df).collect())
+    monkeypatch.setattr(context_mixing, "SLICE", 64)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in context_mixing.score_texts(df).collect()) == want
