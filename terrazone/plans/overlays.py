@@ -50,7 +50,7 @@ def dissolved_zones(spark, sf_dir):
 @query(f"""with d as (select id, (cx + cy)::double as u, (cx - cy)::double as v, r from (select * replace (cx + 300 * g as cx) from ({_DIAMONDS})) where h = 0), p as (select a.id as "left", b.id as "right", (least(a.u + a.r, b.u + b.r) - greatest(a.u - a.r, b.u - b.r)) as du, (least(a.v + a.r, b.v + b.r) - greatest(a.v - a.r, b.v - b.r)) as dv from d a join d b on a.id < b.id)
  select "left", "right", du * dv / 2 as area from p where du > 0 and dv > 0""", view=False)
 def zone_overlaps(spark, sf_dir):
-    return overlay.overlapping(_diamonds(spark, sf_dir, "cx + 300 * g").where("h = 0"), "id", steps=1, side=16.0).select("left", "right", r6("area", "area"))
+    return overlay.overlapping(_diamonds(spark, sf_dir, "cx + 300 * g").where("h = 0"), "id", steps=1, side=16.0, digits=6)
 
 
 _NEAR = "abs(c + 5e-1 - cx) + abs(w + 5e-1 - cy)"
